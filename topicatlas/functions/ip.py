@@ -23,19 +23,26 @@ def address_of(user_id: Column) -> Column:
     return F.substring_index(user_id, ":", -1)
 
 
-def ipv4_to_long(dotted: Column) -> Column:
-    """Dotted IPv4 to its integer value; null if malformed or an octet is above 255.
+def quad_to_long(dotted: Column, lo: int = 0, hi: int = IPV4_MAX) -> Column:
+    """Integer value of a well-formed dotted quad; null outside ``lo`` to ``hi`` or
+    when an octet is above 255.
 
     Names its argument once: when a filter on the result is pushed below the
     projection, whatever computes the address is repeated once, not per octet.
     """
-    octets = F.split(F.regexp_extract(dotted, DOTTED_QUAD, 0), "[.]")
 
     def shift_in(value: Column, octet: Column) -> Column:
-        number = octet.try_cast("bigint")
-        return value * 256 + F.when(number <= 255, number)
+        return value * 256 + F.when(octet.try_cast("int") <= 255, octet.try_cast("int"))
+
+    def limited(value: Column) -> Column:
+        return F.when(value.between(lo, hi), value)
+
+    return F.aggregate(F.split(dotted, r"\."), F.lit(0).cast("bigint"), shift_in, limited)
 
-    return F.aggregate(octets, F.lit(0).cast("bigint"), shift_in)
+
+def ipv4_to_long(dotted: Column) -> Column:
+    """Dotted IPv4 to its integer value; null if it is none."""
+    return F.when(dotted.rlike(DOTTED_QUAD), quad_to_long(dotted))
 
 
 def is_routable(long_ip: Column) -> Column:

@@ -15,10 +15,8 @@ def explode_categories(edits: DataFrame, literal: bool = False, lower: bool = Tr
     ``literal`` also keeps the empty entries that leading and double spaces make.
     """
     others = [name for name in edits.columns if name != "categories"]
-    entry = F.explode(F.split(F.rtrim("categories"), " "))
-    rows = edits.select(*others, entry.alias("category"))
-    if lower:
-        rows = rows.withColumn("category", F.lower("category"))
+    text = F.rtrim(F.lower("categories") if lower else F.col("categories"))
+    rows = edits.select(*others, F.explode(F.split(text, " ")).alias("category"))
     return rows if literal else rows.filter(F.col("category") != "")
 
 

@@ -9,6 +9,7 @@ from topicatlas.functions.ip import (
     address_of,
     ipv4_to_long,
     is_anonymous_ipv4,
+    quad_to_long,
 )
 from topicatlas.schemas import CLEAN_COLUMNS
 from topicatlas.sources.revisions import WHITESPACE
@@ -44,8 +45,8 @@ def ip_status(edits: DataFrame, lo: int = ROUTABLE_MIN, hi: int = ROUTABLE_MAX)
 def with_long_ip(edits: DataFrame, lo: int = ROUTABLE_MIN, hi: int = ROUTABLE_MAX) -> DataFrame:
     """Edits with a routable address and its integer form ``long_ip``."""
     anonymous = edits.filter(is_anonymous_ipv4(F.col("user_id")))
-    parsed = anonymous.withColumn("long_ip", ipv4_to_long(address_of(F.col("user_id"))))
-    return parsed.filter(F.col("long_ip").between(lo, hi))
+    long_ip = quad_to_long(address_of(F.col("user_id")), lo, hi)
+    return anonymous.withColumn("long_ip", long_ip).filter(F.col("long_ip").isNotNull())
 
 
 def reject_counts(edits: DataFrame, lo: int = ROUTABLE_MIN, hi: int = ROUTABLE_MAX) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicatlas.functions.ip import IPV4_MAX
+from topicatlas.operators.lineage import cut_lineage
 from topicatlas.operators.skew import BROADCAST_ROWS, ROWS_PER_TASK, balanced_join
 
 # IPv4 has 65,536 blocks of 65,536 addresses: tables of one row per block are
@@ -166,7 +167,8 @@ def resolve_locations(
     if method == "bucketed":
         located = _bucketed(edits, unique, bits, wanted, broadcast_rows, rows_per_task)
     elif method == "window":
-        classes = class_of_addresses(edits, unique)
+        # At most one row per IPv4 address; counted and joined from a written table.
+        classes = cut_lineage(class_of_addresses(edits, unique), "classes")
         located = balanced_join(
             edits, classes, ["long_ip"], "left",
             broadcast_rows=broadcast_rows, rows_per_task=rows_per_task,

@@ -19,7 +19,7 @@ def _entries(spark: SparkSession, path: str | list[str], lower: bool) -> DataFra
         .filter(F.size("halves") == 2)
         .select(
             (F.lower(category) if lower else category).alias("category"),
-            F.explode(F.split(F.get("halves", F.lit(1)), "[|]")).alias("text"),
+            F.explode(F.split(F.get("halves", F.lit(1)), r"\|")).alias("text"),
         )
         .select("category", F.col("text").try_cast("bigint").alias("class_ip"))
         .filter(F.col("class_ip").isNotNull())
@@ -43,7 +43,7 @@ def read_class_ips(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def malformed_category_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines without exactly one ``#``, or with an address that is not a number."""
     bad_number = F.exists(
-        F.split(F.get("halves", F.lit(1)), "[|]"), lambda ip: ip.try_cast("bigint").isNull()
+        F.split(F.get("halves", F.lit(1)), r"\|"), lambda ip: ip.try_cast("bigint").isNull()
     )
     usable = (F.size("halves") == 2) & ~bad_number
     return _lines(spark, path).filter(~F.coalesce(usable, F.lit(False))).select("value")

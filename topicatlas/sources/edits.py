@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topicatlas.functions.ip import is_digits, safe_long
 from topicatlas.functions.points import to_udeg
-from topicatlas.schemas import CLEAN_COLUMNS
+from topicatlas.schemas import CLEAN_COLUMNS, EDIT_WITH_LOC
 
 # Positions used in each layout; the last one is the fewest a line must have.
 LONG_IP_POSITION = 6
@@ -25,7 +25,7 @@ ENRICHED_LONG_IP, ENRICHED_LATITUDE, ENRICHED_LONGITUDE = 8, 13, 14
 
 
 def _cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).select("value", F.split("value", "[|]").alias("cells"))
+    return spark.read.text(path).select("value", F.split("value", r"\|").alias("cells"))
 
 
 def _cell(position: int) -> Column:
@@ -63,7 +63,7 @@ def read_edits_with_location(spark: SparkSession, path: str | list[str]) -> Data
         safe_long(_cell(ENRICHED_LONG_IP)).alias("long_ip"),
         to_udeg(_cell(ENRICHED_LATITUDE)).alias("lat_udeg"),
         to_udeg(_cell(ENRICHED_LONGITUDE)).alias("lon_udeg"),
-    )
+    ).select(*EDIT_WITH_LOC.fieldNames())
 
 
 def malformed_edits(
