@@ -132,7 +132,7 @@ def resolve_asof_shuffled(spark, sf):
     """The form for location tables too large to broadcast."""
     return _resolved(
         locate.resolve_locations(
-            routable(spark, sf), fx.locations(spark, sf), broadcast_rows=0, attach=["city_name"]
+            routable(spark, sf), fx.locations(spark, sf), broadcast_bytes=0, attach=["city_name"]
         ),
         "city_name",
     )

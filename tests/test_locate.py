@@ -13,10 +13,10 @@ FORMS = {
     "bucketed": {},
     "wide buckets": {"bits": 24},
     "narrow buckets": {"bits": 12},
-    "shuffled": {"broadcast_rows": 0},
-    "shuffled, all keys hot": {"broadcast_rows": 0, "rows_per_task": 1},
+    "shuffled": {"broadcast_bytes": 0},
+    "shuffled, all keys hot": {"broadcast_bytes": 0, "rows_per_task": 1},
     "window": {"method": "window"},
-    "window, shuffled, all keys hot": {"method": "window", "broadcast_rows": 0, "rows_per_task": 1},
+    "window, shuffled, all keys hot": {"method": "window", "broadcast_bytes": 0, "rows_per_task": 1},
 }
 
 near = st.integers(0, 300)
@@ -68,6 +68,19 @@ def test_gaps_upper_bounds_and_attached_columns(rows, places, method):
     ]
 
 
+def test_a_prepared_table_gives_the_same(rows, places):
+    edits = rows("long_ip long", (50,), (100,), (250,), (340,), (360,), (600,))
+    ranges = locate.prepare_ranges(places)
+    assert as_tuples(ranges, "ip_from", "range_end") == [(100, 299), (300, 499), (500, IPV4_MAX)]
+    for form in FORMS.values():
+        options = {"attach": ["city_name"], **form}
+        assert as_tuples(locate.resolve_locations(edits, ranges, **options)) == as_tuples(
+            locate.resolve_locations(edits, places, **options)
+        )
+    plan = locate.resolve_locations(edits, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lead(") <= 2
+
+
 def test_empty_location_table(rows):
     edits = rows("long_ip long", (5,))
     for method in ("bucketed", "window"):
@@ -84,7 +97,7 @@ def test_duplicate_starts_are_decided_by_the_order(rows, places):
 
 def test_attach_and_unmatched(rows, places):
     df = rows("category string, class_ip long, n long", ("x", 100, 1), ("x", 300, 2), ("y", 7, 3), ("z", None, 4))
-    for form in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "rows_per_task": 1}):
+    for form in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "rows_per_task": 1}):
         found = locate.attach_location(df, places, ["city_name"], **form)
         assert as_tuples(found) == [("x", 100, 1, "a"), ("x", 300, 2, "b")]
     assert as_tuples(locate.unmatched_classes(df, places)) == [("y", 7, 3), ("z", None, 4)]

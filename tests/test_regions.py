@@ -37,7 +37,7 @@ def test_profile(points):
 
 def test_looking_points_up_gives_the_same_as_assigning_them(points):
     assignment = assign(points, CENTROIDS)
-    for form in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "rows_per_task": 1}):
+    for form in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "rows_per_task": 1}):
         joined = profile.cluster_point_categories(assignment, points, **form)
         assert as_tuples(profile.count_categories(joined)) == as_tuples(
             profile.cluster_categories(points, CENTROIDS)

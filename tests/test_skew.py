@@ -21,11 +21,19 @@ def lookup(spark):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_forms_of_the_join_agree(facts, lookup, how):
     expected = as_tuples(facts.join(lookup, "key", how).select("id", "key", "value"))
-    for form in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "rows_per_task": 100}):
+    for form in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "rows_per_task": 100}):
         found = skew.balanced_join(facts, lookup, ["key"], how, **form)
         assert as_tuples(found, "id", "key", "value") == expected
 
 
+def test_size_is_measured_where_no_bound_is_known(spark, lookup):
+    assert skew.table_bytes(lookup) == 60 * (32 + 16)
+    assert skew.table_bytes(lookup, rows=1000) == 1000 * (32 + 16)
+    texts = lookup.select("key", F.repeat(F.lit("é"), F.lit(500)).alias("text"))
+    assert skew.table_bytes(texts, rows=1) == 60 * (32 + 16 + 1000)
+    assert skew.table_bytes(texts.limit(0)) == 0
+
+
 def test_hot_keys_are_spread(facts):
     hot = skew.hot_keys(facts, ["key"], rows_per_task=100)
     assert {r["key"]: r["_splits"] for r in hot.collect()} == {7: 11, None: 2}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicatlas.functions.points import MICRO, degrees, planar_length, random_points
+from topicatlas.functions.points import MICRO, degrees, random_points
 from topicatlas.operators.lineage import cut_lineage
 from topicatlas.schemas import CENTROID, ITERATION_LOG
 
@@ -24,16 +24,15 @@ Centroid = tuple[float, float]
 
 # Up to this many centroids the distances are one generated expression; beyond it
 # the generated method is too long for the JIT and Arrow batches are faster.
-EXPRESSION_CENTROIDS = 16
+EXPRESSION_CENTROIDS = 32
 
 
 def seed_centroids(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct points in the order of a seeded hash, as ``cluster, lon_udeg, lat_udeg``."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "lon_udeg", "lat_udeg"))
-    chosen = points.select("lon_udeg", "lat_udeg", draw.alias("_draw")).orderBy(
-        "_draw", "lon_udeg", "lat_udeg"
-    ).limit(k)
-    return _numbered(chosen, ["_draw", "lon_udeg", "lat_udeg"])
+    order = ["_draw", "lon_udeg", "lat_udeg"]
+    distinct = points.select("lon_udeg", "lat_udeg").distinct()
+    return _numbered(distinct.withColumn("_draw", draw).orderBy(*order).limit(k), order)
 
 
 def seed_occurrences(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -46,8 +45,9 @@ def seed_occurrences(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """
 
     def spacing(index: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "lon_udeg", "lat_udeg", index), 11)
-        uniform = (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
+        text = F.concat_ws(":", F.lit(str(seed)), "lon_udeg", "lat_udeg", index)
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+        uniform = (bits + 0.5) / F.lit(float(1 << 52))
         return -F.log(uniform) / (F.col("n") - index + 1)
 
     def smallest(df: DataFrame) -> DataFrame:
@@ -101,17 +101,19 @@ def first_equal(centroids: Sequence[Centroid]) -> list[int]:
     return [seen.setdefault(centroid, index) for index, centroid in enumerate(centroids)]
 
 
-def nearest_expression(lon: Column, lat: Column, centroids: Sequence[Centroid]) -> Column:
+def nearest_expression(lon: str, lat: str, centroids: Sequence[Centroid]) -> Column:
     """Index of the nearest centroid; of equally near ones the last."""
     # Listed backwards, so the first position of the minimum is the last centroid.
-    distances = F.array(
-        *[planar_length(F.lit(x) - lon, F.lit(y) - lat) for x, y in reversed(centroids)]
+    # As text, because building it column by column costs more than a small update.
+    distances = ", ".join(
+        f"sqrt(({x!r}D - {lon}) * ({x!r}D - {lon}) + ({y!r}D - {lat}) * ({y!r}D - {lat}))"
+        for x, y in reversed(centroids)
     )
-    position = F.array_position(distances, F.array_min(distances))
+    position = F.expr(f"array_position(array({distances}), array_min(array({distances})))")
     return (F.lit(len(centroids)) - position).cast("int")
 
 
-def nearest_arrow(lon: Column, lat: Column, centroids: Sequence[Centroid]) -> Column:
+def nearest_arrow(lon: str, lat: str, centroids: Sequence[Centroid]) -> Column:
     """The same on Arrow batches, for many centroids."""
     return _nearest_udf(tuple(centroids))(lon, lat)
 
@@ -140,8 +142,11 @@ def nearest(points: DataFrame, centroids: Sequence[Centroid], method: str = "aut
     if method == "auto":
         method = "expression" if len(centroids) <= EXPRESSION_CENTROIDS else "arrow"
     forms = {"expression": nearest_expression, "arrow": nearest_arrow}
-    lon, lat = degrees(F.col("lon_udeg")), degrees(F.col("lat_udeg"))
-    return points.withColumn("cluster", forms[method](lon, lat, list(centroids)))
+    placed = points.withColumns(
+        {"_lon": degrees(F.col("lon_udeg")), "_lat": degrees(F.col("lat_udeg"))}
+    )
+    cluster = forms[method]("_lon", "_lat", list(centroids))
+    return placed.withColumn("cluster", cluster).drop("_lon", "_lat")
 
 
 def cluster_means(points: DataFrame, centroids: Sequence[Centroid], method: str = "auto") -> DataFrame:
@@ -216,19 +221,25 @@ def kmeans(
     seed: int = 0,
     init: str = "distinct",
     method: str = "auto",
+    stored: bool = False,
 ) -> Clustering:
     """Clusters ``lon_udeg, lat_udeg, n`` rows.
 
     With ``iterations`` exactly that many updates are made and ``epsilon`` is not
     looked at; without (or 0) updates go on until no centroid moves more than
     ``epsilon``, at least one and at most ``max_iter``.
+
+    The points are written to a table first, unless they are ``stored`` in one:
+    an iteration that loses an executor re-reads them and recomputes nothing else.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     if epsilon < 0 or (iterations or 0) < 0:
         raise ValueError("iterations and epsilon must not be negative")
     spark = points.sparkSession
-    stable = cut_lineage(points.select("lon_udeg", "lat_udeg", "n"), "points")
+    stable = points.select("lon_udeg", "lat_udeg", "n")
+    if not stored:
+        stable = cut_lineage(stable, "points")
     stable = stable.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centroids = initial_centroids(stable, k, seed, init, given)

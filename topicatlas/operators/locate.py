@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicatlas.functions.ip import IPV4_MAX
 from topicatlas.operators.lineage import cut_lineage
-from topicatlas.operators.skew import BROADCAST_ROWS, ROWS_PER_TASK, balanced_join
+from topicatlas.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, balanced_join
 
 # IPv4 has 65,536 blocks of 65,536 addresses: tables of one row per block are
 # bounded whatever the data, and so are the distinct addresses of a block.
@@ -55,6 +55,35 @@ def with_range_end(locations: DataFrame) -> DataFrame:
     return ended.withColumn("range_end", end).drop("_block", "_next", "_next_head")
 
 
+def prepare_ranges(locations: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Unique ranges with their ``range_end``.
+
+    Worth storing: the operators below take any location table, but a prepared
+    one saves them this work.
+    """
+    return with_range_end(dedup_locations(locations, order))
+
+
+def _is_prepared(locations: DataFrame) -> bool:
+    return "range_end" in locations.columns
+
+
+def _unique(locations: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """``ip_from`` and the wanted columns, one row per ``ip_from``."""
+    if _is_prepared(locations):
+        return locations.select("ip_from", *wanted)
+    # Ties between equal starts are decided on all columns, so all must be there
+    # when any column of the winner is asked for.
+    others = [name for name in locations.columns if name != "ip_from"] if wanted else []
+    return dedup_locations(locations.select("ip_from", *others)).select("ip_from", *wanted)
+
+
+def _ranges(locations: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    if _is_prepared(locations):
+        return locations.select("ip_from", "range_end", *wanted)
+    return with_range_end(_unique(locations, wanted))
+
+
 def bucket_bits(ranges: int) -> int:
     """Bucket width giving at most as many buckets as ranges.
 
@@ -66,7 +95,7 @@ def bucket_bits(ranges: int) -> int:
 
 def range_pieces(locations: DataFrame, bits: int, attach: Sequence[str] = ()) -> DataFrame:
     """``bucket, class_ip, range_end`` and the attached columns, one row per bucket touched."""
-    return with_range_end(locations).select(
+    return _ranges(locations, attach).select(
         F.explode(
             F.sequence(F.shiftright("ip_from", bits), F.shiftright("range_end", bits))
         ).alias("bucket"),
@@ -76,7 +105,7 @@ def range_pieces(locations: DataFrame, bits: int, attach: Sequence[str] = ()) ->
     )
 
 
-def _bucketed(edits, locations, bits, attach, broadcast_rows, rows_per_task):
+def _bucketed(edits, locations, bits, attach, broadcast_bytes, rows_per_task):
     ranges = locations.count()
     if bits is None:
         bits = bucket_bits(ranges)
@@ -91,7 +120,7 @@ def _bucketed(edits, locations, bits, attach, broadcast_rows, rows_per_task):
         within=F.col("_probe").between(F.col("class_ip"), F.col("range_end")),
         # Every bucket border cuts at most one range in two.
         lookup_rows=ranges + (1 << (32 - bits)),
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
         rows_per_task=rows_per_task,
     )
     return located.drop("bucket", "_probe", "range_end")
@@ -152,7 +181,7 @@ def resolve_locations(
     bits: int | None = None,
     check_upper: bool = False,
     attach: Sequence[str] = (),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Edits with the ``class_ip`` of their ``long_ip`` and the ``attach`` columns.
@@ -163,21 +192,20 @@ def resolve_locations(
     ``ip_to`` of its range.
     """
     wanted = list(attach) + (["ip_to"] if check_upper and "ip_to" not in attach else [])
-    unique = dedup_locations(locations.select("ip_from", *_payload(locations, wanted)))
     if method == "bucketed":
-        located = _bucketed(edits, unique, bits, wanted, broadcast_rows, rows_per_task)
+        located = _bucketed(edits, locations, bits, wanted, broadcast_bytes, rows_per_task)
     elif method == "window":
         # At most one row per IPv4 address; counted and joined from a written table.
-        classes = cut_lineage(class_of_addresses(edits, unique), "classes")
+        classes = cut_lineage(class_of_addresses(edits, locations), "classes")
         located = balanced_join(
             edits, classes, ["long_ip"], "left",
-            broadcast_rows=broadcast_rows, rows_per_task=rows_per_task,
+            broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
         )
         if wanted:
-            lookup = unique.select(F.col("ip_from").alias("class_ip"), *wanted)
+            lookup = _unique(locations, wanted).withColumnRenamed("ip_from", "class_ip")
             located = balanced_join(
                 located, lookup, ["class_ip"], "left",
-                broadcast_rows=broadcast_rows, rows_per_task=rows_per_task,
+                broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
             )
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -191,27 +219,22 @@ def resolve_locations(
     return located
 
 
-def _payload(locations: DataFrame, wanted: Sequence[str]) -> list[str]:
-    # Ties between equal starts are decided on all columns, so they must all be
-    # there when any column of the winner is asked for.
-    return [name for name in locations.columns if name != "ip_from"] if wanted else []
-
-
 def attach_location(
     df: DataFrame,
     locations: DataFrame,
     columns: Sequence[str] = ("lon_udeg", "lat_udeg"),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds location columns by ``class_ip``; rows without a location are left out."""
-    lookup = dedup_locations(locations).select(F.col("ip_from").alias("class_ip"), *columns)
+    lookup = _unique(locations, columns).withColumnRenamed("ip_from", "class_ip")
     return balanced_join(
-        df, lookup, ["class_ip"], broadcast_rows=broadcast_rows, rows_per_task=rows_per_task
+        df, lookup, ["class_ip"], lookup_rows=locations.count(),
+        broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
     )
 
 
 def unmatched_classes(df: DataFrame, locations: DataFrame) -> DataFrame:
     """The rows :func:`attach_location` leaves out, for auditing."""
     starts = locations.select(F.col("ip_from").alias("class_ip")).distinct()
-    return df.join(starts, "class_ip", "left_anti").select(*df.columns)
+    return balanced_join(df, starts, ["class_ip"], "left_anti", lookup_rows=locations.count())

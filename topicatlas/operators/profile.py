@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.operators.kmeans import Centroid, assign, centroid_table
-from topicatlas.operators.skew import BROADCAST_ROWS, ROWS_PER_TASK, balanced_join
+from topicatlas.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, balanced_join
 
 
 def cluster_sizes(assignment: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def cluster_distinct_points(assignment: DataFrame) -> DataFrame:
 def cluster_point_categories(
     assignment: DataFrame,
     category_points: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``cluster, lon_udeg, lat_udeg, category, n``: distinct points with their categories."""
@@ -29,7 +29,7 @@ def cluster_point_categories(
         category_points,
         cluster_distinct_points(assignment),
         ["lon_udeg", "lat_udeg"],
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
         rows_per_task=rows_per_task,
     ).select("cluster", "lon_udeg", "lat_udeg", "category", "n")
 

@@ -14,7 +14,23 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 8_000_000
 MOST_HOT_KEYS = 10_000
-BROADCAST_ROWS = 6_000_000
+# Three million ranges, cut at bucket borders, with their coordinates take 360 MB.
+BROADCAST_BYTES = 400_000_000
+ROW_OVERHEAD = 32
+
+
+def table_bytes(df: DataFrame, rows: int | None = None) -> int:
+    """Memory a table takes as a broadcast: measured, or from a known bound on its rows.
+
+    Text is always measured, since no bound on rows bounds it.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    if rows is None or texts:
+        lengths = [F.coalesce(F.sum(F.octet_length(name)), F.lit(0)) for name in texts]
+        rows, *text_bytes = df.agg(F.count("*"), *lengths).first()
+    else:
+        text_bytes = []
+    return rows * (ROW_OVERHEAD + 8 * len(df.columns)) + sum(text_bytes)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
@@ -68,15 +84,16 @@ def balanced_join(
     how: str = "inner",
     within: Column | None = None,
     lookup_rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join on ``keys`` (and the condition ``within``) against a lookup table.
 
-    A lookup of at most ``broadcast_rows`` rows is broadcast; it is counted unless
-    the caller knows a bound, ``lookup_rows``.  A larger one is shuffled; rows of
-    hot keys are then spread over several tasks and their lookup rows repeated
-    once for each.  Key columns of the lookup are dropped from the result.
+    A lookup of at most ``broadcast_bytes`` is broadcast; it is measured unless the
+    caller knows a bound on its rows, ``lookup_rows``, and it holds no text.  A
+    larger one is shuffled; rows of hot keys are then spread over several tasks
+    and their lookup rows repeated once for each.  Key columns of the lookup are
+    dropped from the result.
     """
     payload = [name for name in lookup.columns if name not in keys]
     slim = lookup.select(*[F.col(key).alias(f"_key_{key}") for key in keys], *payload)
@@ -85,9 +102,7 @@ def balanced_join(
         condition = condition & (F.col(key) == F.col(f"_key_{key}"))
     dropped = [f"_key_{key}" for key in keys]
 
-    if lookup_rows is None:
-        lookup_rows = lookup.count()
-    if lookup_rows <= broadcast_rows:
+    if table_bytes(slim, lookup_rows) <= broadcast_bytes:
         return facts.join(F.broadcast(slim), condition, how).drop(*dropped)
 
     hot = hot_keys(facts, keys, rows_per_task)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from topicatlas.operators.categories import category_ips, explode_categories
 from topicatlas.operators.clean import clean_revisions, with_long_ip
 from topicatlas.operators.lineage import cut_lineage
-from topicatlas.operators.locate import dedup_locations, resolve_locations
+from topicatlas.operators.locate import prepare_ranges, resolve_locations
 from topicatlas.operators.points import count_points
 from topicatlas.sources.locations import read_locations
 from topicatlas.sources.revisions import read_revisions
@@ -18,8 +18,8 @@ def prepare_edits(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def prepare_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per range start, written once: the lookups read it several times."""
-    return cut_lineage(dedup_locations(read_locations(spark, path)), "locations")
+    """Unique ranges with their ends, written once: the lookups read them several times."""
+    return cut_lineage(prepare_ranges(read_locations(spark, path)), "locations")
 
 
 def build_index(edits: DataFrame, locations: DataFrame, method: str = "bucketed") -> DataFrame:

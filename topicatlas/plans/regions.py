@@ -37,7 +37,9 @@ class Regions:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return profile.cluster_categories(self.category_points, self.centroids)
+        """Written once: every table below reads it."""
+        counts = profile.cluster_categories(self.category_points, self.centroids)
+        return cut_lineage(counts, "cluster-categories")
 
     @cached_property
     def main_categories(self) -> DataFrame:
@@ -73,11 +75,9 @@ class Regions:
 
     def write_reports(self, folder: str, mode: str = "errorifexists") -> None:
         """The cluster report and the main categories below ``folder``."""
-        # Both reports come from the same counts; they are computed once.
-        categories = cut_lineage(self.categories, "cluster-categories")
-        write_cluster_report(categories, self.centroids, f"{folder}/clustersCats.csv", mode=mode)
-        main = profile.main_category(categories)
-        write_main_categories(main, self.centroids, f"{folder}/mainCats.csv", mode=mode)
+        report, main = f"{folder}/clustersCats.csv", f"{folder}/mainCats.csv"
+        write_cluster_report(self.categories, self.centroids, report, mode=mode)
+        write_main_categories(self.main_categories, self.centroids, main, mode=mode)
 
 
 def find_regions(
@@ -96,4 +96,4 @@ def find_regions(
     wanted = filter_categories(category_points, include, exclude, literal=literal)
     wanted = cut_lineage(wanted, "category-points")
     points = cut_lineage(weighted_points(wanted), "weighted-points")
-    return Regions(wanted, points, kmeans(points, k, **clustering))
+    return Regions(wanted, points, kmeans(points, k, stored=True, **clustering))
