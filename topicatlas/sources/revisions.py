@@ -28,9 +28,14 @@ def read_stanzas(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def split_stanzas(blocks: DataFrame) -> DataFrame:
     # Lines of white space only also end a record; the line separator of the
-    # reader knows just the empty one.
-    stanza = F.explode(F.split("value", r"\n[ \t\r]+(?=\n)")).alias("stanza")
-    return blocks.select(stanza).filter(F.trim("stanza", F.lit(WHITESPACE)) != "")
+    # reader knows just the empty one.  Few blocks have a line that starts with
+    # white space, so few pay for the regular expression.
+    value = F.col("value")
+    suspect = F.contains(value, F.lit("\n ")) | F.contains(value, F.lit("\n\t"))
+    suspect = suspect | F.contains(value, F.lit("\n\r"))
+    parts = F.when(suspect, F.split(value, r"\n[ \t\r]+(?=\n)")).otherwise(F.array(value))
+    stanzas = blocks.select(F.explode(parts).alias("stanza"))
+    return stanzas.filter(F.trim("stanza", F.lit(WHITESPACE)) != "")
 
 
 def _revision_values(stanza: Column) -> Column:
