@@ -158,6 +158,16 @@ def test_arguments_are_checked(cloud, arguments):
         km.kmeans(cloud, **arguments)
 
 
+def test_work_is_spread_over_the_cluster(cloud, monkeypatch):
+    one = cloud.coalesce(1)
+    assert km._spread(one, 5).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(km, "DISTANCES_PER_TASK", 100)
+    slots = 3 * one.sparkSession.sparkContext.defaultParallelism
+    assert km._spread(one, 1).rdd.getNumPartitions() == 4
+    assert km._spread(one, 500).rdd.getNumPartitions() == slots
+    assert km.kmeans(one, 3, iterations=2).centroids == km.kmeans(cloud, 3, iterations=2).centroids
+
+
 def test_an_update_shuffles_one_row_per_cluster_and_task(cloud):
     plan = km.cluster_means(cloud, [(0.0, 0.0), (1.0, 1.0)])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("partial_sum")

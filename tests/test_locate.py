@@ -81,6 +81,13 @@ def test_a_prepared_table_gives_the_same(rows, places):
     assert plan.count("lead(") <= 2
 
 
+@pytest.mark.parametrize("form", FORMS)
+def test_no_address_has_no_class(rows, places, form):
+    edits = rows("long_ip long", (None,), (-5,), (2**40,))
+    found = locate.resolve_locations(edits, places, **FORMS[form])
+    assert as_tuples(found) == [(-5, None), (2**40, 500), (None, None)]
+
+
 def test_empty_location_table(rows):
     edits = rows("long_ip long", (5,))
     for method in ("bucketed", "window"):

@@ -127,6 +127,16 @@ def test_index_and_direct_counts_agree(spark, inputs):
     assert ("art", 153028090, -27467940, 2) in direct and len(direct) == 6
 
 
+def test_only_combined_counts_are_shuffled(spark, inputs):
+    from topicatlas.sources import read_locations
+
+    edits, locations = prepare_edits(spark, inputs[0]), read_locations(spark, inputs[1])
+    plan = locate_categories(edits, locations)._jdf.queryExecution().executedPlan().toString()
+    edit_side = plan[: plan.index("BroadcastExchange")]
+    assert edit_side.count("Exchange") == 1
+    assert edit_side.index("Exchange") < edit_side.index("partial_count")
+
+
 def test_command_line(spark, inputs, tmp_path):
     from topicatlas.sinks import write_edits
 

@@ -26,6 +26,9 @@ Centroid = tuple[float, float]
 # the generated method is too long for the JIT and Arrow batches are faster.
 EXPRESSION_CENTROIDS = 32
 
+# Work of one task in an update; a table of few, full files has too few tasks.
+DISTANCES_PER_TASK = 2_000_000
+
 
 def seed_centroids(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct points in the order of a seeded hash, as ``cluster, lon_udeg, lat_udeg``."""
@@ -211,6 +214,13 @@ def centroid_table(spark: SparkSession, centroids: Sequence[Centroid]) -> DataFr
     return spark.createDataFrame(rows, CENTROID)
 
 
+def _spread(points: DataFrame, k: int) -> DataFrame:
+    """The points in enough partitions to keep the cluster busy."""
+    slots = 3 * points.sparkSession.sparkContext.defaultParallelism
+    wanted = min(math.ceil(points.count() * k / DISTANCES_PER_TASK), slots)
+    return points.repartition(wanted) if points.rdd.getNumPartitions() < wanted else points
+
+
 def kmeans(
     points: DataFrame,
     k: int,
@@ -240,7 +250,7 @@ def kmeans(
     stable = points.select("lon_udeg", "lat_udeg", "n")
     if not stored:
         stable = cut_lineage(stable, "points")
-    stable = stable.persist(StorageLevel.MEMORY_AND_DISK)
+    stable = _spread(stable, k).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centroids = initial_centroids(stable, k, seed, init, given)
         log: list[tuple[int, int, float, float, float]] = []

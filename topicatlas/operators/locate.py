@@ -7,7 +7,7 @@ belong to the range before the gap.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +33,12 @@ def _ipv4(locations: DataFrame) -> DataFrame:
     return locations.filter(F.col("ip_from").between(0, IPV4_MAX))
 
 
-def _block(column: str):
+def _within_ipv4(address: Column) -> Column:
+    # Larger numbers belong to the last range; least() would also turn null into the end.
+    return F.when(address > IPV4_MAX, F.lit(IPV4_MAX)).otherwise(address)
+
+
+def _block(column: str) -> Column:
     return F.shiftright(column, BLOCK_BITS).cast("int")
 
 
@@ -109,7 +114,7 @@ def _bucketed(edits, locations, bits, attach, broadcast_bytes, rows_per_task):
     ranges = locations.count()
     if bits is None:
         bits = bucket_bits(ranges)
-    probed = edits.withColumn("_probe", F.least("long_ip", F.lit(IPV4_MAX))).withColumn(
+    probed = edits.withColumn("_probe", _within_ipv4(F.col("long_ip"))).withColumn(
         "bucket", F.shiftright("_probe", bits)
     )
     located = balanced_join(
@@ -159,7 +164,7 @@ def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
         )
         .unionByName(
             addresses.select("long_ip").distinct().select(
-                F.least("long_ip", F.lit(IPV4_MAX)).alias("ip"), "long_ip"
+                _within_ipv4(F.col("long_ip")).alias("ip"), "long_ip"
             ).select(
                 _block("ip").alias("block"), "ip", F.lit(2).alias("kind"),
                 F.lit(None).cast("bigint").alias("start"), "long_ip",
