@@ -15,6 +15,10 @@ from topicatlas.operators.points import weighted_points
 from topicatlas.sinks.text import write_cluster_report, write_main_categories
 
 
+# Names of the report folders.
+CLUSTER_REPORT, MAIN_REPORT = "clustersCats.csv", "mainCats.csv"
+
+
 @dataclass(frozen=True)
 class Regions:
     """A clustering with the tables that describe it, each built when asked for."""
@@ -75,7 +79,7 @@ class Regions:
 
     def write_reports(self, folder: str, mode: str = "errorifexists") -> None:
         """The cluster report and the main categories below ``folder``."""
-        report, main = f"{folder}/clustersCats.csv", f"{folder}/mainCats.csv"
+        report, main = f"{folder}/{CLUSTER_REPORT}", f"{folder}/{MAIN_REPORT}"
         write_cluster_report(self.categories, self.centroids, report, mode=mode)
         write_main_categories(self.main_categories, self.centroids, main, mode=mode)
 
