@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicatlas.llm import chat, simhash
+from topicatlas.llm import chat, recompression, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,6 +23,17 @@ def hex_digest(text):
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+@query
+def op5_substring_dedup(spark, sf):
+    kept = recompression.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), window=35)
+    return kept.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        hex_digest(F.col("text")).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_chat_format(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,6 +67,21 @@ def op10_simhash(spark, sf):
 
 
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT r, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+h AS (SELECT r, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM s),
+twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT r, i + unnest(range(35)) AS i FROM h WHERE h IN (SELECT h FROM twice)),
+k AS (SELECT r, list(i) AS gone FROM covered GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, j: gone IS NULL OR NOT list_contains(gone, j)), ' ')) AS kept_sha256
+FROM w LEFT JOIN k USING (r)
+""",
     "op8_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
