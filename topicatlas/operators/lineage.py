@@ -3,21 +3,26 @@
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Frees the shuffle files of a finished write; the written table takes their place.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_folder(spark: SparkSession) -> str | None:
+
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; on ``local`` masters a new one in its absence.
 
-    None on a cluster that names none: a machine-local folder would not be seen
-    by the other machines.
+    A cluster that names none is an error: the other machines would not see a
+    machine-local folder, and a table that is only kept in memory is lost with its
+    executors.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.master.startswith("local"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="topicatlas-"))
         folder = context.getCheckpointDir()
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return folder
 
 
@@ -25,13 +30,14 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a written table.
 
     Losing an executor then costs a re-read, not a recomputation from the raw
-    files, and the optimizer knows the true size of the table.  Without a shared
-    folder the rows are persisted instead, which keeps the lineage.
+    files, and the optimizer knows the true size of the table.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
