@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.llm.common import documents, slices
-from topicatlas.operators.lineage import cut_lineage
+from topicatlas.operators.lineage import cut_lineage, discard
 
 #: Words of a window.
 WINDOW = 35
@@ -222,8 +222,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     shared = cut_lineage(shared, "shared-names")
     found = cut_lineage(rows.join(shared, "name").select("doc_id", "start"), "shared-symbols")
+    discard(rows, shared)
     by_doc = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("start").alias("starts"))
     by_doc = cut_lineage(by_doc, "shared-by-document")
+    discard(found)
     candidates = source.withColumn("text_key", text_key("text")).join(
         by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left"
     )
@@ -231,9 +233,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         _window_rows(window, rounds), "one long, two int, doc_id long, at long"
     )
     windows = cut_lineage(windows, "windows")
+    discard(by_doc)
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     twice = cut_lineage(twice, "repeated")
     found = cut_lineage(windows.join(twice, ["one", "two"]).select("doc_id", "at"), "repeated-windows")
+    discard(windows, twice)
     by_doc = found.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     return cut_lineage(by_doc, "repeated-by-document")
 
