@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicatlas.llm import chat, recompression, simhash
+from topicatlas.llm import chat, recompression, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,6 +34,13 @@ def op5_substring_dedup(spark, sf):
     )
 
 
+@query
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, table(spark, sf, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 @query
 def op8_chat_format(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
