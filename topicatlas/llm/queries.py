@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicatlas.llm import chat, recompression, simhash, toxicity
+from topicatlas.llm import chat, packing, recompression, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,6 +24,11 @@ def hex_digest(text):
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+@query
+def op2_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op5_substring_dedup(spark, sf):
     kept = recompression.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), window=35)
@@ -67,6 +73,13 @@ def op8_chat_format(spark, sf):
     )
 
 
+@query
+def op9_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fitted(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_tagged")
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4)
