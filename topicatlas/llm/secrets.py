@@ -19,6 +19,8 @@ SAMPLE_CHARS = 20_000
 #: A tagged span has so many characters at least, as the value of an assignment has.
 LEAST_CHARS = 8
 REMEMBERED = 400_000
+#: Lines are learned from in parts of so many tokens at most.
+FIT_TOKENS = 64
 MASK = "[SECRET]"
 
 # Fixed patterns of the base spans.
@@ -52,6 +54,11 @@ def values(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> str:
     """The kinds of characters in order, runs once, at most eight of them."""
+    if token.isalpha():
+        if token.islower():
+            return "a"
+        if token[0].isupper() and token[1:].islower():
+            return "Aa"
     kinds = []
     for c in token[:64]:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
@@ -60,25 +67,24 @@ def shape(token: str) -> str:
     return "".join(kinds[:8])
 
 
-def own_features(token: str) -> list[str]:
-    mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-    turns = min(len(shape(token)), 6)
+def own_features(token: str, form: str) -> list[str]:
+    mixed = "9" in form and ("a" in form or "A" in form)
     size = min(len(token) // 4, 10)
     only_hex = len(token) > 7 and not token.strip("0123456789abcdef")
     return [
         "bias",
-        f"shape={shape(token)}",
+        f"shape={form}",
         f"size={size}",
         f"mixed={mixed},{size}",
-        f"turns={turns},{mixed}",
+        f"turns={min(len(form), 6)},{mixed}",
         f"hex={only_hex}",
         f"various={min(len(set(token)) // 3, 8)},{mixed}",
         f"start={token[:4]}",
     ]
 
 
-def near_features(token: str) -> list[str]:
-    return [f"word={token[:12].lower()}", f"shape={shape(token)}"]
+def near_features(token: str, form: str) -> list[str]:
+    return [f"word={token[:12].lower()}", f"shape={form}"]
 
 
 def file_features(text: str) -> list[str]:
@@ -95,22 +101,27 @@ class Model:
     """Weights by place and feature, each for the three labels, and moves between labels."""
 
     def __init__(self, weights: dict[tuple[str, str], np.ndarray], moves: np.ndarray):
-        self.weights, self.moves = weights, moves
+        self.moves = moves
+        self.weights = {side: {} for side in ("file", *(side for side, _ in SIDES))}
+        for (side, feature), w in weights.items():
+            self.weights[side][feature] = tuple(w.tolist())
 
-    def token_scores(self, token: str) -> np.ndarray:
-        near = near_features(token)
-        return np.array([self._sum(side, own_features(token) if side == "own" else near) for side, _ in SIDES])
+    def token_scores(self, token: str) -> list[tuple[float, float, float]]:
+        form = shape(token)
+        near = near_features(token, form)
+        return [self._sum(side, own_features(token, form) if side == "own" else near) for side, _ in SIDES]
 
-    def file_scores(self, text: str) -> np.ndarray:
+    def file_scores(self, text: str) -> tuple[float, float, float]:
         return self._sum("file", file_features(text))
 
-    def _sum(self, side: str, features: list[str]) -> np.ndarray:
-        total = np.zeros(3)
-        for f in features:
-            w = self.weights.get((side, f))
-            if w is not None:
-                total += w
-        return total
+    def _sum(self, side: str, features: list[str]) -> tuple[float, float, float]:
+        table = self.weights[side]
+        outside = begin = inside = 0.0
+        for feature in features:
+            if feature in table:
+                o, b, i = table[feature]
+                outside, begin, inside = outside + o, begin + b, inside + i
+        return outside, begin, inside
 
 
 def fit(texts: list[str], least: int = 3) -> Model:
@@ -139,6 +150,7 @@ def fit(texts: list[str], least: int = 3) -> Model:
             tokens.append(m[0])
         if tokens:
             lines.append((tokens, labels, of_file))
+    lines = [(t[k : k + FIT_TOKENS], y[k : k + FIT_TOKENS], f) for t, y, f in lines for k in range(0, len(t), FIT_TOKENS)]
     hot = [x for x in lines if any(x[1])]
     cold = [x for x in lines if not any(x[1])]
     lines = hot + cold[:: max(1, len(cold) // max(4 * len(hot), 500))]
@@ -148,10 +160,10 @@ def fit(texts: list[str], least: int = 3) -> Model:
     for tokens, labels, of_file in lines:
         begin = len(labels_of)
         for k, token in enumerate(tokens):
-            fs = [("own", f) for f in own_features(token)] + [("file", f) for f in of_file]
+            fs = [("own", f) for f in own_features(token, shape(token))] + [("file", f) for f in of_file]
             for side, step in SIDES[1:]:
                 if 0 <= k + step < len(tokens):
-                    fs += [(side, f) for f in near_features(tokens[k + step])]
+                    fs += [(side, f) for f in near_features(tokens[k + step], shape(tokens[k + step]))]
             seen.update(fs)
             places += [(begin + k, f) for f in fs]
         labels_of += labels
@@ -159,7 +171,7 @@ def fit(texts: list[str], least: int = 3) -> Model:
     kept = [(t, number[f]) for t, f in places if f in number]
     pairs = np.array(kept, np.int64).reshape(-1, 2)
     lengths = np.array([len(x[0]) for x in lines], np.int64)
-    weights, moves = crf.fit([[pairs[:, 0], pairs[:, 1]]], len(number), np.array(labels_of, np.int64), lengths, 3)
+    weights, moves = crf.fit([[pairs[:, 0], pairs[:, 1]]], len(number), np.array(labels_of, np.int64), lengths, 3, steps=40)
     moves[OUTSIDE, INSIDE] = -1e4  # an inside follows a begin or an inside
     used = {f: weights[i] for f, i in number.items() if np.abs(weights[i]).max() > 1e-3}
     return Model(used, moves)
@@ -170,14 +182,17 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model, self.kind, self.scores = model, {}, []
+        self.table = np.zeros((0, len(SIDES), 3), np.float32)
 
     def tagged(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if len(self.kind) > REMEMBERED:
             self.kind, self.scores = {}, []
+            self.table = self.table[:0]
         kind, scores = self.kind, self.scores
         if "\n" not in kind:
             kind["\n"] = len(scores)
-            scores.append(np.zeros((len(SIDES), 3)))
+            scores.append([(0.0, 0.0, 0.0)] * len(SIDES))
+        end = kind["\n"]
         rows, sizes = [], []
         for text in texts:
             found = TOKEN.findall(text)
@@ -185,30 +200,36 @@ class Tagger:
                 kind[token] = len(scores)
                 scores.append(self.model.token_scores(token))
             rows.extend(map(kind.__getitem__, found))
-            sizes.append(len(found))
+            rows.append(end)
+            sizes.append(len(found) + 1)
         token, doc = np.array(rows, np.int64), np.repeat(np.arange(len(texts)), sizes)
-        stop = token == kind["\n"]
-        line = (np.cumsum(stop) + doc)[~stop]
-        token, doc = token[~stop], doc[~stop]
+        if len(scores) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(scores[len(self.table) :], np.float32)])
+        table = self.table[:, :, 1:]  # outside scores nothing
+        total = table[token, 0] + np.array([self.model.file_scores(t)[1:] for t in texts], np.float32).reshape(-1, 2)[doc]
+        total[1:] += table[token[:-1], 1]
+        total[:-1] += table[token[1:], 3]
+        total[2:] += np.where((token[1:-1] != end)[:, None], table[token[:-2], 2], 0)
+        # A span is worth the scores of its tokens and the moves in place of staying
+        # outside, so a line has none if no token outweighs two such moves.
+        moves = self.model.moves
+        worth = max(0.0, float(moves.max() - moves[OUTSIDE, OUTSIDE]))
+        stop = token == end
+        line = np.cumsum(stop) - stop
+        possible = ~stop & (total.max(axis=1) >= -2 * worth)
         result: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if not len(token):
+        if not possible.any():
             return result
-        files = np.array([self.model.file_scores(t) for t in texts])
-        table = np.array(scores, np.float32)
-        total = files[doc]
-        for k, (_, step) in enumerate(SIDES):
-            at = np.arange(len(token)) + step
-            there = (at >= 0) & (at < len(token))
-            there[there] = line[at[there]] == line[there]
-            total[there] += table[token[at[there]], k]
-        starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        first = np.zeros(len(token), bool)
-        first[starts] = True
-        total[first, INSIDE] -= 1e4
-        chains = crf.Chains(np.diff(np.append(starts, len(token))))
-        label = crf.viterbi(total, self.model.moves, chains)
-        for d in np.unique(doc[label != OUTSIDE]).tolist():
-            result[d] = self._offsets(texts[d], label[doc == d].tolist())
+        use = np.flatnonzero(np.isin(line, line[possible]) & ~stop)
+        line, part, doc_of = line[use], np.zeros((len(use), 3)), doc[use]
+        part[:, 1:] = total[use]
+        first = np.append(True, line[1:] != line[:-1])
+        part[first, INSIDE] -= 1e4
+        chains = crf.Chains(np.diff(np.append(np.flatnonzero(first), len(line))))
+        label = np.zeros(len(token), np.int8)
+        label[use] = crf.viterbi(part, moves, chains)
+        for d in np.unique(doc_of[label[use] != OUTSIDE]).tolist():
+            result[d] = self._offsets(texts[d], label[(doc == d) & ~stop].tolist())
         return result
 
     @staticmethod
