@@ -1,6 +1,7 @@
 """Secrets by patterns and by a linear-chain conditional random field over tokens."""
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -14,13 +15,13 @@ from topicatlas.llm.common import documents, per_document, slices
 KINDS = ("assign", "access", "hex", "tagged")
 #: Bounds of the sample the field is fitted on: documents that may hold a secret, as
 #: many others, and the characters of each.
-SAMPLE_DOCUMENTS = 1_500
+SAMPLE_DOCUMENTS = 1_000
 SAMPLE_CHARS = 20_000
 #: A tagged span has so many characters at least, as the value of an assignment has.
 LEAST_CHARS = 8
 REMEMBERED = 400_000
 #: Lines are learned from in parts of so many tokens at most.
-FIT_TOKENS = 64
+FIT_TOKENS = 32
 MASK = "[SECRET]"
 
 # Fixed patterns of the base spans.
@@ -129,7 +130,7 @@ def fit(texts: list[str], least: int = 3) -> Model:
 
     A token's label is outside, or begin or inside of a value of a base span.
     Features seen in fewer than ``least`` places are left out.  All lines with a
-    secret are learned from, and of the others four times as many, evenly spread.
+    secret are learned from, and of the others three times as many, evenly spread.
     """
     lines: list[tuple[list[str], list[int], list[str]]] = []
     for text in texts:
@@ -153,25 +154,25 @@ def fit(texts: list[str], least: int = 3) -> Model:
     lines = [(t[k : k + FIT_TOKENS], y[k : k + FIT_TOKENS], f) for t, y, f in lines for k in range(0, len(t), FIT_TOKENS)]
     hot = [x for x in lines if any(x[1])]
     cold = [x for x in lines if not any(x[1])]
-    lines = hot + cold[:: max(1, len(cold) // max(4 * len(hot), 500))]
-    seen: Counter = Counter()
-    places: list[tuple[int, tuple[str, str]]] = []
-    labels_of: list[int] = []
+    lines = hot + cold[:: max(1, len(cold) // max(3 * len(hot), 500))]
+    number: dict[tuple[str, str], int] = {}
+    at, which, labels_of = array("q"), array("q"), []
     for tokens, labels, of_file in lines:
         begin = len(labels_of)
+        forms = [shape(t) for t in tokens]
         for k, token in enumerate(tokens):
-            fs = [("own", f) for f in own_features(token, shape(token))] + [("file", f) for f in of_file]
+            fs = [("own", f) for f in own_features(token, forms[k])] + [("file", f) for f in of_file]
             for side, step in SIDES[1:]:
                 if 0 <= k + step < len(tokens):
-                    fs += [(side, f) for f in near_features(tokens[k + step], shape(tokens[k + step]))]
-            seen.update(fs)
-            places += [(begin + k, f) for f in fs]
+                    fs += [(side, f) for f in near_features(tokens[k + step], forms[k + step])]
+            which.extend(number.setdefault(f, len(number)) for f in fs)
+            at.extend([begin + k] * len(fs))
         labels_of += labels
-    number = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= least)}
-    kept = [(t, number[f]) for t, f in places if f in number]
-    pairs = np.array(kept, np.int64).reshape(-1, 2)
+    at, which = np.array(at, np.int64), np.array(which, np.int64)
+    often = np.bincount(which, minlength=len(number)) >= least
+    at, which = at[often[which]], which[often[which]]
     lengths = np.array([len(x[0]) for x in lines], np.int64)
-    weights, moves = crf.fit([[pairs[:, 0], pairs[:, 1]]], len(number), np.array(labels_of, np.int64), lengths, 3, steps=40)
+    weights, moves = crf.fit([[at, which]], len(number), np.array(labels_of, np.int64), lengths, 3, steps=40)
     moves[OUTSIDE, INSIDE] = -1e4  # an inside follows a begin or an inside
     used = {f: weights[i] for f, i in number.items() if np.abs(weights[i]).max() > 1e-3}
     return Model(used, moves)

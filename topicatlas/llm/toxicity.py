@@ -2,6 +2,7 @@
 
 import heapq
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from topicatlas.llm import crf
 from topicatlas.llm.common import documents, per_document, slices
 
-#: Bounds of the sample the field is fitted on: labelled documents, and characters of each.
-SAMPLE_DOCUMENTS = 8_000
+#: Bounds of the sample the field is fitted on: toxic and clean documents, and characters of each.
+SAMPLE_DOCUMENTS = {1: 800, 0: 3_200}
 SAMPLE_CHARS = 20_000
 #: Documents of this remainder of crc32(doc_id as text) are never learned from.
 HELD_OUT, FOLDS = 2, 4
@@ -44,9 +45,9 @@ class Sample:
 
     def __init__(self, texts: list[str]):
         self.kind: dict[str, int] = {}
-        tokens, docs, lengths = [], [], []
-        for d, text in enumerate(texts):
-            run = 0
+        tokens, sizes, lengths = array("q"), [], []
+        for text in texts:
+            run, before = 0, len(tokens)
             for token in TOKEN.findall(text):
                 if token in BREAKS:
                     if run:
@@ -54,11 +55,12 @@ class Sample:
                     run = 0
                 else:
                     tokens.append(self.kind.setdefault(token, len(self.kind)))
-                    docs.append(d)
                     run += 1
             if run:
                 lengths.append(run)
-        self.token, self.doc = np.array(tokens, np.int64), np.array(docs, np.int64)
+            sizes.append(len(tokens) - before)
+        self.token = np.frombuffer(tokens, np.int64).copy() if tokens else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), np.array(sizes, np.int64))
         self.length = np.array(lengths, np.int64)
         self.n_docs = len(texts)
 
@@ -71,18 +73,19 @@ class Sample:
         return before, after
 
 
-def telling_features(sample: Sample, toxic: np.ndarray, least: int = 4, precision: float = 0.9) -> set[str]:
+def telling_features(sample: Sample, toxic: np.ndarray, weight: float = 1.0, least: int = 4, precision: float = 0.9) -> set[str]:
     """Words and word beginnings that mark toxic documents.
 
     Chosen greedily by how many toxic documents they explain that none before does,
     at equal numbers the longer; of the documents that hold one, a share of at least
-    ``precision`` must be toxic.  Words in one of a hundred toxic documents, and in
+    ``precision`` must be toxic, where a clean one counts ``weight``-fold.  Words in one of a hundred toxic documents, and in
     hardly a clean one, are chosen whatever else explains these documents.
     """
-    pairs = np.unique(np.stack([sample.doc, sample.token]), axis=1)
     docs_of = defaultdict(set)
     words = list(sample.kind)
-    in_toxic = set(pairs[1][toxic[pairs[0]] == 1].tolist())
+    n = max(len(words), 1)
+    both = np.unique(sample.doc * n + sample.token)
+    in_toxic = set((both % n)[toxic[both // n] == 1].tolist()) if len(both) else set()
     marks = {k: [f for f in own_features(words[k]) if f[0] in "wp"] for k in in_toxic}
     possible = {f for fs in marks.values() for f in fs}
     for k, word in enumerate(words):
@@ -90,16 +93,14 @@ def telling_features(sample: Sample, toxic: np.ndarray, least: int = 4, precisio
             fs = [f for f in own_features(word) if f[0] in "wp" and f in possible]
             if fs:
                 marks[k] = fs
-    for d, k in pairs.T.tolist():
-        for f in marks.get(k, ()):
+    both = both[np.isin(both % n, np.array(list(marks), np.int64))]
+    for d, k in zip((both // n).tolist(), (both % n).tolist(), strict=True):
+        for f in marks[k]:
             docs_of[f].add(d)
     bad = set(np.flatnonzero(toxic == 1).tolist())
     good = {f: ds & bad for f, ds in docs_of.items()}
-    heap = [
-        (-len(good[f]), -len(f), f)
-        for f, ds in docs_of.items()
-        if len(good[f]) >= least and len(good[f]) >= precision * len(ds)
-    ]
+    share = {f: len(good[f]) / (len(good[f]) + weight * len(ds - bad)) for f, ds in docs_of.items() if good[f]}
+    heap = [(-len(good[f]), -len(f), f) for f, p in share.items() if len(good[f]) >= least and p >= precision]
     heapq.heapify(heap)
     chosen, explained = set(), set()
     while heap:
@@ -113,7 +114,7 @@ def telling_features(sample: Sample, toxic: np.ndarray, least: int = 4, precisio
         chosen.add(f)
         explained |= good[f]
     often = max(5 * least, len(bad) / 100)
-    return chosen | {f for f, ds in good.items() if f[0] == "w" and len(ds) >= often and len(ds) >= 0.98 * len(docs_of[f])}
+    return chosen | {f for f, p in share.items() if f[0] == "w" and len(good[f]) >= often and p >= 0.98}
 
 
 class Model:
@@ -139,28 +140,32 @@ def document_features(log_odds: np.ndarray, doc: np.ndarray, n_docs: int) -> np.
     return np.stack([np.ones(n_docs), top / 4, np.log1p(expected)], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (weight * (p - y)) + ridge * w)
     return w
 
 
-def fit(texts: list[str], toxic: list[int], calibrate: list[bool]) -> Model:
-    """A model from labelled texts; those of ``calibrate`` set the document score alone."""
+def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float = 1.0) -> Model:
+    """A model from labelled texts; those of ``calibrate`` set the document score alone.
+
+    ``weight`` is how many clean documents each clean one of the sample stands for,
+    if a toxic one stands for one.
+    """
     y, later = np.array(toxic, np.int64), np.array(calibrate, bool)
     early = np.flatnonzero(~later)
     sample = Sample([texts[i] for i in early])
     own_of = [own_features(w) for w in sample.kind]
-    told = telling_features(sample, y[early])
+    told = telling_features(sample, y[early], weight)
     marked = np.array([any(f in told for f in fs) for fs in own_of], bool)
     label = (marked[sample.token] if len(sample.token) else np.zeros(0, bool)) & (y[early][sample.doc] == 1)
     chain = np.repeat(np.arange(len(sample.length)), sample.length)
     with_toxic = np.bincount(chain, label, len(sample.length)) > 0 if len(chain) else np.zeros(0, bool)
     others = np.flatnonzero(~with_toxic)
-    n_others = max(4 * int(with_toxic.sum()), 2000)
+    n_others = max(2 * int(with_toxic.sum()), 2000)
     use = with_toxic.copy()
     use[others[:: max(1, len(others) // n_others)]] = True
     on = use[chain]
@@ -188,7 +193,7 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool]) -> Model:
     model = Model(tables["own"], tables["before"], tables["after"], moves, np.zeros(3))
     for_score = np.flatnonzero(later) if later.sum() >= 20 else np.arange(len(y))
     odds, doc = Scorer(model).odds([texts[i] for i in for_score])
-    model.document = logistic(document_features(odds, doc, len(for_score)), y[for_score])
+    model.document = logistic(document_features(odds, doc, len(for_score)), y[for_score], np.where(y[for_score] == 1, 1.0, weight))
     return model
 
 
@@ -240,28 +245,30 @@ class Scorer:
         return {"score": 1 / (1 + np.exp(-np.clip(x, -30, 30))), "spans": spans}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
-    """The bounded sample: the first documents by a hash of their id, none held out.
+def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of a bounded sample; none without a toxic and a clean document in it.
 
-    The ids are chosen from the labels and broadcast, at most twice the bound of
-    them, so the texts are not shuffled.  A document with several labels is toxic
-    if one says so; rows that repeat a text count once.
+    Of either label the first documents by a hash of their id are taken, none held
+    out.  The ids are chosen from the labels and broadcast, at most twice the bound
+    of them, so texts are not shuffled.  A document with several labels is toxic if
+    one says so; rows that repeat a text count once.
     """
     marks = labels.where("doc_id is not null and toxic is not null")
-    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    marks = marks.where(fold(F.col("doc_id")) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_DOCUMENTS)
-    found = documents(docs).where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(marks), "doc_id")
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
-    return list({r["text"]: (r["doc_id"], r["text"], r["_toxic"]) for r in rows}.values())
-
-
-def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of the sample; none without a toxic and a clean document in it."""
-    rows = sorted(labelled_sample(docs, labels))
-    if len({r[2] for r in rows}) < 2:
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
+    marks = marks.where(fold(F.col("doc_id")) != HELD_OUT)
+    counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
+    texts: dict[int, list[str]] = {}
+    for label, bound in SAMPLE_DOCUMENTS.items():
+        ids = marks.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
+        found = documents(docs).where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
+        rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(bound).collect()
+        texts[label] = sorted({r["text"] for r in rows})
+    if not texts[0] or not texts[1]:
         return None
-    later = [i % 4 == 3 for i in range(len(rows))]
-    return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows], later)
+    whole = texts[1] + texts[0]
+    toxic = [1] * len(texts[1]) + [0] * len(texts[0])
+    weight = (counts[0] / len(texts[0])) / (counts[1] / len(texts[1]))
+    return fit(whole, toxic, [i % 4 == 3 for i in range(len(whole))], weight)
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
