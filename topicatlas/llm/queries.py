@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicatlas.llm import chat, packing, recompression, secrets, simhash, toxicity
+from topicatlas.llm import chat, imatch, lattice, packing, pieces, pii, recompression, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,11 +24,50 @@ def hex_digest(text):
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+@query
+def op1_pii(spark, sf):
+    found = pii.find(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        hex_digest(pii.in_text(F.col("base"))).alias("base_sha256"),
+        pii.in_text(pii.merged(F.col("base"), F.col("found"))).alias("spans"),
+        F.size("found").cast("long").alias("n_context"),
+    )
+
+
 @query
 def op2_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op3_sentencepiece(spark, sf):
+    encoded = pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        hex_digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hex_digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_imatch(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = imatch.compare_with_next(docs, imatch.lexicon(docs))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        hex_digest(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 @query
 def op5_substring_dedup(spark, sf):
     kept = recompression.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), window=35)
@@ -40,6 +79,11 @@ def op5_substring_dedup(spark, sf):
     )
 
 
+@query
+def op6_lattice(spark, sf):
+    return lattice.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
+
+
 @query
 def op7_toxicity(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
