@@ -125,6 +125,7 @@ def test_locations(spark, lines):
     assert as_tuples(found, "ip_from", "ip_to", "city_name", "lat_udeg", "lon_udeg") == [
         (0, 16777215, "-", 0, 0),
         (16777216, 16777471, "Brisbane, East", -27467940, 153028090),
+        (16777472, 16778239, "Fuzhou", None, 119306110),
     ]
     assert sources.malformed_locations(spark, path).count() == 2
 
@@ -144,7 +145,7 @@ def test_category_index(spark, lines):
 def test_category_index_round_trip_with_cut_lines(spark, rows, tmp_path):
     counts = rows("category string, class_ip long, n long", ("art", 1, 7), ("art", 9, 1), ("_b", 5, 2))
     path = str(tmp_path / "index")
-    sinks.write_category_index(counts, path, longest=3, single_file=True)
+    sinks.write_category_index(counts, path, longest=3)
     written = [r[0] for r in spark.read.text(path).collect()]
     assert max(line.count("|") + 1 for line in written) <= 6
     assert sorted("|".join(l.split("#")[1] for l in written if l.startswith("art")).split("|")) == ["1"] * 7 + ["9"]
@@ -174,12 +175,9 @@ def test_cluster_reports(spark, rows, tmp_path):
         "cluster int, category string, n long", (1, "art", 5), (1, "music", 9), (0, "b", 2), (1, "a", 5)
     )
     centroids = [(10.5, -3.25), (0.0, 1.0)]
-    for single in (True, False):
-        path = str(tmp_path / f"report-{single}")
-        sinks.write_cluster_report(counts, centroids, path, single_file=single)
-        files = sorted((tmp_path / f"report-{single}").glob("part-*"))
-        text = "".join(f.read_text() for f in files)
-        assert text == "0,-3.25,10.5:\n\t(b,2)\n1,1.0,0.0:\n\t(music,9)\n\t(a,5)\n\t(art,5)\n"
+    sinks.write_cluster_report(counts, centroids, str(tmp_path / "report"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "report").glob("part-*")))
+    assert text == "0,-3.25,10.5:\n\t(b,2)\n1,1.0,0.0:\n\t(music,9)\n\t(a,5)\n\t(art,5)\n"
     main = profile.main_category(counts)
     sinks.write_main_categories(main, centroids, str(tmp_path / "main"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "main")).collect()] == [

@@ -4,6 +4,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from topicatlas.operators.lineage import cut_lineage
 from topicatlas.operators.points import category_points
 from topicatlas.plans import build_index, find_regions, prepare_locations
 from topicatlas.sinks import output_name, write_category_index
@@ -40,7 +41,8 @@ def main(arguments: list[str] | None = None) -> str:
         if not options.edits:
             raise SystemExit("-a needs --edits")
         index = build_index(read_edits(spark, options.edits), locations)
-        write_category_index(index.filter("class_ip IS NOT NULL"), options.index)
+        index = cut_lineage(index.filter("class_ip IS NOT NULL"), "index")
+        write_category_index(index, options.index)
     counts = read_category_ips(spark, options.index)
     regions = find_regions(
         category_points(counts, locations),

@@ -44,7 +44,7 @@ def seed_occurrences(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     Every occurrence has an exponential key and the k smallest win.  The smallest
     key of a point with n occurrences is one draw divided by n, so the k points
     with the smallest first keys are enough; only those are expanded, each to at
-    most k occurrences.
+    most k occurrences.  Rows that repeat a point add up.
     """
 
     def spacing(index: Column) -> Column:
@@ -56,6 +56,7 @@ def seed_occurrences(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     def smallest(df: DataFrame) -> DataFrame:
         return df.orderBy("_draw", "lon_udeg", "lat_udeg").limit(k)
 
+    points = points.groupBy("lon_udeg", "lat_udeg").agg(F.sum("n").alias("n"))
     first = smallest(points.withColumn("_draw", spacing(F.lit(1).cast("bigint"))))
     index = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(k).cast("bigint"))))
     upto = W.partitionBy("lon_udeg", "lat_udeg").orderBy("_index")
@@ -80,11 +81,13 @@ def initial_centroids(
     init: str = "distinct",
     given: Sequence[Centroid] | None = None,
 ) -> list[Centroid]:
-    """The given centroids if there are k of them, else drawn ones.
+    """The given centroids, of which there must be k, else drawn ones.
 
     Fewer points than k is an error unless ``init`` is ``random``.
     """
-    if given is not None and len(given) == k:
+    if given is not None:
+        if len(given) != k:
+            raise ValueError(f"{len(given)} centroids are given for k={k}")
         return [(float(lon), float(lat)) for lon, lat in given]
     if init == "random":
         rows = random_points(points.sparkSession, k, seed).orderBy("cluster").collect()

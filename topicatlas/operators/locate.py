@@ -224,6 +224,11 @@ def resolve_locations(
     return located
 
 
+def _placed(locations: DataFrame) -> DataFrame:
+    named = [c for c in ("lon_udeg", "lat_udeg") if c in locations.columns]
+    return locations.dropna(subset=named) if named else locations
+
+
 def attach_location(
     df: DataFrame,
     locations: DataFrame,
@@ -231,8 +236,11 @@ def attach_location(
     broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Adds location columns by ``class_ip``; rows without a location are left out."""
-    lookup = _unique(locations, columns).withColumnRenamed("ip_from", "class_ip")
+    """Adds location columns by ``class_ip``; rows without a location are left out.
+
+    A class whose coordinates are null is without one.
+    """
+    lookup = _placed(_unique(locations, columns)).withColumnRenamed("ip_from", "class_ip")
     return balanced_join(
         df, lookup, ["class_ip"], lookup_rows=locations.count(),
         broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
@@ -241,5 +249,5 @@ def attach_location(
 
 def unmatched_classes(df: DataFrame, locations: DataFrame) -> DataFrame:
     """The rows :func:`attach_location` leaves out, for auditing."""
-    starts = locations.select(F.col("ip_from").alias("class_ip")).distinct()
+    starts = _placed(locations).select(F.col("ip_from").alias("class_ip")).distinct()
     return balanced_join(df, starts, ["class_ip"], "left_anti", lookup_rows=locations.count())

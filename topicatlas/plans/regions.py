@@ -90,6 +90,7 @@ def find_regions(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     literal: bool = False,
+    match: str = "any",
     **clustering,
 ) -> Regions:
     """Clusters the points of the wanted categories.
@@ -97,7 +98,7 @@ def find_regions(
     Further arguments go to :func:`topicatlas.operators.kmeans.kmeans`.  The
     filtered counts are written once: the clustering and every table read them.
     """
-    wanted = filter_categories(category_points, include, exclude, literal=literal)
+    wanted = filter_categories(category_points, include, exclude, match=match, literal=literal)
     wanted = cut_lineage(wanted, "category-points")
     points = cut_lineage(weighted_points(wanted), "weighted-points")
     return Regions(wanted, points, kmeans(points, k, stored=True, **clustering))

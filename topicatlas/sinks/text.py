@@ -33,7 +33,6 @@ def write_category_index(
     path: str,
     separator: str = "#",
     compression: str = "bzip2",
-    single_file: bool = False,
     mode: str = "errorifexists",
     longest: int = 100_000,
 ) -> None:
@@ -50,8 +49,6 @@ def write_category_index(
         ),
     )
     lines = category_lines(checked, separator, longest).select("line")
-    if single_file:
-        lines = lines.repartition(1)
     lines.write.mode(mode).text(path, compression=compression)
 
 
@@ -59,7 +56,6 @@ def write_cluster_report(
     cluster_categories: DataFrame,
     centroids: Sequence[tuple[float, float]],
     path: str,
-    single_file: bool = False,
     mode: str = "errorifexists",
 ) -> None:
     """Per cluster a line ``cluster,lat,lon:``, then its categories, most frequent first.
@@ -69,11 +65,7 @@ def write_cluster_report(
     """
     lines = report_lines(cluster_categories, centroids)
     order = [F.col("cluster"), F.desc_nulls_first("n"), F.asc_nulls_first("category")]
-    if single_file:
-        lines = lines.repartition(1).sortWithinPartitions(*order)
-    else:
-        lines = lines.orderBy(*order)
-    lines.select("line").write.mode(mode).text(path)
+    lines.orderBy(*order).select("line").write.mode(mode).text(path)
 
 
 def write_main_categories(

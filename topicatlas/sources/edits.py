@@ -38,7 +38,7 @@ def _plain_edits(cells: DataFrame, ip_position: int) -> DataFrame:
     return cells.filter(F.size("cells") > ip_position).select(
         *columns,
         safe_long(_cell(ip_position)).alias("long_ip"),
-        is_digits(_cell(ip_position)).alias("valid_ip"),
+        (is_digits(_cell(ip_position)) & _cell(ip_position).try_cast("bigint").isNotNull()).alias("valid_ip"),
     )
 
 

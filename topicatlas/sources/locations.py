@@ -25,18 +25,23 @@ def _typed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _has_start():
+    return F.coalesce(F.col("ip_from").between(0, IPV4_MAX), F.lit(False))
+
+
 def _usable():
-    return (
-        F.coalesce(F.col("ip_from").between(0, IPV4_MAX), F.lit(False))
-        & F.col("lat_udeg").isNotNull()
-        & F.col("lon_udeg").isNotNull()
-    )
+    return _has_start() & F.col("lat_udeg").isNotNull() & F.col("lon_udeg").isNotNull()
 
 
 def read_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Ranges with a readable IPv4 start and readable coordinates."""
-    return _typed(spark, path).filter(_usable())
+    """Ranges with a readable IPv4 start.
+
+    Unreadable coordinates are null: the range keeps its addresses, which would
+    otherwise fall to the range before, and they are located nowhere.
+    """
+    return _typed(spark, path).filter(_has_start())
 
 
 def malformed_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Ranges left out for their start, and ranges located nowhere."""
     return _typed(spark, path).filter(~_usable())
