@@ -142,8 +142,8 @@ def test_seeding_by_occurrence_draws_each_occurrence_equally(spark):
 
 def test_given_and_random_centroids(cloud):
     assert km.initial_centroids(cloud, 2, given=[(1, 2), (3, 4)]) == [(1.0, 2.0), (3.0, 4.0)]
-    # A list of another length is not used.
-    assert km.initial_centroids(cloud, 3, given=[(1, 2)]) == km.initial_centroids(cloud, 3)
+    with pytest.raises(ValueError, match="given for k=3"):
+        km.initial_centroids(cloud, 3, given=[(1, 2)])
     few = cloud.limit(2)
     assert len(km.initial_centroids(few, 6, init="random")) == 6
     with pytest.raises(ValueError, match="too few"):
