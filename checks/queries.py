@@ -35,6 +35,10 @@ QUERIES: dict[str, Query] = {}
 
 K = 5
 
+DENSE_CORNER = 167772160
+DENSE_ADDRESS = """CASE WHEN cast(rev_id AS bigint) % 3 = 0 THEN 167772167
+    WHEN cast(rev_id AS bigint) % 3 = 1 THEN 167772160 + cast(rev_id AS bigint) div 5 ELSE long_ip END"""
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -151,6 +155,27 @@ def resolve_above_first(spark, sf):
     return _resolved(locate.resolve_locations(routable(spark, sf), later))
 
 
+@query
+def resolve_asof_dense(spark, sf):
+    """As many ranges as orders in one corner, a third of the edits at one address there."""
+    orders = fx.table(spark, sf, "orders")
+    corner = orders.select((F.lit(DENSE_CORNER) + F.col("o_orderkey") * 2).alias("ip_from"))
+    starts = fx.locations(spark, sf).select("ip_from").unionByName(corner)
+    edits = routable(spark, sf).select("rev_id", F.expr(DENSE_ADDRESS).alias("long_ip"))
+    return _resolved(locate.resolve_locations(edits, starts))
+
+
+@query
+def resolve_unreadable_place(spark, sf):
+    """Ranges without coordinates keep their addresses; those edits have a class and no place."""
+    missing = F.col("ip_from") % 3 == 0
+    places = fx.locations(spark, sf).withColumns(
+        {name: F.when(~missing, F.col(name)) for name in ("lon_udeg", "lat_udeg")}
+    )
+    attach = ["lon_udeg", "lat_udeg"]
+    return _resolved(locate.resolve_locations(routable(spark, sf), places, attach=attach), *attach)
+
+
 @query
 def range_ends(spark, sf):
     return locate.with_range_end(fx.locations(spark, sf)).select("ip_from", "range_end")

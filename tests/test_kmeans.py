@@ -171,3 +171,13 @@ def test_work_is_spread_over_the_cluster(cloud, monkeypatch):
 def test_an_update_shuffles_one_row_per_cluster_and_task(cloud):
     plan = km.cluster_means(cloud, [(0.0, 0.0), (1.0, 1.0)])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("partial_sum")
+
+
+def test_sums_are_exact_for_heavy_points(rows):
+    heavy = [(-179999999, 89999999, 10**12 + 7), (-179999998, -89999999, 3), (5, -1, 10**11 + 1)]
+    points = rows("lon_udeg long, lat_udeg long, n long", *heavy)
+    found = km.cluster_means(points, [(0.0, 0.0)]).collect()[0]
+    n = sum(weight for _, _, weight in heavy)
+    assert found["n"] == n
+    assert found["lon"] == float(sum(x * w for x, _, w in heavy)) / n / 1e6
+    assert found["lat"] == float(sum(y * w for _, y, w in heavy)) / n / 1e6

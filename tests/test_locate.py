@@ -133,3 +133,23 @@ def test_small_ranges_are_broadcast_and_nothing_edit_sized_is_shuffled(spark, tm
     probe = plan[: plan.index("BroadcastExchange")]
     assert "BroadcastHashJoin" in probe and "Exchange hashpartitioning" not in probe
     assert "ReadSchema: struct<long_ip:bigint>" in plan
+
+
+def test_crowded_ranges_are_resolved_by_the_window_form(spark):
+    starts = spark.range(4000).select((F.lit(167772160) + F.col("id") * 3).alias("ip_from"))
+    width = locate.bucket_bits(4000)
+    assert locate.densest_bucket(starts, width) == 4000
+    hot = F.when(F.col("id") % 3 == 0, 167772167).otherwise(F.lit(167772100) + F.col("id"))
+    edits = spark.range(15000).select(hot.alias("long_ip"), "id")
+    found = locate.resolve_locations(edits, starts)
+    assert as_tuples(found, "id", "class_ip") == as_tuples(
+        locate.resolve_locations(edits, starts, "bucketed"), "id", "class_ip"
+    )
+
+
+def test_numbers_above_the_last_address_share_a_row(spark):
+    starts = spark.range(3).select((F.col("id") * 1000).alias("ip_from"))
+    above = spark.range(1000).select((F.lit(IPV4_MAX) + 1 + F.col("id")).alias("long_ip"))
+    assert locate.class_of_addresses(above, starts).collect() == [(IPV4_MAX, 2000)]
+    found = locate.resolve_locations(above, starts, "window")
+    assert found.filter("class_ip = 2000").count() == 1000

@@ -5,6 +5,7 @@ so the loop reads at most one row per location.  Each update is one aggregation
 whose result has k rows; only those reach the driver.
 """
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -29,6 +30,9 @@ EXPRESSION_CENTROIDS = 32
 # Work of one task in an update; a table of few, full files has too few tasks.
 DISTANCES_PER_TASK = 2_000_000
 
+# Low bits of a product that are summed apart.
+PART_BITS = 20
+
 
 def seed_centroids(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct points in the order of a seeded hash, as ``cluster, lon_udeg, lat_udeg``."""
@@ -158,18 +162,29 @@ def nearest(points: DataFrame, centroids: Sequence[Centroid], method: str = "aut
 def cluster_means(points: DataFrame, centroids: Sequence[Centroid], method: str = "auto") -> DataFrame:
     """``cluster, lon, lat, n`` of the clusters that have points.
 
-    Sums are exact decimals: they neither overflow nor depend on the order.
+    Sums are exact integers: they neither overflow nor depend on the order.  A
+    product of coordinate and weight is summed in two parts, its low bits and the
+    rest, and the parts meet as decimals on the k rows.
     """
+    low_n = F.col("n").bitwiseAND((1 << PART_BITS) - 1)
+    high_n = F.shiftright("n", PART_BITS)
+
+    def parts(column: str) -> list[Column]:
+        value = F.col(column).cast("bigint")
+        high = value * high_n + F.shiftright(value * low_n, PART_BITS)
+        low = (value * low_n).bitwiseAND((1 << PART_BITS) - 1)
+        return [F.sum(high).alias(f"_high_{column}"), F.sum(low).alias(f"_low_{column}")]
 
     def total(column: str) -> Column:
-        wide = F.col(column).cast("decimal(10,0)") * F.col("n").cast("decimal(19,0)")
-        return F.sum(wide).cast("double")
+        high = F.col(f"_high_{column}").cast("decimal(19,0)") * F.lit(1 << PART_BITS).cast("decimal(8,0)")
+        return (high + F.col(f"_low_{column}").cast("decimal(19,0)")).cast("double")
 
-    sums = (
-        nearest(points, centroids, method)
+    grouped = (
+        nearest(points.withColumn("n", F.col("n").cast("bigint")), centroids, method)
         .groupBy("cluster")
-        .agg(total("lon_udeg").alias("lon"), total("lat_udeg").alias("lat"), F.sum("n").alias("n"))
+        .agg(*parts("lon_udeg"), *parts("lat_udeg"), F.sum("n").alias("n"))
     )
+    sums = grouped.select("cluster", total("lon_udeg").alias("lon"), total("lat_udeg").alias("lat"), "n")
     weight = F.col("n").cast("double")
     return sums.select(
         "cluster",
@@ -229,7 +244,7 @@ def kmeans(
     k: int,
     iterations: int | None = None,
     epsilon: float = 0.01,
-    max_iter: int = 1000,
+    max_iter: int | None = None,
     given: Sequence[Centroid] | None = None,
     seed: int = 0,
     init: str = "distinct",
@@ -240,7 +255,8 @@ def kmeans(
 
     With ``iterations`` exactly that many updates are made and ``epsilon`` is not
     looked at; without (or 0) updates go on until no centroid moves more than
-    ``epsilon``, at least one and at most ``max_iter``.
+    ``epsilon``, at least one.  There is no other end unless ``max_iter`` names one;
+    ``converged`` then tells which it was.
 
     The points are written to a table first, unless they are ``stored`` in one:
     an iteration that loses an executor re-reads them and recomputes nothing else.
@@ -258,7 +274,8 @@ def kmeans(
         centroids = initial_centroids(stable, k, seed, init, given)
         log: list[tuple[int, int, float, float, float]] = []
         converged = False
-        for iteration in range(iterations or max_iter):
+        most = iterations or max_iter
+        for iteration in range(most) if most else itertools.count():
             rows = cluster_means(stable, centroids, method).collect()
             means = {row["cluster"]: (row["lon"], row["lat"]) for row in rows}
             moved = moved_centroids(centroids, means)

@@ -20,6 +20,10 @@ from topicatlas.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, balanced_j
 BLOCK_BITS = 16
 BLOCKS = 1 << (32 - BLOCK_BITS)
 
+# Where a bucket holds more ranges than this, comparing an edit with all of them
+# costs more than the window form, which sorts distinct addresses instead.
+RANGES_PER_BUCKET = 1024
+
 
 def dedup_locations(locations: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """One row per ``ip_from``: the one greatest in ``order`` (by default all columns)."""
@@ -98,6 +102,13 @@ def bucket_bits(ranges: int) -> int:
     return min(max(33 - max(ranges, 1).bit_length(), 8), 24)
 
 
+def densest_bucket(locations: DataFrame, bits: int) -> int:
+    """The most starts in a bucket: what an edit there is compared with."""
+    starts = _ipv4(locations).select("ip_from").distinct()
+    counts = starts.groupBy(F.shiftright("ip_from", bits).alias("bucket")).count()
+    return counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def range_pieces(locations: DataFrame, bits: int, attach: Sequence[str] = ()) -> DataFrame:
     """``bucket, class_ip, range_end`` and the attached columns, one row per bucket touched."""
     return _ranges(locations, attach).select(
@@ -136,7 +147,7 @@ def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
 
     A block holds at most 65,536 distinct addresses and as many starts, so no
     window partition grows with the data.  Each block is seeded with the last
-    start before it.
+    start before it.  Numbers above the last address come out as that address.
     """
     starts = _ipv4(locations).select("ip_from").distinct()
     last_starts = starts.groupBy(_block("ip_from").alias("block")).agg(
@@ -163,11 +174,9 @@ def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
             )
         )
         .unionByName(
-            addresses.select("long_ip").distinct().select(
-                _within_ipv4(F.col("long_ip")).alias("ip"), "long_ip"
-            ).select(
+            addresses.select(_within_ipv4(F.col("long_ip")).alias("ip")).distinct().select(
                 _block("ip").alias("block"), "ip", F.lit(2).alias("kind"),
-                F.lit(None).cast("bigint").alias("start"), "long_ip",
+                F.lit(None).cast("bigint").alias("start"), F.col("ip").alias("long_ip"),
             )
         )
     )
@@ -182,7 +191,7 @@ def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
 def resolve_locations(
     edits: DataFrame,
     locations: DataFrame,
-    method: str = "bucketed",
+    method: str = "auto",
     bits: int | None = None,
     check_upper: bool = False,
     attach: Sequence[str] = (),
@@ -193,19 +202,24 @@ def resolve_locations(
 
     ``class_ip`` is null below the first range.  ``bucketed`` cuts the ranges at
     bucket borders and joins on the bucket; ``window`` resolves the distinct
-    addresses and joins them back.  ``check_upper`` also empties it above the
+    addresses and joins them back.  ``auto`` takes the first unless ranges crowd in a
+    bucket; the results are the same.  ``check_upper`` also empties it above the
     ``ip_to`` of its range.
     """
     wanted = list(attach) + (["ip_to"] if check_upper and "ip_to" not in attach else [])
+    if method == "auto":
+        width = bucket_bits(locations.count()) if bits is None else bits
+        method = "window" if densest_bucket(locations, width) > RANGES_PER_BUCKET else "bucketed"
     if method == "bucketed":
         located = _bucketed(edits, locations, bits, wanted, broadcast_bytes, rows_per_task)
     elif method == "window":
         # At most one row per IPv4 address; counted and joined from a written table.
         classes = cut_lineage(class_of_addresses(edits, locations), "classes")
         located = balanced_join(
-            edits, classes, ["long_ip"], "left",
+            edits.withColumn("_probe", _within_ipv4(F.col("long_ip"))),
+            classes.withColumnRenamed("long_ip", "_probe"), ["_probe"], "left",
             broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
-        )
+        ).drop("_probe")
         if wanted:
             lookup = _unique(locations, wanted).withColumnRenamed("ip_from", "class_ip")
             located = balanced_join(
