@@ -180,6 +180,18 @@ def fit(texts: list[str], least: int = 3) -> Model:
     return Model(used, moves)
 
 
+def outside_costs(moves: np.ndarray, label: int) -> tuple[float, float]:
+    """The most that moves gain when a token has ``label`` and not outside.
+
+    First if no inside follows the token; then if one does, which has to become a
+    begin once the token is outside.  The line may end on either side.
+    """
+    before = max(0.0, *(moves[p, label] - moves[p, OUTSIDE] for p in range(3)))
+    after = max(0.0, *(moves[label, n] - moves[OUTSIDE, n] for n in (OUTSIDE, BEGIN)))
+    beyond = max(0.0, *(moves[INSIDE, q] - moves[BEGIN, q] for q in range(3)))
+    return before + after, before + moves[label, INSIDE] - moves[OUTSIDE, BEGIN] + beyond
+
+
 class Tagger:
     """Labels of the tokens of texts by Viterbi, line by line; remembers the scores of tokens."""
 
@@ -213,28 +225,51 @@ class Tagger:
         total[1:] += table[token[:-1], 1]
         total[:-1] += table[token[1:], 3]
         total[2:] += np.where((token[1:-1] != end)[:, None], table[token[:-2], 2], 0)
-        # A span is worth the scores of its tokens and the moves in place of staying
-        # outside, so a line has none if no token outweighs two such moves.
         moves = self.model.moves
-        worth = max(0.0, float(moves.max() - moves[OUTSIDE, OUTSIDE]))
         stop = token == end
-        line = np.cumsum(stop) - stop
-        possible = ~stop & (total.max(axis=1) >= -2 * worth)
+        use, first = self._pieces(total, stop)
         result: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if not possible.any():
+        if not len(use):
             return result
-        use = np.flatnonzero(np.isin(line, line[possible]) & ~stop)
-        line, part, doc_of = line[use], np.zeros((len(use), 3)), doc[use]
+        part, doc_of = np.zeros((len(use), 3)), doc[use]
         part[:, 1:] = total[use]
-        first = np.append(True, line[1:] != line[:-1])
         part[first, INSIDE] -= 1e4
-        chains = crf.Chains(np.diff(np.append(np.flatnonzero(first), len(line))))
+        chains = crf.Chains(np.diff(np.append(np.flatnonzero(first), len(use))))
         label = np.zeros(len(token), np.int8)
         label[use] = crf.viterbi(part, moves, chains)
         for d in np.unique(doc_of[label[use] != OUTSIDE]).tolist():
             result[d] = self._offsets(texts[d], label[(doc == d) & ~stop].tolist())
         return result
 
+    def _pieces(self, total: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens to decode, and which of them begin a chain of their own.
+
+        A token that the best path leaves outside whatever stands beside it parts
+        its line: what lies on either side is decoded by itself, with one such token
+        as its border.  So a text without line breaks costs no more than its lines
+        would.  A span is worth the scores of its tokens and the moves in place of
+        staying outside, so a piece has none if no token outweighs two such moves.
+        """
+        moves = self.model.moves
+        worth = max(0.0, float(moves.max() - moves[OUTSIDE, OUTSIDE]))
+        follows = np.zeros(len(total))  # what an inside after it is worth above a begin
+        follows[:-1] = np.where(stop[1:], -np.inf, total[1:, 1] - total[1:, 0])
+        free = np.zeros(len(total), bool)
+        for label in (BEGIN, INSIDE):
+            alone, led = outside_costs(moves, label)
+            own = total[:, label - 1]
+            free |= (own + alone >= 0) | (own + led + follows >= 0)
+        free &= ~stop
+        near = free.copy()
+        near[1:] |= free[:-1]
+        near[:-1] |= free[1:]
+        use = np.flatnonzero(near & ~stop)
+        first = np.append(True, np.diff(use) > 1)[: len(use)]
+        piece = np.cumsum(first) - 1
+        possible = np.bincount(piece, total[use].max(axis=1) >= -2 * worth) > 0
+        keep = possible[piece]
+        return use[keep], first[keep]
+
     @staticmethod
     def _offsets(text: str, labels: list[int]) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
