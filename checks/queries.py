@@ -18,7 +18,7 @@ from topicatlas.plans import (
     find_regions,
     locate_categories,
 )
-from topicatlas.sinks import edit_lines, write_category_index, write_edits
+from topicatlas.sinks import edit_lines, write_category_index, write_cluster_report, write_edits
 from topicatlas.sources import (
     read_category_ips,
     read_class_ips,
@@ -351,6 +351,13 @@ def seed_occurrences(spark, sf):
     return km.seed_occurrences(weighted(spark, sf), K)
 
 
+@query
+def seed_occurrences_repeated(spark, sf):
+    """The same from a row per category and point: rows of a point add up."""
+    points = located(spark, sf).select("lon_udeg", "lat_udeg", "n")
+    return km.seed_occurrences(points, K)
+
+
 def _seeded(spark, sf):
     points = km.cut_lineage(weighted(spark, sf), "weighted-points")
     return points, km.initial_centroids(points, K)
@@ -479,6 +486,15 @@ def cluster_report_headings(spark, sf):
     )
 
 
+@query
+def cluster_report(spark, sf):
+    """Every line of the report as written."""
+    found = regions(spark, sf)
+    path = scratch(spark, "report")
+    write_cluster_report(found.categories, found.centroids, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query
 def region_interests(spark, sf):
     """Filtered categories: size, place and main interest of every region."""
@@ -536,6 +552,11 @@ def cluster_markers(spark, sf):
     return regions(spark, sf).markers(with_numbers=True)
 
 
+@query
+def cluster_markers_grouped(spark, sf):
+    return regions(spark, sf).markers_grouped(with_numbers=True)
+
+
 @query
 def legend(spark, sf):
     return raster.legend(regions(spark, sf).main_categories, K)
@@ -566,6 +587,16 @@ def revisions_round_trip(spark, sf):
     return clean.with_long_ip(clean.clean_revisions(read_revisions(spark, path)))
 
 
+@query
+def revisions_crlf_round_trip(spark, sf):
+    """The same with carriage returns, and a space in the blank lines."""
+    path = scratch(spark, "stanzas")
+    ended = F.replace("value", F.lit("\n"), F.lit("\r\n"))
+    blank = F.lit(" \r")
+    stanzas(fx.raw_revisions(spark, sf)).select(F.concat(ended, blank)).write.text(path)
+    return clean.with_long_ip(clean.clean_revisions(read_revisions(spark, path)))
+
+
 def stanzas(raw: DataFrame) -> DataFrame:
     revision = F.concat_ws(
         " ", F.lit("REVISION"), "article_id", "rev_id", "article_title",

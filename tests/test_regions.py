@@ -154,3 +154,21 @@ def test_command_line(spark, inputs, tmp_path):
     assert [r[0].split(",", 3)[3] for r in spark.read.text(f"{again}/mainCats.csv").collect()] == ["art,4"]
     with pytest.raises(SystemExit):
         main(["-a", *common, "-k", "1"])
+
+
+def test_command_line_from_the_log(spark, inputs, tmp_path):
+    log = tmp_path / "log.txt"
+    extra = "\n\n".join(
+        f"REVISION 1 9{i} T 2008 {user} {user}\nCATEGORY art\nMINOR 0" for i, user in enumerate(["ip:1.0.999.1", "someone"])
+    )
+    log.write_text(open(inputs[0]).read() + "\n\n" + extra)
+    common = ["--locations", inputs[1], "--index", str(tmp_path / "index"), "--output", str(tmp_path / "out")]
+    folder = main(["-a", "--revisions", str(log), *common, "-w", "modern,art", "--match", "all", "-k", "1", "--clip"])
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    audit = dict(map(tuple, read("audit").collect()))
+    assert audit == {"unusable_range": 0, "without_class": 0, "without_place": 0, "bad_octet": 1, "not_ipv4": 1}
+    caption = read("captions").first()
+    assert caption["words"] == "Filter words: modern art" and caption["total"] == "Tot. points: 1" and caption["converged"]
+    assert read("legend").first()["label"] == "(0) modern art 1"
+    assert read("legend-grouped").first()["label"] == "modern art"
+    assert read("markers-grouped").first()["category"] == "modern_art"

@@ -1,14 +1,18 @@
 """Command line: ``spark-submit … -m topicatlas`` or ``python -m topicatlas``."""
 
 import argparse
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from topicatlas.operators.clean import clean_revisions, ip_status
 from topicatlas.operators.lineage import cut_lineage
+from topicatlas.operators.locate import unmatched_classes
 from topicatlas.operators.points import category_points
 from topicatlas.plans import build_index, find_regions, prepare_locations
 from topicatlas.sinks import output_name, write_category_index
-from topicatlas.sources import read_category_ips, read_edits
+from topicatlas.sources import malformed_locations, read_category_ips, read_edits, read_revisions
 
 
 def words(text: str) -> list[str]:
@@ -19,7 +23,8 @@ def parser() -> argparse.ArgumentParser:
     options = argparse.ArgumentParser(prog="topicatlas", description=__doc__)
     add = options.add_argument
     add("-a", "--associate-location", action="store_true", help="build the category index first")
-    add("--edits", help="edit files, needed with -a")
+    add("--edits", help="cleaned edit files; these or --revisions are needed with -a")
+    add("--revisions", help="the revision log itself, cleaned on the way")
     add("--locations", required=True, help="address ranges with coordinates")
     add("--index", required=True, help="category index folder, written with -a")
     add("--output", required=True, help="folder for the run's own folder")
@@ -29,26 +34,53 @@ def parser() -> argparse.ArgumentParser:
     add("-i", "--iterations", type=int, default=0, help="number of updates; 0: until epsilon")
     add("-e", "--epsilon", type=float, default=0.01, help="movement below which to stop")
     add("-p", "--print-numbers", action="store_true", help="numbers in the marker labels")
+    add("--match", choices=("any", "all"), default="any", help="how many required words must be there")
+    add("--literal", action="store_true", help="the literal rules for categories and words")
+    add("--check-upper", action="store_true", help="no class above the end of a range (with -a)")
+    add("--clip", action="store_true", help="points on the far edges stay on the map")
     add("--seed", type=int, default=0, help="seed of the first centroids")
     return options
 
 
+def edits_and_rejects(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
+    """Edits with their address, and counts of those left out if the log itself is read (once)."""
+    if options.edits:
+        return read_edits(spark, options.edits), None
+    if not options.revisions:
+        raise SystemExit("-a needs --edits or --revisions")
+    cleaned = clean_revisions(read_revisions(spark, options.revisions), anonymous_only=False)
+    checked = cut_lineage(ip_status(cleaned).select("categories", "long_ip", "ip_status"), "edits")
+    rejects = checked.filter("ip_status != 'ok'").groupBy(F.col("ip_status").alias("reason"))
+    return checked.filter("ip_status = 'ok'"), rejects.agg(F.count("*").alias("n"))
+
+
+def _total(rows: DataFrame, reason: str) -> DataFrame:
+    n = F.sum("n") if "n" in rows.columns else F.count("*")
+    return rows.agg(F.coalesce(n, F.lit(0)).alias("n")).select(F.lit(reason).alias("reason"), "n")
+
+
 def main(arguments: list[str] | None = None) -> str:
     options = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("topicatlas").getOrCreate()
     locations = prepare_locations(spark, options.locations)
+    # What a run leaves out, by reason.
+    audit = [_total(malformed_locations(spark, options.locations), "unusable_range")]
     if options.associate_location:
-        if not options.edits:
-            raise SystemExit("-a needs --edits")
-        index = build_index(read_edits(spark, options.edits), locations)
-        index = cut_lineage(index.filter("class_ip IS NOT NULL"), "index")
-        write_category_index(index, options.index)
+        edits, rejects = edits_and_rejects(spark, options)
+        index = build_index(edits, locations, check_upper=options.check_upper, literal=options.literal)
+        index = cut_lineage(index, "index")
+        write_category_index(index.filter("class_ip IS NOT NULL"), options.index)
+        audit.append(_total(index.filter("class_ip IS NULL"), "without_class"))
+        audit += [rejects] if rejects else []
     counts = read_category_ips(spark, options.index)
+    audit.append(_total(unmatched_classes(counts, locations), "without_place"))
     regions = find_regions(
         category_points(counts, locations),
         options.k,
         include=options.words,
         exclude=options.no_words,
+        match=options.match,
+        literal=options.literal,
         iterations=options.iterations,
         epsilon=options.epsilon,
         seed=options.seed,
@@ -58,10 +90,19 @@ def main(arguments: list[str] | None = None) -> str:
     )
     folder = f"{options.output}/{name}"
     regions.write_reports(folder)
-    regions.pixel_grid().write.parquet(f"{folder}/pixels")
-    regions.pixel_grid_grouped().write.parquet(f"{folder}/pixels-grouped")
-    regions.markers(options.print_numbers).write.parquet(f"{folder}/markers")
-    regions.clustering.iteration_log().write.parquet(f"{folder}/iterations")
+    tables = {
+        "pixels": regions.pixel_grid(clip=options.clip),
+        "pixels-grouped": regions.pixel_grid_grouped(clip=options.clip),
+        "markers": regions.markers(options.print_numbers),
+        "markers-grouped": regions.markers_grouped(options.print_numbers),
+        "legend": regions.legend,
+        "legend-grouped": regions.super_legend,
+        "captions": regions.captions(options.words, options.iterations, options.epsilon),
+        "iterations": regions.clustering.iteration_log(),
+        "audit": reduce(DataFrame.unionByName, audit),
+    }
+    for table, rows in tables.items():
+        rows.write.parquet(f"{folder}/{table}")
     return folder
 
 

@@ -106,6 +106,15 @@ def cluster_markers(
     return marked.select("cluster", "x", "y", "_color.*", "label", "n")
 
 
+def grouped_markers(markers: DataFrame, super_clusters: DataFrame) -> DataFrame:
+    """The markers with the main category of each and the colour of its group.
+
+    A centroid without points is in no group and has neither.
+    """
+    colors = super_colors(super_clusters)
+    return markers.drop("red", "green", "blue").join(F.broadcast(colors), "cluster", "left")
+
+
 def _row_offset(position, count, height: int, step: int):
     top = F.when(count <= 15, F.lit(height // 2)).otherwise(F.lit(height // 4))
     return (top + position * step).cast("int")

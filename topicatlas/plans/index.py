@@ -22,20 +22,36 @@ def prepare_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return cut_lineage(prepare_ranges(read_locations(spark, path)), "locations")
 
 
-def build_index(edits: DataFrame, locations: DataFrame, method: str = "bucketed") -> DataFrame:
-    """``category, class_ip, n``: the category index."""
-    resolved = resolve_locations(edits.select("categories", "long_ip"), locations, method)
-    return category_ips(explode_categories(resolved))
+def build_index(
+    edits: DataFrame,
+    locations: DataFrame,
+    method: str = "auto",
+    check_upper: bool = False,
+    literal: bool = False,
+) -> DataFrame:
+    """``category, class_ip, n``: the category index.
+
+    ``check_upper`` and ``literal`` as in ``resolve_locations`` and ``explode_categories``.
+    """
+    resolved = resolve_locations(
+        edits.select("categories", "long_ip"), locations, method, check_upper=check_upper
+    )
+    return category_ips(explode_categories(resolved, literal=literal))
 
 
-def locate_categories(edits: DataFrame, locations: DataFrame) -> DataFrame:
+def locate_categories(
+    edits: DataFrame, locations: DataFrame, check_upper: bool = False, literal: bool = False
+) -> DataFrame:
     """``category, lon_udeg, lat_udeg, n`` in one pass, without the index in between.
 
     The as-of join carries the coordinates along, so the only shuffle of
     edit-sized data is that of the already combined counts.
     """
     resolved = resolve_locations(
-        edits.select("categories", "long_ip"), locations, attach=["lon_udeg", "lat_udeg"]
+        edits.select("categories", "long_ip"),
+        locations,
+        check_upper=check_upper,
+        attach=["lon_udeg", "lat_udeg"],
     )
-    located = explode_categories(resolved.filter(F.col("class_ip").isNotNull()))
-    return count_points(located)
+    placed = resolved.dropna(subset=["class_ip", "lon_udeg", "lat_udeg"])
+    return count_points(explode_categories(placed, literal=literal))

@@ -7,11 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicatlas.functions import text
 from topicatlas.operators import profile, raster
 from topicatlas.operators.categories import filter_categories
 from topicatlas.operators.kmeans import Centroid, Clustering, assign, kmeans
 from topicatlas.operators.lineage import cut_lineage
-from topicatlas.operators.points import weighted_points
+from topicatlas.operators.points import point_total, weighted_points
 from topicatlas.sinks.text import write_cluster_report, write_main_categories
 
 
@@ -63,20 +64,46 @@ class Regions:
             "cluster", "lon", "lat", "size", "category", "n"
         )
 
-    def pixel_grid(self, width: int = raster.WIDTH, height: int = raster.HEIGHT) -> DataFrame:
-        grid = raster.pixel_grid(self.assignment, width, height)
+    def pixel_grid(
+        self, width: int = raster.WIDTH, height: int = raster.HEIGHT, clip: bool = False
+    ) -> DataFrame:
+        grid = raster.pixel_grid(self.assignment, width, height, clip)
         table = self.clustering.centroid_table()
         return raster.paint_grid(grid, raster.cluster_colors(table, len(self.centroids)))
 
     def pixel_grid_grouped(
-        self, width: int = raster.WIDTH, height: int = raster.HEIGHT
+        self, width: int = raster.WIDTH, height: int = raster.HEIGHT, clip: bool = False
     ) -> DataFrame:
-        grid = raster.pixel_grid(self.assignment, width, height)
+        grid = raster.pixel_grid(self.assignment, width, height, clip)
         return raster.pixel_grid_grouped(grid, self.super_clusters)
 
     def markers(self, with_numbers: bool = False) -> DataFrame:
         return raster.cluster_markers(self.centroids, self.sizes, with_numbers)
 
+    def markers_grouped(self, with_numbers: bool = False) -> DataFrame:
+        return raster.grouped_markers(self.markers(with_numbers), self.super_clusters)
+
+    @property
+    def legend(self) -> DataFrame:
+        return raster.legend(self.main_categories, len(self.centroids))
+
+    @property
+    def super_legend(self) -> DataFrame:
+        return raster.super_legend(self.super_clusters)
+
+    def captions(self, words: Sequence[str], iterations: int, epsilon: float) -> DataFrame:
+        """One row: the caption lines of the run, its totals, and whether it came to rest."""
+        lines = text.run_caption(words, len(self.centroids), iterations, epsilon)
+        return point_total(self.points).select(
+            lines[0].alias("words"),
+            lines[1].alias("settings"),
+            text.total_caption(F.col("occurrences")).alias("total"),
+            "points",
+            "occurrences",
+            F.lit(len(self.clustering.log) // len(self.centroids)).alias("updates"),
+            F.lit(self.clustering.converged).alias("converged"),
+        )
+
     def write_reports(self, folder: str, mode: str = "errorifexists") -> None:
         """The cluster report and the main categories below ``folder``."""
         report, main = f"{folder}/{CLUSTER_REPORT}", f"{folder}/{MAIN_REPORT}"

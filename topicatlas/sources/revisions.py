@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from topicatlas.schemas import REVISION_COLUMNS, STANZA_FIELDS
 
-STANZA_END = "\n\n"
+# A record is read from one REVISION line to the next: whatever the blank lines look
+# like (with carriage returns, with spaces), no record holds more than one revision.
+FIRST_WORD = "REVISION"
+RECORD_END = f"\n{FIRST_WORD} "
 WHITESPACE = " \t\r\n\f\x0b"
 
 
@@ -23,18 +26,25 @@ def _line_value(stanza: Column, keyword: str) -> Column:
 
 def read_stanzas(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row ``stanza`` per record; bzip2 files are split like plain ones."""
-    return split_stanzas(spark.read.text(path, lineSep=STANZA_END))
+    return split_stanzas(spark.read.text(path, lineSep=RECORD_END))
 
 
 def split_stanzas(blocks: DataFrame) -> DataFrame:
-    # Lines of white space only also end a record; the line separator of the
-    # reader knows just the empty one.  Few blocks have a line that starts with
-    # white space, so few pay for the regular expression.
+    """Rows ``stanza`` from records read up to ``RECORD_END``, which lack the word it took.
+
+    Only what stands before the first REVISION line of a file can begin with a keyword,
+    a word in capitals; the others begin with the number of an article.  A record with blank lines inside is several stanzas.
+    """
     value = F.col("value")
-    suspect = F.contains(value, F.lit("\n ")) | F.contains(value, F.lit("\n\t"))
-    suspect = suspect | F.contains(value, F.lit("\n\r"))
-    parts = F.when(suspect, F.split(value, r"\n[ \t\r]+(?=\n)")).otherwise(F.array(value))
-    stanzas = blocks.select(F.explode(parts).alias("stanza"))
+    known = F.rlike(value, F.lit("^[A-Z_]+ "))
+    whole = F.when(known, value).otherwise(F.concat(F.lit(f"{FIRST_WORD} "), value))
+    suspect = F.lit(False)
+    for blank in "\n \t\r":
+        suspect = suspect | F.contains(value, F.lit(f"\n{blank}"))
+    # Few records have such a line, so few pay for the regular expression.
+    parts = F.when(suspect, F.split(whole, r"\n[ \t\r]*(?=\n)")).otherwise(F.array(whole))
+    filled = blocks.filter(F.trim("value", F.lit(WHITESPACE)) != "")
+    stanzas = filled.select(F.explode(parts).alias("stanza"))
     return stanzas.filter(F.trim("stanza", F.lit(WHITESPACE)) != "")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from topicatlas.operators.clean import clean_revisions, with_long_ip
-from topicatlas.sources.revisions import STANZA_END, parse_revisions, split_stanzas
+from topicatlas.sources.revisions import RECORD_END, parse_revisions, split_stanzas
 
 
 def stream_edits(
@@ -24,7 +24,7 @@ def stream_edits(
     Handles what is there and stops, unless another ``trigger`` is given.
     """
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    blocks = files.text(source, lineSep=STANZA_END)
+    blocks = files.text(source, lineSep=RECORD_END)
     edits = with_long_ip(clean_revisions(parse_revisions(split_stanzas(blocks))))
     return (
         edits.writeStream.format("parquet")
