@@ -337,6 +337,14 @@ def test_simhash_groups_equal_all_pairs(docs, paired_cell):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values()))
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(docs):
+    draw = random.Random(9)
+    far = [" ".join(draw.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(8)]
+    table = docs((None, far[0]), (None, far[1]), (None, far[1]), (7, far[2]), (7, far[3]), (None, far[2]), (7, far[4]), (3, far[4]), (7, far[5]), (7, far[5]), (None, None), (None, ""))
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in simhash.first_documents(table).collect()), key=str)
+    assert kept == sorted([(None, far[0]), (None, far[1]), (7, far[2]), (7, far[3]), (3, far[4]), (7, far[5]), (None, "")], key=str)
+
+
 def test_components_of_a_long_path(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = components.components(spark.createDataFrame(pairs, "a long, b long"))

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,24 +43,34 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text, from different seeds."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp, text_hash`` of each row of ``docs``; ``fp`` holds the bits as a long."""
+    """``doc_id, fp, text_hash, text_check`` of each row of ``docs``; ``fp`` holds the bits as a long.
+
+    The last two are hashes of the text from two seeds.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def task(texts: list[str]) -> dict:
         return {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
     source = documents(docs)
-    schema = pa.schema([*schema, ("text_hash", pa.int64())])
-    with_hash = source.withColumn("text_hash", F.xxhash64("text"))
-    one = per_document(task, pa.schema(list(schema)[:2]))
+    one_hash, other_hash = text_hashes(F.col("text"))
+    with_hash = source.withColumn("text_hash", one_hash).withColumn("text_check", other_hash)
+    one = per_document(task, schema)
 
     def run(batches):
         for batch in batches:
-            parts = pa.Table.from_batches(one([batch]), pa.schema(list(schema)[:2])).combine_chunks()
-            yield from parts.append_column("text_hash", batch.column("text_hash")).to_batches()
+            parts = pa.Table.from_batches(one([batch]), schema).combine_chunks()
+            for name in ("text_hash", "text_check"):
+                parts = parts.append_column(name, batch.column(name))
+            yield from parts.to_batches()
 
-    return with_hash.mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return with_hash.mapInArrow(run, "doc_id long, fp long, text_hash long, text_check long")
 
 
 def block_masks(distance: int) -> list[int]:
@@ -130,6 +140,18 @@ def links(fps: DataFrame, distance: int = 4, paired_cell: int = PAIRED_CELL) ->
     return paired.union(named.join(least, "z").where("fp != b").select(F.col("fp").alias("a"), "b"))
 
 
+def _labelled(docs: DataFrame, shingle: int, distance: int, paired_cell: int) -> DataFrame:
+    """The fingerprints of ``docs`` with ``component_id`` and ``label``, the least fingerprint that links reach."""
+    found = cut_lineage(fingerprints(docs, shingle), "fingerprints")
+    classes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    joined = components(links(classes.select("fp"), distance, paired_cell))
+    labelled = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    labelled = cut_lineage(labelled.select("fp", "first", F.coalesce("component", "fp").alias("label")), "labels")
+    least = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "least-documents")
+    by_fp = cut_lineage(labelled.join(least, "label").select("fp", "component_id", "label"), "fingerprint-components")
+    return found.join(by_fp, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, paired_cell: int = PAIRED_CELL) -> DataFrame:
     """``doc_id, fp, text_hash, component_id`` of each row of ``docs``.
 
@@ -141,27 +163,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, paired
     their own; a null ``doc_id`` is linked but names no component, so it is null
     where a component holds no other.  An empty table gives an empty one.
     """
-    found = cut_lineage(fingerprints(docs, shingle), "fingerprints")
-    classes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = components(links(classes.select("fp"), distance, paired_cell))
-    labelled = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    labelled = cut_lineage(labelled.select("fp", "first", F.coalesce("component", "fp").alias("label")), "labels")
-    least = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "least-documents")
-    by_fp = cut_lineage(labelled.join(least, "label").select("fp", "component_id"), "fingerprint-components")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    return _labelled(docs, shingle, distance, paired_cell).select("doc_id", "fp", "text_hash", "component_id")
 
 
 def first_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does, all columns kept.
 
-    The document of the least id stays; of rows that repeat its id, one.
+    The document of the least id stays, one without an id only where its group has no
+    other; of rows with that id, one of the text of the least hash.  Rows of other
+    groups stay whatever their ids: a null or repeated id joins nothing.
     """
-    found = near_duplicates(docs, shingle, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.min("text_hash").alias("_kept_hash"))
+    found = _labelled(docs, shingle, distance, PAIRED_CELL)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "text_check")
+    kept = found.groupBy("label").agg(F.min(first).alias("first"))
+    names = {"doc_id": "_kept_id", "text_hash": "_kept_hash", "text_check": "_kept_check"}
+    kept = kept.select(F.col("label").alias("_kept_label"), *[F.col(f"first.{k}").alias(v) for k, v in names.items()])
     kept = cut_lineage(kept, "kept")
-    hashed = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    match = docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (hashed == kept["_kept_hash"])
-    one = Window.partitionBy("_kept_id").orderBy("_kept_hash")
+    one_hash, other_hash = text_hashes(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    match = docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"])
+    match &= (one_hash == kept["_kept_hash"]) & (other_hash == kept["_kept_check"])
+    one = Window.partitionBy("_kept_label").orderBy("_kept_hash")
     rows = docs.join(kept, match).withColumn("_kept_row", F.row_number().over(one)).where("_kept_row = 1")
     return rows.select(*[docs[c] for c in docs.columns])
