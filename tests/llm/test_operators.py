@@ -161,6 +161,13 @@ def test_repeated_ids_keep_their_own_texts(docs):
     assert sorted(r["text"] for r in rows) == ["", "", "end", "other words"]
 
 
+def test_many_texts_of_a_null_id_keep_their_own_windows(docs):
+    again = " ".join(f"p{i}" for i in range(12))
+    texts = [f"{again} a{i} {again}" if i % 2 else " ".join(f"w{i}x{k}" for k in range(13 + i % 5)) for i in range(6000)]
+    rows = recompression.remove_repeats(docs(*[(None, t) for t in texts]), window=12).collect()
+    assert sorted(r["text"] for r in rows) == sorted(_plain_removal(texts, 12))
+
+
 # --- lattice ------------------------------------------------------------------
 
 

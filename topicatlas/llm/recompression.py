@@ -9,10 +9,10 @@ and the candidates' word sequences verify them.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicatlas.llm.common import documents, slices
+from topicatlas.llm.common import documents, slices, text_hashes
 from topicatlas.operators.lineage import cut_lineage, discard
 
 #: Words of a window.
@@ -21,6 +21,9 @@ WINDOW = 35
 ROUNDS = 3
 #: Symbols of fewer words are common by themselves and reveal nothing.
 LEAST_SPAN = 3
+#: What tells rows apart: only rows with equal texts under an equal id share it.
+IDENTITY = ["doc_id", "text_hash", "text_check"]
+SYMBOL_COLUMNS = ["name", "row", "start", *IDENTITY]
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -142,9 +145,14 @@ def _inner_symbols(names: np.ndarray, bounds: np.ndarray, window: int, rounds: i
 
 
 def _symbol_rows(window: int, rounds: int):
+    """The symbols of each row, and one with its id and text hashes in place of a symbol."""
+
     def task(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            rows = batch.column("row")
+            n = batch.num_rows
+            own = [batch.column(c) for c in IDENTITY]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), rows, pa.nulls(n, pa.int32()), *own], SYMBOL_COLUMNS)
             for begin, texts in slices(batch.column("text")):
                 _, names, bounds = _laid_out(texts)
                 name, start, _, _ = _inner_symbols(names, bounds, window, rounds)
@@ -152,10 +160,11 @@ def _symbol_rows(window: int, rounds: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(name.view(np.int64)),
-                        ids.slice(begin, len(texts)).take(pa.array(doc)),
+                        rows.slice(begin, len(texts)).take(pa.array(doc)),
                         pa.array((start - bounds[doc]).astype(np.int32)),
+                        *[pa.nulls(len(name), pa.int64()) for _ in IDENTITY],
                     ],
-                    ["name", "doc_id", "start"],
+                    SYMBOL_COLUMNS,
                 )
 
     return task
@@ -166,7 +175,7 @@ def _window_rows(window: int, rounds: int):
 
     def task(batches):
         for batch in batches:
-            ids, keys, shared = (batch.column(c) for c in ("doc_id", "text_key", "starts"))
+            rows, shared = batch.column("row"), batch.column("starts")
             for begin, texts in slices(batch.column("text")):
                 _, names, bounds = _laid_out(texts)
                 if len(names) < window:
@@ -189,57 +198,66 @@ def _window_rows(window: int, rounds: int):
                 inside = at + window <= bounds[doc + 1]
                 at, doc = at[inside], doc[inside]
                 one, two = window_hashes(names, window)
-                key = keys.slice(begin, len(texts)).to_numpy(zero_copy_only=False)[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one[at].view(np.int64)),
                         pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        ids.slice(begin, len(texts)).take(pa.array(doc)),
-                        pa.array((at - bounds[doc]) << 20 | key),
+                        rows.slice(begin, len(texts)).take(pa.array(doc)),
+                        pa.array((at - bounds[doc]).astype(np.int32)),
                     ],
-                    ["one", "two", "doc_id", "at"],
+                    ["one", "two", "row", "at"],
                 )
 
     return task
 
 
-def text_key(text) -> Column:
-    """Twenty bits that tell apart rows of one ``doc_id`` and different texts."""
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1))
+def _of_identity(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """``docs`` (``doc_id, text`` and others) with the columns of ``table`` for their id and text."""
+    match = docs["doc_id"].cast("long").eqNullSafe(table["_id"])
+    for hashed, name in zip(text_hashes(docs["text"]), ("_text_hash", "_text_check"), strict=True):
+        match &= hashed == table[name]
+    return docs.join(table, match, how).drop("_id", "_text_hash", "_text_check")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, starts``: where windows begin whose word sequence begins anywhere else too.
-
-    ``starts`` holds the first word of the window, shifted by 20 bits that hold the
-    ``text_key`` of its row.  Counting symbols and windows combines before the
-    shuffle; hot symbols and windows meet their counts in joins whose sides are both
-    plain exchanges, so Spark can split them.
+    """``_id, _text_hash, _text_check, starts``: where windows begin whose word sequence begins anywhere else too.
+
+    There is a row for each id and text with such a window, null ids as well, so
+    ``starts`` is never longer than the text.  Rows are numbered where their symbols
+    are written; of rows with equal ids and texts (128 bits of hash) the least number
+    stands for all.  Counting symbols and windows combines before the shuffle; hot
+    symbols and windows meet their counts in joins whose sides are both plain
+    exchanges, so Spark can split them.
     """
     source = documents(docs)
-    rows = source.mapInArrow(_symbol_rows(window, rounds), "name long, doc_id long, start int")
-    rows = cut_lineage(rows, "symbols")
+    one, other = text_hashes(F.col("text"))
+    numbered = source.select("text", F.monotonically_increasing_id().alias("row"), "doc_id", one.alias("text_hash"), other.alias("text_check"))
+    kinds = "name long, row long, start int, doc_id long, text_hash long, text_check long"
+    written = cut_lineage(numbered.mapInArrow(_symbol_rows(window, rounds), kinds), "symbols")
+    identities = written.where("start is null").groupBy(*IDENTITY).agg(F.min("row").alias("row"))
+    identities = cut_lineage(identities.select("row", *[F.col(c).alias(k) for c, k in zip(IDENTITY, ("_id", "_text_hash", "_text_check"), strict=True)]), "identities")
+    rows = written.where("start is not null").select("name", "row", "start")
     shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     shared = cut_lineage(shared, "shared-names")
-    found = cut_lineage(rows.join(shared, "name").select("doc_id", "start"), "shared-symbols")
-    discard(rows, shared)
-    by_doc = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("start").alias("starts"))
-    by_doc = cut_lineage(by_doc, "shared-by-document")
+    found = cut_lineage(rows.join(shared, "name").select("row", "start"), "shared-symbols")
+    discard(written, shared)
+    by_row = found.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    by_row = cut_lineage(identities.join(by_row, "row", "left"), "shared-by-document")
     discard(found)
-    candidates = source.withColumn("text_key", text_key("text")).join(
-        by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left"
-    )
-    windows = candidates.select("doc_id", "text", "text_key", "starts").mapInArrow(
-        _window_rows(window, rounds), "one long, two int, doc_id long, at long"
+    candidates = _of_identity(source, by_row, "inner")
+    windows = candidates.select("row", "text", "starts").mapInArrow(
+        _window_rows(window, rounds), "one long, two int, row long, at int"
     )
     windows = cut_lineage(windows, "windows")
-    discard(by_doc)
+    discard(by_row)
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     twice = cut_lineage(twice, "repeated")
-    found = cut_lineage(windows.join(twice, ["one", "two"]).select("doc_id", "at"), "repeated-windows")
+    found = cut_lineage(windows.join(twice, ["one", "two"]).select("row", "at"), "repeated-windows")
     discard(windows, twice)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    return cut_lineage(by_doc, "repeated-by-document")
+    by_row = found.groupBy("row").agg(F.collect_set("at").alias("starts"))
+    by_row = cut_lineage(identities.join(by_row, "row").drop("row"), "repeated-by-document")
+    discard(found, identities)
+    return by_row
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -262,21 +280,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     lose nothing.  Rows that repeat each other repeat their windows, also under the
     same ``doc_id``.  Two leading underscored columns are added, so no name clashes.
     """
-    repeated = repeated_windows(docs, window, rounds).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.withColumn("text", text).withColumn("_key", text_key("text"))
-    joined = source.join(repeated, source["doc_id"].cast("long").eqNullSafe(repeated["_id"]), "left").drop("_id")
+    repeated = repeated_windows(docs, window, rounds).withColumnRenamed("starts", "_starts")
+    source = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = _of_identity(source, repeated, "left")
     columns = docs.columns
 
     def task(batches):
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            texts, keys = batch.column("text"), batch.column("_key").to_pylist()
-            for text, key, own in zip(texts, keys, batch.column("_starts"), strict=True):
+            for text, own in zip(batch.column("text"), batch.column("_starts"), strict=True):
                 words = words_of(text.as_py())
                 at = own.values.to_numpy(zero_copy_only=False) if own.is_valid else np.zeros(0, np.int64)
-                at = at[(at & ((1 << 20) - 1)) == key] >> 20
-                left = kept_words(words, np.unique(at), window)
+                left = kept_words(words, at, window)
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))

@@ -5,11 +5,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicatlas.llm.common import documents, per_document
+from topicatlas.llm.common import documents, per_document, text_hashes
 from topicatlas.llm.components import components
 from topicatlas.operators.lineage import cut_lineage
 
@@ -43,11 +43,6 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def text_hashes(text: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes of a text, from different seeds."""
-    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``doc_id, fp, text_hash, text_check`` of each row of ``docs``; ``fp`` holds the bits as a long.
 
