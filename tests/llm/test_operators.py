@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from checks.compare import connect, difference
-from topicatlas.llm import chat, components, crf, imatch, lattice, packing, pieces, pii, queries, recompression, secrets, simhash, toxicity
+from topicatlas.llm import chat, common, components, crf, imatch, lattice, packing, pieces, pii, queries, recompression, secrets, simhash, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -263,6 +263,35 @@ def test_toxic_words_are_located(docs):
     assert {r["score"] for r in toxicity.score_documents(docs("a"), None).collect()} == {0.0}
 
 
+LONG = " ".join(f"plain words number {i} follow here." for i in range(900))
+
+
+def test_long_texts_are_learned_from(spark, docs):
+    assert len(LONG) > toxicity.SAMPLE_CHARS
+    insult = " ".join(f"you are a blarg number {i} now." for i in range(900))
+    table = docs(*[(i, f"{i} {insult if i % 3 == 0 else LONG}") for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(i, i % 2) for i in range(1000, 9000)], "doc_id long, toxic int")
+    model = toxicity.fitted(table, labels)
+    rows = toxicity.score_documents(table, model).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in rows) and len(rows) == 120
+    with pytest.raises(ValueError, match="labels"):
+        toxicity.fitted(table, labels.where("toxic = 0"))
+
+
+def test_secrets_of_long_texts_are_learned(docs):
+    key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:18]
+    table = docs(*[f"{i} {LONG} some words here password={key(i)} and more. {LONG}" for i in range(60)], *[f"{i} {LONG}" for i in range(60)])
+    model = secrets.fitted(table)
+    assert secrets.mask_secrets(docs(f"some words here passphrase={key(99)} and more."), model).first()["text"] == "some words here passphrase=[SECRET] and more."
+
+
+def test_excerpts_are_whole_pieces_from_all_over():
+    for text in (LONG, LONG.replace(". ", "\n"), LONG.replace(".", ""), "x" * 50_000):
+        cut = common.excerpt(text, 5000, lambda piece: "number 880 " in piece)
+        assert 4000 <= len(cut) <= 5000 and all(line.strip() in text for line in cut.split("\n"))
+        assert ("number 880 " in cut) == ("number 880 " in text) and common.excerpt(text, len(text)) == text
+
+
 def _plain_secrets(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 8]

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.llm import crf, spans
-from topicatlas.llm.common import documents, per_document, slices
+from topicatlas.llm.common import documents, excerpts, per_document, slices
 
 KINDS = ("assign", "access", "hex", "tagged")
 #: Bounds of the sample the field is fitted on: documents that may hold a secret, as
-#: many others, and the characters of each.
+#: many others, and the characters of each; of a longer text an excerpt is taken.
 SAMPLE_DOCUMENTS = 1_000
 SAMPLE_CHARS = 20_000
 #: A tagged span has so many characters at least, as the value of an assignment has.
@@ -295,10 +295,11 @@ def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list[spans.
 def fitted(docs: DataFrame) -> Model | None:
     """The model of a bounded sample of ``docs``: texts that hold a word of the patterns, and others.
 
-    Both halves are the first by a hash of the text.  Without a base span in the
-    sample there is none.
+    Both halves are the first by a hash of the text; of a text over ``SAMPLE_CHARS`` an
+    excerpt is taken, with its secrets first.  Without a base span in the sample there
+    is none.
     """
-    source = documents(docs).where(F.char_length("text") <= SAMPLE_CHARS).select("text")
+    source = documents(docs).select("text")
     low = F.lower("text")
     hint = F.col("text").contains("AKIA") | F.col("text").rlike("[0-9a-f]{32}")
     for h in HINTS:
@@ -309,7 +310,8 @@ def fitted(docs: DataFrame) -> Model | None:
     texts = []
     for kind, count in counts.items():
         below = min(DEAL, 2 * DEAL * SAMPLE_DOCUMENTS // count + 1)
-        rows = dealt.where((F.col("deal") < below) & (F.col("hint") == kind)).orderBy("deal", "text")
+        rows = dealt.where((F.col("deal") < below) & (F.col("hint") == kind)).select("text", "deal")
+        rows = excerpts(rows, SAMPLE_CHARS, lambda piece: bool(values(piece))).orderBy("deal", "text")
         texts += sorted({r["text"] for r in rows.limit(SAMPLE_DOCUMENTS).collect()})
     return fit(texts) if any(values(t) for t in texts) else None
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.llm import crf
-from topicatlas.llm.common import documents, per_document, slices
+from topicatlas.llm.common import documents, excerpts, per_document, slices
 
-#: Bounds of the sample the field is fitted on: toxic and clean documents, and characters of each.
+#: Bounds of the sample the field is fitted on: toxic and clean documents, and characters of each;
+#: of a longer text an excerpt is taken.
 SAMPLE_DOCUMENTS = {1: 800, 0: 3_200}
 SAMPLE_CHARS = 20_000
 #: Documents of this remainder of crc32(doc_id as text) are never learned from.
@@ -132,12 +133,15 @@ class Model:
         )
 
 
-def document_features(log_odds: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Per document: one, the greatest marginal as log odds, and the expected toxic tokens (log)."""
+def document_features(log_odds: np.ndarray, doc: np.ndarray, n_docs: int, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Per document: one, the greatest marginal as log odds, and the expected toxic tokens (log).
+
+    ``times`` is how many texts of its length an excerpt stands for.
+    """
     top = np.full(n_docs, -12.0)
     np.maximum.at(top, doc, np.clip(log_odds, -12, 12))
     expected = np.bincount(doc, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))), n_docs)
-    return np.stack([np.ones(n_docs), top / 4, np.log1p(expected)], axis=1)
+    return np.stack([np.ones(n_docs), top / 4, np.log1p(expected * times)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
@@ -149,11 +153,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float = 1.0) -> Model:
+def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float = 1.0, times: list[float] | None = None) -> Model:
     """A model from labelled texts; those of ``calibrate`` set the document score alone.
 
     ``weight`` is how many clean documents each clean one of the sample stands for,
-    if a toxic one stands for one.
+    if a toxic one stands for one; ``times`` the length of each whole text, if that of
+    its excerpt is one.
     """
     y, later = np.array(toxic, np.int64), np.array(calibrate, bool)
     early = np.flatnonzero(~later)
@@ -193,7 +198,8 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float
     model = Model(tables["own"], tables["before"], tables["after"], moves, np.zeros(3))
     for_score = np.flatnonzero(later) if later.sum() >= 20 else np.arange(len(y))
     odds, doc = Scorer(model).odds([texts[i] for i in for_score])
-    model.document = logistic(document_features(odds, doc, len(for_score)), y[for_score], np.where(y[for_score] == 1, 1.0, weight))
+    scale = 1.0 if times is None else np.array(times)[for_score]
+    model.document = logistic(document_features(odds, doc, len(for_score), scale), y[for_score], np.where(y[for_score] == 1, 1.0, weight))
     return model
 
 
@@ -246,29 +252,36 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of a bounded sample; none without a toxic and a clean document in it.
+    """The model of a bounded sample; none of an empty table.
 
     Of either label the first documents by a hash of their id are taken, none held
-    out.  The ids are chosen from the labels and broadcast, at most twice the bound
-    of them, so texts are not shuffled.  A document with several labels is toxic if
-    one says so; rows that repeat a text count once.
+    out, and of a text over ``SAMPLE_CHARS`` an excerpt that counts as the whole.  The
+    ids are chosen from the labels of ids in ``docs`` and broadcast, at most twice the
+    bound of them, so texts are not shuffled.  A document with several labels is toxic
+    if one says so; rows that repeat a text count once.  Documents without a toxic and
+    a clean label among them are an error.
     """
     marks = labels.where("doc_id is not null and toxic is not null")
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
     marks = marks.where(fold(F.col("doc_id")) != HELD_OUT)
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
-    texts: dict[int, list[str]] = {}
+    texts: dict[int, dict[str, float]] = {}
     for label, bound in SAMPLE_DOCUMENTS.items():
         ids = marks.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
-        found = documents(docs).where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-        rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(bound).collect()
-        texts[label] = sorted({r["text"] for r in rows})
+        found = documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.char_length("text").alias("chars"))
+        found = excerpts(found, SAMPLE_CHARS).distinct()
+        rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "chars").limit(bound).collect()
+        texts[label] = {r["text"]: max(1.0, r["chars"] / max(1, len(r["text"]))) for r in rows}
     if not texts[0] or not texts[1]:
+        if docs.limit(1).count():
+            raise ValueError("no model: the documents to learn from need toxic and clean labels")
         return None
-    whole = texts[1] + texts[0]
+    whole = sorted(texts[1]) + sorted(texts[0])
     toxic = [1] * len(texts[1]) + [0] * len(texts[0])
+    times = [texts[y][t] for t, y in zip(whole, toxic, strict=True)]
     weight = (counts[0] / len(texts[0])) / (counts[1] / len(texts[1]))
-    return fit(whole, toxic, [i % 4 == 3 for i in range(len(whole))], weight)
+    return fit(whole, toxic, [i % 4 == 3 for i in range(len(whole))], weight, times)
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
