@@ -285,6 +285,14 @@ def test_secrets_of_long_texts_are_learned(docs):
     assert secrets.mask_secrets(docs(f"some words here passphrase={key(99)} and more."), model).first()["text"] == "some words here passphrase=[SECRET] and more."
 
 
+def test_copies_take_no_places_of_the_sample(docs, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCUMENTS", 20)
+    monkeypatch.setattr(secrets, "fit", lambda texts: texts)
+    texts = [f"password=abcdefgh{i}" for i in range(60)] + [f"nothing {i}" for i in range(60)]
+    found = secrets.fitted(docs(*texts, *texts[:20] * 100, *texts[-20:] * 100))
+    assert len(found) == len(set(found)) == 40 and sum(t.startswith("password") for t in found) == 20
+
+
 def test_excerpts_are_whole_pieces_from_all_over():
     for text in (LONG, LONG.replace(". ", "\n"), LONG.replace(".", ""), "x" * 50_000):
         cut = common.excerpt(text, 5000, lambda piece: "number 880 " in piece)

@@ -295,7 +295,7 @@ def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list[spans.
 def fitted(docs: DataFrame) -> Model | None:
     """The model of a bounded sample of ``docs``: texts that hold a word of the patterns, and others.
 
-    Both halves are the first by a hash of the text; of a text over ``SAMPLE_CHARS`` an
+    Both halves are the first distinct texts by a hash; of a text over ``SAMPLE_CHARS`` an
     excerpt is taken, with its secrets first.  Without a base span in the sample there
     is none.
     """
@@ -306,12 +306,14 @@ def fitted(docs: DataFrame) -> Model | None:
         hint = hint | low.contains(h)
     dealt = source.select("text", hint.alias("hint"), F.pmod(F.xxhash64("text"), F.lit(DEAL)).alias("deal"))
     # Twice the share that makes up the bound, so what reaches the driver does not grow.
-    counts = {r["hint"]: r["count"] for r in dealt.groupBy("hint").count().collect()}
+    # Copies of a text are one of it, so no group of them takes the places of others.
+    apart = dealt.groupBy("hint").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    counts = {r["hint"]: max(1, r["n"]) for r in apart.collect()}
     texts = []
     for kind, count in counts.items():
         below = min(DEAL, 2 * DEAL * SAMPLE_DOCUMENTS // count + 1)
         rows = dealt.where((F.col("deal") < below) & (F.col("hint") == kind)).select("text", "deal")
-        rows = excerpts(rows, SAMPLE_CHARS, lambda piece: bool(values(piece))).orderBy("deal", "text")
+        rows = excerpts(rows, SAMPLE_CHARS, lambda piece: bool(values(piece))).distinct().orderBy("deal", "text")
         texts += sorted({r["text"] for r in rows.limit(SAMPLE_DOCUMENTS).collect()})
     return fit(texts) if any(values(t) for t in texts) else None
 
