@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicatlas.llm import chat, imatch, lattice, packing, pieces, pii, recompression, secrets, simhash, toxicity
+from topicatlas.llm import chat, divergence, imatch, lattice, packing, periodic, pieces, pii
+from topicatlas.llm import recompression, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -130,6 +131,41 @@ def op10_simhash(spark, sf):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents").select("lang", "source", "text"))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    found = periodic.collapse_runs(periodic.with_planted_runs(table(spark, sf, "documents")))
+    lines = F.transform("_runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.col("_best")
+    return found.select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        hex_digest(F.array_join(lines, "")).alias("runs_sha256"),
+        hex_digest(F.col("text")).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_suffix_dedup(spark, sf):
+    kept = suffixes.remove_later(table(spark, sf, "documents").select("doc_id", "text"))
+    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return kept.select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": r"""
 WITH w AS (
@@ -162,5 +198,56 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(text_chars + CASE WHEN role_before = role THEN 7 ELSE 15 + role_chars END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_divergence": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM w),
+c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM (SELECT r, lang, source, unnest(terms) AS term FROM w) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+k AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, t.n AS lang_n
+  FROM groups g JOIN kept t ON g.lang = t.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+s AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q
+  FROM k WINDOW g AS (PARTITION BY lang, source)),
+pair AS (
+  SELECT g.lang, g.source, o.source AS item,
+    coalesce((SELECT sum(abs(a.p - b.p)) FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term
+              WHERE a.lang = g.lang AND a.source = g.source AND b.source = o.source), 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op13_suffix_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, h, unnest(range(0, strlen(h) // 2 - 99)) AS i FROM d WHERE strlen(h) >= 200),
+m AS (SELECT r, i, row_number() OVER (PARTITION BY sha256(substr(h, 2 * i + 1, 200)) ORDER BY r, i) AS k FROM s),
+later AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM m WHERE k > 1),
+runs AS (SELECT r, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM later),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY r, run),
+pieces AS (
+  SELECT r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1,
+    2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS before FROM spans JOIN d USING (r)),
+k AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(before, '' ORDER BY a) AS before, max(b) AS b
+  FROM pieces GROUP BY r)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
 """,
 }
