@@ -224,6 +224,12 @@ def category_index_lines(spark, sf):
     return cat.category_lines(index(spark, sf))
 
 
+@query
+def category_index_parts(spark, sf):
+    """Lists cut about once in a hundred copies, where the addresses say so."""
+    return cat.category_lines(index(spark, sf), length=100)
+
+
 @query
 def class_index_lines(spark, sf):
     """Lines ``category:ip|ip``, straight from edits that carry their class."""
@@ -299,7 +305,16 @@ def located_categories(spark, sf):
 
 @query
 def point_categories(spark, sf):
-    listed = cp.point_categories(located(spark, sf))
+    return _point_categories(cp.point_categories(located(spark, sf)))
+
+
+@query
+def point_category_parts(spark, sf):
+    """Lists cut about once in twenty names, where the names say so."""
+    return _point_categories(cp.point_categories(located(spark, sf), length=20))
+
+
+def _point_categories(listed):
     entries = F.transform("categories", lambda c: F.concat(c["category"], F.lit(":"), c["n"]))
     return listed.select(
         "lon_udeg", "lat_udeg", "part", F.concat_ws("|", entries).alias("categories")

@@ -63,13 +63,53 @@ def test_lists_repeat_addresses(rows):
     assert as_tuples(lines, "line") == [("a:3|20|20",), ("b:1",)]
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 2])
-def test_a_hot_category_is_cut_but_whole(rows, rows_per_task):
+def _with_tasks(spark, n, build):
+    """What ``build`` gives with so many shuffle partitions, none of them merged."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, (str(n), "false")):
+            spark.conf.set(name, value)
+        return as_tuples(build())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_a_hot_category_is_cut_but_whole(rows):
     counts = rows("category string, class_ip long, n long", *[("hot", i, i % 5 + 1) for i in range(300)], ("cold", 1, 1))
-    lists = cat.category_lists(counts, longest=10, rows_per_task=rows_per_task).collect()
-    assert max(len(r["ips"]) for r in lists) <= 20
-    found = sorted(ip for r in lists if r["category"] == "hot" for ip in r["ips"])
-    assert found == sorted(i for i in range(300) for _ in range(i % 5 + 1))
+    lists = cat.category_lists(counts, length=10).collect()
+    assert 30 < len(lists) < 150 and max(len(r["ips"]) for r in lists) < 60
+    parts = sorted((r["part"], r["ips"]) for r in lists if r["category"] == "hot")
+    assert [ip for _, ips in parts for ip in ips] == [i for i in range(300) for _ in range(i % 5 + 1)]
+
+
+def test_lists_are_the_same_in_any_number_of_tasks(spark, rows):
+    counts = rows(
+        "category string, class_ip long, n long",
+        *[("hot", 256 * i, i % 7 + 1) for i in range(400)], ("copies", 5, 2500), *[(f"c{i}", i, 1) for i in range(20)],
+    )
+    whole = _with_tasks(spark, 1, lambda: cat.category_lists(counts, length=30))
+    assert whole == _with_tasks(spark, 9, lambda: cat.category_lists(counts, length=30))
+    assert whole == _with_tasks(spark, 3, lambda: cat.category_lists(counts.repartition(5), length=30))
+    # Other categories, or more of them, change no list.
+    alone = as_tuples(cat.category_lists(counts.filter("category = 'hot'"), length=30))
+    assert alone == [r for r in whole if r[0] == "hot"]
+
+
+def test_a_category_of_very_many_entries(spark):
+    """Lists are bounded by what their items say, not cut at a number of rows."""
+    ids = spark.range(180_000)
+    counts = ids.selectExpr("'big' AS category", "id * 256 AS class_ip", "1L AS n").union(
+        spark.sql("SELECT 'one address', 77L, 180000L")
+    )
+    lists = cat.category_lists(counts).selectExpr("category", "part", "size(ips) AS n", "ips[0] AS first").collect()
+    for category in ("big", "one address"):
+        own = sorted((r["part"], r["n"]) for r in lists if r["category"] == category)
+        assert sum(n for _, n in own) == 180_000
+        assert len(own) == len({p for p, _ in own}) <= 8
+    again = cat.category_lists(counts.repartition(7)).selectExpr("category", "part", "size(ips) AS n", "ips[0] AS first")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, lists))
 
 
 def test_points(rows):
@@ -85,8 +125,8 @@ def test_points(rows):
     assert {(r["lon_udeg"], r["part"]): [tuple(c) for c in r["categories"]] for r in listed} == {
         (20, 0): [("a", 5), ("b", 1)], (6, 0): [("b", 4)],
     }
-    parts = cp.point_categories(found, longest=1).filter("lon_udeg = 20").collect()
-    assert sorted(r["part"] for r in parts) == [0, 1]
+    parts = cp.point_categories(found, length=1).filter("lon_udeg = 20").collect()
+    assert sorted(r["part"] for r in parts) == [1, 2]
 
 
 def test_word_filter_reaches_the_scan(spark, tmp_path):

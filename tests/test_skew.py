@@ -62,17 +62,27 @@ def test_salts_do_not_depend_on_the_run(facts):
     assert once == again
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 50])
-def test_lists_are_whole_ordered_and_bounded(facts, rows_per_task):
-    known = facts.filter("key is not null")
-    lists = skew.bounded_lists(
-        known, ["key"], [F.col("id")], F.col("id"), by=["id"], longest=40, rows_per_task=rows_per_task
-    ).collect()
-    assert max(len(r["items"]) for r in lists) <= 40
+def test_lists_are_whole_ordered_and_cut_at_borders(facts):
+    border = F.col("id") % 40 == 0
+    lists = skew.parted_lists(facts, ["key"], ["id"], F.col("id"), border).collect()
     assert all(r["items"] == sorted(r["items"]) for r in lists)
-    assert len({(r["key"], r["part"]) for r in lists}) == len(lists)
-    found = sorted((r["key"], i) for r in lists for i in r["items"])
-    assert found == sorted((r["key"], r["id"]) for r in known.collect())
+    assert all(i % 40 for r in lists for i in r["items"][1:])
+    # Rows without a key are a list as well.
+    found = sorted((r["key"] or -1, i) for r in lists for i in r["items"])
+    assert found == sorted((r["key"] or -1, r["id"]) for r in facts.collect())
+    for key in (7, None, 13):
+        own = sorted((r["part"], r["items"][0]) for r in lists if r["key"] == key)
+        assert [first for _, first in own] == sorted(first for _, first in own)
+        assert own[-1][0] - own[0][0] == len(own) - 1
+
+
+def test_borders_are_as_often_as_asked(spark):
+    ids = spark.range(100_000).withColumn("piece", F.lit(0).cast("long")).withColumn("copies", F.lit(1))
+    for step in (1, 256, 65_536):
+        at = skew.content_border(F.col("id") * step, F.col("piece"), F.col("copies"), 100)
+        assert 500 < ids.filter(at).count() < 2000
+    named = skew.content_border_of_text(F.col("id").cast("string"), 100)
+    assert 800 < ids.filter(named).count() < 1200
 
 
 def test_shared_folder_is_that_of_the_session(spark, tmp_path):

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.functions.text import category_tokens
-from topicatlas.operators.skew import ROWS_PER_TASK, bounded_lists
+from topicatlas.operators.skew import LIST_LENGTH, content_border, parted_lists
+
+#: Copies of one address that stay together in a list.
+COPIES = 1_000
 
 
 def explode_categories(edits: DataFrame, literal: bool = False, lower: bool = True) -> DataFrame:
@@ -35,31 +38,24 @@ def category_frequency(exploded: DataFrame) -> DataFrame:
     return counted.orderBy("n", "category")
 
 
-def category_lists(
-    counts: DataFrame, longest: int = 100_000, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def category_lists(counts: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     """``category, part, ips``: class addresses as often as counted, in order.
 
-    A category's list is cut after about ``longest`` addresses; ``part`` numbers
-    the pieces.
+    The copies of an address are dealt out in pieces of ``COPIES``.  A list is cut
+    before a piece whose address and number say so, about once in ``length`` copies;
+    ``part`` counts the cuts.  Whatever else there is, a category has the same lists.
     """
-    pieces = (
-        counts.select(
-            "category", "class_ip", "n",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest))).alias("piece"),
-        )
-        .withColumn("copies", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest))
-        .select("category", "class_ip", "piece", F.col("copies").cast("int").alias("copies"))
-    )
-    lists = bounded_lists(
+    copies = min(COPIES, length)
+    pieces = counts.select(
+        "category", "class_ip", "n",
+        F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {copies}"))).alias("piece"),
+    ).withColumn("copies", F.least(F.lit(copies), F.col("n") - F.col("piece") * copies).cast("int"))
+    lists = parted_lists(
         pieces,
         ["category"],
-        order=[F.col("class_ip"), F.col("piece")],
+        order=["class_ip", "piece"],
         item=F.struct("class_ip", "copies"),
-        by=["class_ip", "piece"],
-        weight=F.col("copies"),
-        longest=longest,
-        rows_per_task=rows_per_task,
+        border=content_border(F.col("class_ip"), F.col("piece"), F.col("copies"), length),
     )
     ips = F.flatten(
         F.transform("items", lambda item: F.array_repeat(item["class_ip"], item["copies"]))
@@ -68,13 +64,10 @@ def category_lists(
 
 
 def category_lines(
-    counts: DataFrame,
-    separator: str = "#",
-    longest: int = 100_000,
-    rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame, separator: str = "#", length: int = LIST_LENGTH
 ) -> DataFrame:
     """``category, part, line`` with lines like ``category#ip|ip|ip``."""
-    lists = category_lists(counts.filter(F.col("class_ip").isNotNull()), longest, rows_per_task)
+    lists = category_lists(counts.filter(F.col("class_ip").isNotNull()), length)
     joined = F.concat_ws("|", F.col("ips").cast("array<string>"))
     line = F.concat(F.col("category"), F.lit(separator), joined)
     return lists.select("category", "part", line.alias("line"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.operators.locate import attach_location
-from topicatlas.operators.skew import ROWS_PER_TASK, bounded_lists
+from topicatlas.operators.skew import LIST_LENGTH, content_border_of_text, parted_lists
 
 
 def count_points(located: DataFrame) -> DataFrame:
@@ -34,19 +34,16 @@ def point_total(points: DataFrame) -> DataFrame:
     )
 
 
-def point_categories(
-    points: DataFrame, longest: int = 100_000, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def point_categories(points: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     """``lon_udeg, lat_udeg, part, categories``: the categories of a point with counts.
 
-    An export form; :func:`count_points` holds the same in rows.
+    An export form; :func:`count_points` holds the same in rows.  A list is cut before
+    categories whose name says so, about once in ``length`` names.
     """
-    return bounded_lists(
+    return parted_lists(
         points,
         ["lon_udeg", "lat_udeg"],
-        order=[F.col("category")],
+        order=["category"],
         item=F.struct("category", "n"),
-        by=["category"],
-        longest=longest,
-        rows_per_task=rows_per_task,
+        border=content_border_of_text(F.col("category"), length),
     ).withColumnRenamed("items", "categories")

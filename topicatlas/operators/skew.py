@@ -1,6 +1,6 @@
 """Joins and lists that stay balanced when one key holds a large share of the rows.
 
-Only keys above ``rows_per_task`` rows are treated, at most ``MOST_HOT_KEYS`` of
+In joins only keys above ``rows_per_task`` rows are treated, at most ``MOST_HOT_KEYS`` of
 them.  Whatever the data, a key that is not treated therefore holds at most
 ``max(rows_per_task, total / MOST_HOT_KEYS)`` rows, and the list of treated keys
 is small enough to be broadcast.
@@ -12,11 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from topicatlas.operators.lineage import cut_lineage
+
 ROWS_PER_TASK = 8_000_000
 MOST_HOT_KEYS = 10_000
 # Three million ranges, cut at bucket borders, with their coordinates take 360 MB.
 BROADCAST_BYTES = 400_000_000
 ROW_OVERHEAD = 32
+#: Items of a list between two cuts, on average.
+LIST_LENGTH = 100_000
+#: Odd numbers that spread what they multiply over 32 bits.
+SPREAD, SPREAD_PIECE = 1_640_531_527, 1_013_904_223
 
 
 def table_bytes(df: DataFrame, rows: int | None = None) -> int:
@@ -125,38 +131,53 @@ def balanced_join(
     return joined.drop("_splits", "_salt", "_copy", *dropped)
 
 
-def bounded_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    item: Column,
-    by: Sequence[str],
-    weight: Column | None = None,
-    longest: int = 100_000,
-    rows_per_task: int = ROWS_PER_TASK,
+def content_border(
+    number: Column, piece: Column, copies: Column, length: int = LIST_LENGTH
+) -> Column:
+    """Whether a list is cut before an item, once in ``length`` copies on average.
+
+    Its number, the piece of its copies and how many these are say so alone.  Products
+    with odd numbers near 0.382 and 0.236 of 2**32 spread neighbours evenly over 32 bits.
+    """
+    low = [F.pmod(column, F.lit(1 << 32)) for column in (number, piece)]
+    spread = F.pmod(low[0] * F.lit(SPREAD) + low[1] * F.lit(SPREAD_PIECE), F.lit(1 << 32))
+    return spread < copies.cast("bigint") * F.lit((1 << 32) // length)
+
+
+def content_border_of_text(text: Column, length: int = LIST_LENGTH) -> Column:
+    """The same of a text, by its MD5 in hexadecimal digits."""
+    return F.md5(text) < F.lit(f"{(1 << 32) // length:08x}" if length > 1 else "g")
+
+
+def parted_lists(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, border: Column
 ) -> DataFrame:
-    """``keys, part, items``: ordered lists per key, cut after about ``longest`` items.
+    """``keys, part, items``: lists per key in ``order``, cut before each item that is a ``border``.
 
-    ``weight`` is how many items a row stands for (at most ``longest``).  A key
-    with few rows has the single part 0.  The rows of a hot key are first spread
-    over several tasks by a hash of the columns ``by``.
+    ``part`` counts the borders up to an item.  Where a list is cut follows from its
+    items alone, so the lists are the same whatever the number of rows, keys or tasks.
+    A key's items, which ``order`` tells apart, may lie in any number of tasks: rows are
+    dealt by ranges of key and order, borders are counted inside a task, and what the
+    tasks before it counted is carried in, a row per key and task.
     """
-    hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
-        salted = df.withColumn("_splits", F.lit(1)).withColumn("_salt", F.lit(0))
-    else:
-        salted = with_salt(df, hot, keys, by)
-    group = W.partitionBy(*keys, "_salt").orderBy(*order)
-    weight = F.lit(1) if weight is None else weight
-    before = F.sum(weight).over(group.rowsBetween(W.unboundedPreceding, W.currentRow)) - weight
-    cut = F.floor(before / longest).cast("bigint")
-    numbered = salted.select(
-        *keys, "_salt", "_splits", cut.alias("_cut"),
-        F.struct(F.row_number().over(group).alias("position"), item.alias("item")).alias("_item"),
+    rows = df.select(*keys, *order, item.alias("_item"), border.cast("bigint").alias("_border"))
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_task", F.spark_partition_id())
+    # Written, so that a lost task cannot deal the rows anew.
+    ranged = cut_lineage(ranged, "ranged")
+    within = W.partitionBy(*keys, "_task")
+    counted = ranged.groupBy(*keys, "_task").agg(F.sum("_border").alias("_borders"))
+    earlier = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    carried = counted.select(
+        *[F.col(key).alias(f"_key_{key}") for key in keys], F.col("_task").alias("_in"),
+        F.coalesce(F.sum("_borders").over(earlier), F.lit(0)).alias("_carried"),
     )
-    items = F.transform(F.sort_array(F.collect_list("_item")), lambda entry: entry["item"])
-    return (
-        numbered.groupBy(*keys, "_salt", "_splits", "_cut")
-        .agg(items.alias("items"))
-        .select(*keys, (F.col("_cut") * F.col("_splits") + F.col("_salt")).alias("part"), "items")
+    inside = ranged.withColumn("_inside", F.sum("_border").over(within.orderBy(*order)))
+    here = F.col("_task") == F.col("_in")
+    for key in keys:
+        here = here & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    numbered = inside.join(carried, here).select(
+        *keys, (F.col("_inside") + F.col("_carried")).alias("part"),
+        F.struct(*order, "_item").alias("_item"),
     )
+    items = F.transform(F.sort_array(F.collect_list("_item")), lambda entry: entry["_item"])
+    return numbered.groupBy(*keys, "part").agg(items.alias("items"))

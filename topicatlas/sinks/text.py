@@ -1,7 +1,7 @@
 """Writers for the text layouts.
 
-Each writes one file per task.  ``single_file`` gathers a *small report* in one
-file; leave it off for anything that grows with the data.
+Each writes one file per task, but for the table of main categories, which has at
+most a line per cluster.
 """
 
 from collections.abc import Sequence
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.operators.categories import category_lines
+from topicatlas.operators.skew import LIST_LENGTH
 from topicatlas.operators.profile import main_category_report, report_lines
 from topicatlas.schemas import CLEAN_COLUMNS
 
@@ -34,12 +35,13 @@ def write_category_index(
     separator: str = "#",
     compression: str = "bzip2",
     mode: str = "errorifexists",
-    longest: int = 100_000,
+    length: int = LIST_LENGTH,
 ) -> None:
     """``category, class_ip, n`` as lines ``category#ip|ip|ip``.
 
     A category holding the separator fails the write: its line could not be read
-    back.  A long list is cut into several lines of its category.
+    back.  A list is cut into several lines of its category about once in ``length``
+    addresses, where the addresses themselves say so.
     """
     message = F.concat(F.lit(f"category holds {separator!r}: "), F.col("category"))
     checked = counts.withColumn(
@@ -48,7 +50,7 @@ def write_category_index(
             F.col("category")
         ),
     )
-    lines = category_lines(checked, separator, longest).select("line")
+    lines = category_lines(checked, separator, length).select("line")
     lines.write.mode(mode).text(path, compression=compression)
 
 
