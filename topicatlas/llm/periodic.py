@@ -83,6 +83,7 @@ def lag_scan(ids: np.ndarray) -> list[tuple[int, int, int]]:
                 break
             hits = hits[ids[hits + k] == ids[hits + k + q]]
         hits = hits.tolist()
+        own: list[tuple[int, int]] = []
         k = 0
         while k < len(hits):
             x = hits[k]
@@ -97,12 +98,11 @@ def lag_scan(ids: np.ndarray) -> list[tuple[int, int, int]]:
                 continue
             low, high = _agreement(ids, q, x)
             if high + q - low >= max(LEAST_WORDS, EXPONENT * q):
-                found.append((low, high + q - low, q))
+                own.append((low, high + q))
             k = bisect_left(hits, high, k)
-        own = [f for f in found if f[2] == q]
         if own:
-            own.sort()
-            ends_of[q] = ([f[0] for f in own], [f[0] + f[1] for f in own])
+            ends_of[q] = ([start for start, _ in own], [end for _, end in own])
+            found += [(start, end - start, q) for start, end in own]
     return sorted(found)
 
 
