@@ -12,6 +12,7 @@ from topicatlas.operators import categories as cat
 from topicatlas.operators import clean, kmeans as km, locate, profile, raster
 from topicatlas.operators import points as cp
 from topicatlas.operators.lineage import shared_folder
+from topicatlas.operators.ranges import index_ranges, read_range_index, write_range_index
 from topicatlas.plans import (
     Regions,
     build_index,
@@ -120,10 +121,36 @@ def _resolved(df: DataFrame, *more: str) -> DataFrame:
 
 
 @query
-def resolve_asof_bucketed(spark, sf):
+def resolve_asof_cells(spark, sf):
     return _resolved(locate.resolve_locations(routable(spark, sf), fx.locations(spark, sf)))
 
 
+@query
+def resolve_asof_stored(spark, sf):
+    """By an index of an earlier run, with what is known of its size."""
+    path = scratch(spark, "range-index")
+    write_range_index(index_ranges(fx.locations(spark, sf)), path)
+    stored = read_range_index(spark, path)
+    return _resolved(locate.resolve_locations(routable(spark, sf), stored, attach=["city_name"]), "city_name")
+
+
+@query
+def range_index_statistics(spark, sf):
+    """Ranges, and text to attach, of an index; no cell holds more than 17 pieces."""
+    built = index_ranges(_crowded_ranges(spark, sf))
+    known = spark.range(1).select(F.lit(built.n_ranges).alias("ranges"), F.lit(built.fullest <= 17).alias("bounded"))
+    cells = built.cells.agg(F.count("*").alias("pieces"), F.countDistinct("class_ip").alias("classes"))
+    both = known.join(cells)
+    return both.select("ranges", "classes", "bounded", (F.col("pieces") == built.n_pieces).alias("counted"))
+
+
+@query
+def resolve_asof_bucketed(spark, sf):
+    return _resolved(
+        locate.resolve_locations(routable(spark, sf), fx.locations(spark, sf), method="bucketed")
+    )
+
+
 @query
 def resolve_asof_window(spark, sf):
     return _resolved(
@@ -155,12 +182,16 @@ def resolve_above_first(spark, sf):
     return _resolved(locate.resolve_locations(routable(spark, sf), later))
 
 
+def _crowded_ranges(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    corner = orders.select((F.lit(DENSE_CORNER) + F.col("o_orderkey") * 2).alias("ip_from"))
+    return fx.locations(spark, sf).select("ip_from").unionByName(corner)
+
+
 @query
 def resolve_asof_dense(spark, sf):
     """As many ranges as orders in one corner, a third of the edits at one address there."""
-    orders = fx.table(spark, sf, "orders")
-    corner = orders.select((F.lit(DENSE_CORNER) + F.col("o_orderkey") * 2).alias("ip_from"))
-    starts = fx.locations(spark, sf).select("ip_from").unionByName(corner)
+    starts = _crowded_ranges(spark, sf)
     edits = routable(spark, sf).select("rev_id", F.expr(DENSE_ADDRESS).alias("long_ip"))
     return _resolved(locate.resolve_locations(edits, starts))
 

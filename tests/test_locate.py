@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import as_tuples
 from topicatlas.functions.ip import IPV4_MAX
-from topicatlas.operators import locate
+from topicatlas.operators import locate, ranges
 
 FORMS = {
-    "bucketed": {},
-    "wide buckets": {"bits": 24},
-    "narrow buckets": {"bits": 12},
+    "cells": {},
+    "bucketed": {"method": "bucketed"},
+    "wide buckets": {"method": "bucketed", "bits": 24},
+    "narrow buckets": {"method": "bucketed", "bits": 12},
     "shuffled": {"broadcast_bytes": 0},
     "shuffled, all keys hot": {"broadcast_bytes": 0, "rows_per_task": 1},
     "window": {"method": "window"},
@@ -55,7 +56,7 @@ def places(rows):
     )
 
 
-@pytest.mark.parametrize("method", ["bucketed", "window"])
+@pytest.mark.parametrize("method", ["cells", "bucketed", "window"])
 def test_gaps_upper_bounds_and_attached_columns(rows, places, method):
     edits = rows("long_ip long", (50,), (100,), (250,), (340,), (360,), (600,))
     found = locate.resolve_locations(edits, places, method, attach=["city_name"])
@@ -77,7 +78,7 @@ def test_a_prepared_table_gives_the_same(rows, places):
         assert as_tuples(locate.resolve_locations(edits, ranges, **options)) == as_tuples(
             locate.resolve_locations(edits, places, **options)
         )
-    plan = locate.resolve_locations(edits, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    plan = locate.resolve_locations(edits, ranges, "bucketed")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lead(") <= 2
 
 
@@ -90,7 +91,7 @@ def test_no_address_has_no_class(rows, places, form):
 
 def test_empty_location_table(rows):
     edits = rows("long_ip long", (5,))
-    for method in ("bucketed", "window"):
+    for method in ("cells", "bucketed", "window"):
         found = locate.resolve_locations(edits, rows("ip_from long"), method)
         assert as_tuples(found) == [(5, None)]
 
@@ -135,16 +136,69 @@ def test_small_ranges_are_broadcast_and_nothing_edit_sized_is_shuffled(spark, tm
     assert "ReadSchema: struct<long_ip:bigint>" in plan
 
 
-def test_crowded_ranges_are_resolved_by_the_window_form(spark):
-    starts = spark.range(4000).select((F.lit(167772160) + F.col("id") * 3).alias("ip_from"))
-    width = locate.bucket_bits(4000)
-    assert locate.densest_bucket(starts, width) == 4000
+@pytest.fixture
+def crowded(spark):
+    """4,000 starts in a corner, some alone, and edits of which a third are at one address."""
+    corner = spark.range(4000).select((F.lit(167772160) + F.col("id") * 3).alias("ip_from"))
+    alone = spark.range(50).select((F.col("id") * 77_777_777).alias("ip_from"))
     hot = F.when(F.col("id") % 3 == 0, 167772167).otherwise(F.lit(167772100) + F.col("id"))
     edits = spark.range(15000).select(hot.alias("long_ip"), "id")
-    found = locate.resolve_locations(edits, starts)
-    assert as_tuples(found, "id", "class_ip") == as_tuples(
-        locate.resolve_locations(edits, starts, "bucketed"), "id", "class_ip"
+    return corner.unionByName(alone).withColumn("name", F.concat(F.lit("n"), "ip_from")), edits
+
+
+def test_cells_stay_small_where_ranges_crowd(crowded):
+    starts, edits = crowded
+    index = ranges.index_ranges(starts)
+    sizes = index.cells.groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert index.fullest == sizes <= ranges.STARTS_PER_CELL + 1
+    assert index.n_ranges == 4050 and index.n_pieces == index.cells.count()
+    expected = as_tuples(locate.resolve_locations(edits, starts, "window"), "id", "class_ip")
+    for form in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "rows_per_task": 100}):
+        found = locate.resolve_locations(edits, index, attach=["name"], **form)
+        assert as_tuples(found, "id", "class_ip") == expected
+        assert found.filter("name != concat('n', class_ip)").count() == 0
+
+
+def test_every_address_lies_in_one_cell_of_the_index(spark, crowded):
+    starts, _ = crowded
+    index = ranges.index_ranges(starts)
+    asked = spark.range(2000).select((F.lit(167772160) + F.col("id") * 7).alias("ip")).union(
+        spark.range(500).select(F.pmod(F.col("id") * 2654435761, F.lit(1 << 32)).alias("ip"))
     )
+    located = ranges.with_cell(asked, "ip", index.directory)
+    covering = located.join(index.cells, "cell").filter("ip BETWEEN class_ip AND range_end")
+    assert covering.groupBy("ip").count().filter("count != 1").count() == 0
+    assert covering.select("ip").distinct().count() == asked.distinct().count()
+
+
+def test_a_stored_index_is_read_with_its_statistics(spark, crowded, tmp_path):
+    starts, edits = crowded
+    index = ranges.index_ranges(starts)
+    ranges.write_range_index(index, str(tmp_path / "index"))
+    stored = ranges.read_range_index(spark, str(tmp_path / "index"))
+    for name in ("n_ranges", "n_pieces", "fullest", "text_bytes"):
+        assert getattr(stored, name) == getattr(index, name)
+    assert as_tuples(stored.ranges) == as_tuples(locate.prepare_ranges(starts).select(stored.ranges.columns))
+    text = index.cells.agg(F.sum(F.octet_length("name"))).first()[0]
+    assert stored.piece_bytes(["class_ip", "name"]) == index.n_pieces * (32 + 16) + text
+
+
+def test_a_lookup_is_planned_without_a_job(spark, crowded, rows):
+    starts, edits = crowded
+    index = ranges.index_ranges(starts.withColumns({"lon_udeg": F.lit(1), "lat_udeg": F.lit(2)}))
+    counts = rows("category string, class_ip long, n long", ("x", 0, 1), ("y", 1, 1))
+    context = spark.sparkContext
+    context.setJobGroup("planning", "planning")
+    try:
+        found = locate.resolve_locations(edits, index, attach=["name"])
+        placed = locate.attach_location(counts, index)
+        left = locate.unmatched_classes(counts, index)
+        assert list(context.statusTracker().getJobIdsForGroup("planning")) == []
+        assert found.count() == 15000 and as_tuples(placed) == [("x", 0, 1, 1, 2)]
+        assert as_tuples(left) == [("y", 1, 1)]
+        assert list(context.statusTracker().getJobIdsForGroup("planning"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_numbers_above_the_last_address_share_a_row(spark):

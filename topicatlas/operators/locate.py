@@ -7,79 +7,35 @@ belong to the range before the gap.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicatlas.functions.ip import IPV4_MAX
 from topicatlas.operators.lineage import cut_lineage
+from topicatlas.operators.ranges import (
+    BLOCK_BITS,
+    BLOCKS,
+    RangeIndex,
+    _block,
+    _ipv4,
+    _within_ipv4,
+    dedup_locations,
+    index_ranges,
+    is_prepared,
+    prepare_ranges,
+    with_cell,
+    with_range_end,
+)
 from topicatlas.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, balanced_join
 
-# IPv4 has 65,536 blocks of 65,536 addresses: tables of one row per block are
-# bounded whatever the data, and so are the distinct addresses of a block.
-BLOCK_BITS = 16
-BLOCKS = 1 << (32 - BLOCK_BITS)
-
-# Where a bucket holds more ranges than this, comparing an edit with all of them
-# costs more than the window form, which sorts distinct addresses instead.
-RANGES_PER_BUCKET = 1024
-
-
-def dedup_locations(locations: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``ip_from``: the one greatest in ``order`` (by default all columns)."""
-    others = [name for name in locations.columns if name != "ip_from"]
-    ranking = F.struct(*(order or others), *others)
-    best = locations.groupBy("ip_from").agg(F.max_by(F.struct(*others), ranking).alias("_row"))
-    return best.select("ip_from", *[F.col("_row")[name].alias(name) for name in others])
-
-
-def _ipv4(locations: DataFrame) -> DataFrame:
-    return locations.filter(F.col("ip_from").between(0, IPV4_MAX))
-
-
-def _within_ipv4(address: Column) -> Column:
-    # Larger numbers belong to the last range; least() would also turn null into the end.
-    return F.when(address > IPV4_MAX, F.lit(IPV4_MAX)).otherwise(address)
-
-
-def _block(column: str) -> Column:
-    return F.shiftright(column, BLOCK_BITS).cast("int")
-
-
-def with_range_end(locations: DataFrame) -> DataFrame:
-    """Adds ``range_end``, the address before the next start, without a global sort.
-
-    Starts are ordered inside their block only; the next start of a block's last
-    range is the first start of the next block in use, from a table of at most
-    65,536 rows.
-    """
-    blocks = _ipv4(locations).withColumn("_block", _block("ip_from"))
-    heads = blocks.groupBy("_block").agg(F.min("ip_from").alias("_head"))
-    following = heads.select(
-        F.col("_block"), F.lead("_head").over(W.orderBy("_block")).alias("_next_head")
-    )
-    inside = F.lead("ip_from").over(W.partitionBy("_block").orderBy("ip_from"))
-    ended = blocks.withColumn("_next", inside).join(F.broadcast(following), "_block")
-    end = F.coalesce("_next", "_next_head", F.lit(IPV4_MAX + 1)) - 1
-    return ended.withColumn("range_end", end).drop("_block", "_next", "_next_head")
-
-
-def prepare_ranges(locations: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """Unique ranges with their ``range_end``.
-
-    Worth storing: the operators below take any location table, but a prepared
-    one saves them this work.
-    """
-    return with_range_end(dedup_locations(locations, order))
-
-
-def _is_prepared(locations: DataFrame) -> bool:
-    return "range_end" in locations.columns
-
+__all__ = [
+    "attach_location", "class_of_addresses", "dedup_locations", "index_ranges", "prepare_ranges",
+    "range_pieces", "resolve_locations", "unmatched_classes", "with_range_end",
+]
 
 def _unique(locations: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """``ip_from`` and the wanted columns, one row per ``ip_from``."""
-    if _is_prepared(locations):
+    if is_prepared(locations):
         return locations.select("ip_from", *wanted)
     # Ties between equal starts are decided on all columns, so all must be there
     # when any column of the winner is asked for.
@@ -88,7 +44,7 @@ def _unique(locations: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def _ranges(locations: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    if _is_prepared(locations):
+    if is_prepared(locations):
         return locations.select("ip_from", "range_end", *wanted)
     return with_range_end(_unique(locations, wanted))
 
@@ -102,13 +58,6 @@ def bucket_bits(ranges: int) -> int:
     return min(max(33 - max(ranges, 1).bit_length(), 8), 24)
 
 
-def densest_bucket(locations: DataFrame, bits: int) -> int:
-    """The most starts in a bucket: what an edit there is compared with."""
-    starts = _ipv4(locations).select("ip_from").distinct()
-    counts = starts.groupBy(F.shiftright("ip_from", bits).alias("bucket")).count()
-    return counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-
 def range_pieces(locations: DataFrame, bits: int, attach: Sequence[str] = ()) -> DataFrame:
     """``bucket, class_ip, range_end`` and the attached columns, one row per bucket touched."""
     return _ranges(locations, attach).select(
@@ -142,6 +91,22 @@ def _bucketed(edits, locations, bits, attach, broadcast_bytes, rows_per_task):
     return located.drop("bucket", "_probe", "range_end")
 
 
+def _by_cell(edits, index, attach, broadcast_bytes, rows_per_task):
+    probed = with_cell(edits.withColumn("_probe", _within_ipv4(F.col("long_ip"))), "_probe", index.directory)
+    pieces = index.cells.select("cell", "class_ip", "range_end", *attach)
+    located = balanced_join(
+        probed,
+        pieces,
+        ["cell"],
+        how="left",
+        within=F.col("_probe").between(F.col("class_ip"), F.col("range_end")),
+        lookup_bytes=index.piece_bytes(pieces.columns),
+        broadcast_bytes=broadcast_bytes,
+        rows_per_task=rows_per_task,
+    )
+    return located.drop("cell", "_probe", "range_end")
+
+
 def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
     """``long_ip, class_ip`` for distinct addresses, by a window over each block.
 
@@ -190,8 +155,8 @@ def class_of_addresses(addresses: DataFrame, locations: DataFrame) -> DataFrame:
 
 def resolve_locations(
     edits: DataFrame,
-    locations: DataFrame,
-    method: str = "auto",
+    locations: DataFrame | RangeIndex,
+    method: str = "cells",
     bits: int | None = None,
     check_upper: bool = False,
     attach: Sequence[str] = (),
@@ -200,17 +165,20 @@ def resolve_locations(
 ) -> DataFrame:
     """Edits with the ``class_ip`` of their ``long_ip`` and the ``attach`` columns.
 
-    ``class_ip`` is null below the first range.  ``bucketed`` cuts the ranges at
-    bucket borders and joins on the bucket; ``window`` resolves the distinct
-    addresses and joins them back.  ``auto`` takes the first unless ranges crowd in a
-    bucket; the results are the same.  ``check_upper`` also empties it above the
-    ``ip_to`` of its range.
+    ``class_ip`` is null below the first range.  ``cells`` joins on cells of at most 17
+    ranges, however these crowd; with a :class:`RangeIndex` whose pieces can be broadcast
+    it runs no job of its own, and a plain table is indexed first.  ``bucketed`` cuts the
+    ranges at borders of equal buckets and joins on the bucket; ``window`` resolves the
+    distinct addresses and joins them back.  The results are the same.  ``check_upper``
+    also empties it above the ``ip_to`` of its range.
     """
     wanted = list(attach) + (["ip_to"] if check_upper and "ip_to" not in attach else [])
-    if method == "auto":
-        width = bucket_bits(locations.count()) if bits is None else bits
-        method = "window" if densest_bucket(locations, width) > RANGES_PER_BUCKET else "bucketed"
-    if method == "bucketed":
+    if method != "cells" and isinstance(locations, RangeIndex):
+        locations = locations.ranges
+    if method == "cells":
+        index = locations if isinstance(locations, RangeIndex) else index_ranges(locations)
+        located = _by_cell(edits, index, wanted, broadcast_bytes, rows_per_task)
+    elif method == "bucketed":
         located = _bucketed(edits, locations, bits, wanted, broadcast_bytes, rows_per_task)
     elif method == "window":
         # At most one row per IPv4 address; counted and joined from a written table.
@@ -243,9 +211,18 @@ def _placed(locations: DataFrame) -> DataFrame:
     return locations.dropna(subset=named) if named else locations
 
 
+def _classes(locations: DataFrame | RangeIndex, columns: Sequence[str]) -> tuple[DataFrame, dict]:
+    """``class_ip`` and columns, a row per class with a place, and what is known of the size."""
+    if isinstance(locations, RangeIndex):
+        lookup = _placed(locations.ranges).select(F.col("ip_from").alias("class_ip"), *columns)
+        return lookup, {"lookup_bytes": locations.range_bytes(lookup.columns)}
+    placed = _placed(_unique(locations, [c for c in locations.columns if c != "ip_from"]))
+    return placed.select(F.col("ip_from").alias("class_ip"), *columns), {"lookup_rows": locations.count()}
+
+
 def attach_location(
     df: DataFrame,
-    locations: DataFrame,
+    locations: DataFrame | RangeIndex,
     columns: Sequence[str] = ("lon_udeg", "lat_udeg"),
     broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
@@ -254,14 +231,13 @@ def attach_location(
 
     A class whose coordinates are null is without one.
     """
-    lookup = _placed(_unique(locations, columns)).withColumnRenamed("ip_from", "class_ip")
+    lookup, known = _classes(locations, columns)
     return balanced_join(
-        df, lookup, ["class_ip"], lookup_rows=locations.count(),
-        broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task,
+        df, lookup, ["class_ip"], broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task, **known
     )
 
 
-def unmatched_classes(df: DataFrame, locations: DataFrame) -> DataFrame:
+def unmatched_classes(df: DataFrame, locations: DataFrame | RangeIndex) -> DataFrame:
     """The rows :func:`attach_location` leaves out, for auditing."""
-    starts = _placed(locations).select(F.col("ip_from").alias("class_ip")).distinct()
-    return balanced_join(df, starts, ["class_ip"], "left_anti", lookup_rows=locations.count())
+    lookup, known = _classes(locations, [])
+    return balanced_join(df, lookup, ["class_ip"], "left_anti", **known)

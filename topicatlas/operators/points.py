@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.operators.locate import attach_location
+from topicatlas.operators.ranges import RangeIndex
 from topicatlas.operators.skew import LIST_LENGTH, content_border_of_text, parted_lists
 
 
@@ -16,7 +17,7 @@ def count_points(located: DataFrame) -> DataFrame:
     return located.groupBy("category", "lon_udeg", "lat_udeg").agg(counted.alias("n"))
 
 
-def category_points(category_ips: DataFrame, locations: DataFrame) -> DataFrame:
+def category_points(category_ips: DataFrame, locations: DataFrame | RangeIndex) -> DataFrame:
     """The same from the category index and the location table."""
     return count_points(attach_location(category_ips, locations))
 

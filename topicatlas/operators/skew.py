@@ -25,6 +25,11 @@ LIST_LENGTH = 100_000
 SPREAD, SPREAD_PIECE = 1_640_531_527, 1_013_904_223
 
 
+def row_bytes(rows: int, columns: int) -> int:
+    """Memory of rows of numbers as a broadcast."""
+    return rows * (ROW_OVERHEAD + 8 * columns)
+
+
 def table_bytes(df: DataFrame, rows: int | None = None) -> int:
     """Memory a table takes as a broadcast: measured, or from a known bound on its rows.
 
@@ -36,7 +41,7 @@ def table_bytes(df: DataFrame, rows: int | None = None) -> int:
         rows, *text_bytes = df.agg(F.count("*"), *lengths).first()
     else:
         text_bytes = []
-    return rows * (ROW_OVERHEAD + 8 * len(df.columns)) + sum(text_bytes)
+    return row_bytes(rows, len(df.columns)) + sum(text_bytes)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
@@ -92,11 +97,13 @@ def balanced_join(
     lookup_rows: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    lookup_bytes: int | None = None,
 ) -> DataFrame:
     """Join on ``keys`` (and the condition ``within``) against a lookup table.
 
     A lookup of at most ``broadcast_bytes`` is broadcast; it is measured unless the
-    caller knows a bound on its rows, ``lookup_rows``, and it holds no text.  A
+    caller knows its ``lookup_bytes``, or a bound on its rows, ``lookup_rows``, and it
+    holds no text.  A
     larger one is shuffled; rows of hot keys are then spread over several tasks
     and their lookup rows repeated once for each.  Key columns of the lookup are
     dropped from the result.
@@ -108,7 +115,7 @@ def balanced_join(
         condition = condition & (F.col(key) == F.col(f"_key_{key}"))
     dropped = [f"_key_{key}" for key in keys]
 
-    if table_bytes(slim, lookup_rows) <= broadcast_bytes:
+    if (table_bytes(slim, lookup_rows) if lookup_bytes is None else lookup_bytes) <= broadcast_bytes:
         return facts.join(F.broadcast(slim), condition, how).drop(*dropped)
 
     hot = hot_keys(facts, keys, rows_per_task)

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from topicatlas.operators.categories import category_ips, explode_categories
 from topicatlas.operators.clean import clean_revisions, with_long_ip
-from topicatlas.operators.lineage import cut_lineage
-from topicatlas.operators.locate import prepare_ranges, resolve_locations
+from topicatlas.operators.locate import resolve_locations
 from topicatlas.operators.points import count_points
+from topicatlas.operators.ranges import RangeIndex, index_ranges
 from topicatlas.sources.locations import read_locations
 from topicatlas.sources.revisions import read_revisions
 
@@ -17,15 +17,15 @@ def prepare_edits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return with_long_ip(clean_revisions(read_revisions(spark, path)))
 
 
-def prepare_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Unique ranges with their ends, written once: the lookups read them several times."""
-    return cut_lineage(prepare_ranges(read_locations(spark, path)), "locations")
+def prepare_locations(spark: SparkSession, path: str | list[str]) -> RangeIndex:
+    """The index of unique ranges, written once: the lookups read it several times."""
+    return index_ranges(read_locations(spark, path))
 
 
 def build_index(
     edits: DataFrame,
-    locations: DataFrame,
-    method: str = "auto",
+    locations: DataFrame | RangeIndex,
+    method: str = "cells",
     check_upper: bool = False,
     literal: bool = False,
 ) -> DataFrame:
@@ -40,7 +40,10 @@ def build_index(
 
 
 def locate_categories(
-    edits: DataFrame, locations: DataFrame, check_upper: bool = False, literal: bool = False
+    edits: DataFrame,
+    locations: DataFrame | RangeIndex,
+    check_upper: bool = False,
+    literal: bool = False,
 ) -> DataFrame:
     """``category, lon_udeg, lat_udeg, n`` in one pass, without the index in between.
 
