@@ -437,6 +437,20 @@ def kmeans_n3(spark, sf):
     return km.kmeans(weighted(spark, sf), K, iterations=3).centroid_table()
 
 
+@query
+def kmeans_pruned(spark, sf):
+    """The same by cells of a grid, most of which are assigned whole."""
+    return km.kmeans(weighted(spark, sf), K, iterations=3, method="pruned").centroid_table()
+
+
+@query
+def kmeans_resumed(spark, sf):
+    """The same by a run that goes on from the first update of another."""
+    points, folder = weighted(spark, sf), scratch(spark, "run")
+    km.kmeans(points, K, iterations=1, folder=folder)
+    return km.kmeans(points, K, iterations=3, folder=folder).centroid_table()
+
+
 EPSILON = 1.0
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicatlas.functions.points import MICRO, degrees, random_points
-from topicatlas.operators.lineage import cut_lineage
-from topicatlas.schemas import CENTROID, ITERATION_LOG
+from topicatlas.operators.lineage import cut_lineage, exists
+from topicatlas.operators.pruning import mean_of_parts, point_grid, pruned_means, weighted_parts
+from topicatlas.schemas import CENTROID, ITERATION_LOG, RUN
 
 Centroid = tuple[float, float]
 
@@ -30,9 +31,6 @@ EXPRESSION_CENTROIDS = 32
 # Work of one task in an update; a table of few, full files has too few tasks.
 DISTANCES_PER_TASK = 2_000_000
 
-# Low bits of a product that are summed apart.
-PART_BITS = 20
-
 
 def seed_centroids(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct points in the order of a seeded hash, as ``cluster, lon_udeg, lat_udeg``."""
@@ -166,31 +164,13 @@ def cluster_means(points: DataFrame, centroids: Sequence[Centroid], method: str
     product of coordinate and weight is summed in two parts, its low bits and the
     rest, and the parts meet as decimals on the k rows.
     """
-    low_n = F.col("n").bitwiseAND((1 << PART_BITS) - 1)
-    high_n = F.shiftright("n", PART_BITS)
-
-    def parts(column: str) -> list[Column]:
-        value = F.col(column).cast("bigint")
-        high = value * high_n + F.shiftright(value * low_n, PART_BITS)
-        low = (value * low_n).bitwiseAND((1 << PART_BITS) - 1)
-        return [F.sum(high).alias(f"_high_{column}"), F.sum(low).alias(f"_low_{column}")]
-
-    def total(column: str) -> Column:
-        high = F.col(f"_high_{column}").cast("decimal(19,0)") * F.lit(1 << PART_BITS).cast("decimal(8,0)")
-        return (high + F.col(f"_low_{column}").cast("decimal(19,0)")).cast("double")
-
     grouped = (
         nearest(points.withColumn("n", F.col("n").cast("bigint")), centroids, method)
         .groupBy("cluster")
-        .agg(*parts("lon_udeg"), *parts("lat_udeg"), F.sum("n").alias("n"))
+        .agg(*weighted_parts("lon_udeg"), *weighted_parts("lat_udeg"), F.sum("n").alias("n"))
     )
-    sums = grouped.select("cluster", total("lon_udeg").alias("lon"), total("lat_udeg").alias("lat"), "n")
-    weight = F.col("n").cast("double")
-    return sums.select(
-        "cluster",
-        (F.col("lon") / weight / F.lit(float(MICRO))).alias("lon"),
-        (F.col("lat") / weight / F.lit(float(MICRO))).alias("lat"),
-        "n",
+    return grouped.select(
+        "cluster", mean_of_parts("lon_udeg").alias("lon"), mean_of_parts("lat_udeg").alias("lat"), "n"
     )
 
 
@@ -217,6 +197,8 @@ class Clustering:
     centroids: list[Centroid]
     log: list[tuple[int, int, float, float, float]]
     converged: bool
+    #: Distances that pruned updates took, of points and of the boxes of cells.
+    distances: int = 0
 
     def centroid_table(self) -> DataFrame:
         return centroid_table(self.spark, self.centroids)
@@ -239,6 +221,29 @@ def _spread(points: DataFrame, k: int) -> DataFrame:
     return points.repartition(wanted) if points.rdd.getNumPartitions() < wanted else points
 
 
+def _run_of(spark, folder, k, seed, init, given) -> tuple[list[Centroid] | None, list]:
+    """The first centroids and the log of the updates a stopped run has written."""
+    if folder is None or not exists(spark, f"{folder}/start/_SUCCESS"):
+        return None, []
+    start = spark.read.schema(RUN).parquet(f"{folder}/start").orderBy("cluster").collect()
+    known = (start[0]["k"], start[0]["seed"], start[0]["init"])
+    if known != (k, seed, init):
+        raise ValueError(f"{folder} holds a run with k, seed, init = {known}")
+    first = [(row["lon"], row["lat"]) for row in start]
+    if given is not None and first != [(float(lon), float(lat)) for lon, lat in given]:
+        raise ValueError(f"{folder} holds a run from other centroids")
+    log = []
+    while exists(spark, f"{folder}/update-{len(log) // k}/_SUCCESS"):
+        rows = spark.read.schema(ITERATION_LOG).parquet(f"{folder}/update-{len(log) // k}")
+        log += sorted(map(tuple, rows.collect()))
+    return first, log
+
+
+def _keep(spark, rows, schema, path: str) -> None:
+    # What a lost driver left half written has no mark of success and is written anew.
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def kmeans(
     points: DataFrame,
     k: int,
@@ -250,6 +255,7 @@ def kmeans(
     init: str = "distinct",
     method: str = "auto",
     stored: bool = False,
+    folder: str | None = None,
 ) -> Clustering:
     """Clusters ``lon_udeg, lat_udeg, n`` rows.
 
@@ -260,6 +266,12 @@ def kmeans(
 
     The points are written to a table first, unless they are ``stored`` in one:
     an iteration that loses an executor re-reads them and recomputes nothing else.
+    With a ``folder`` each update is written there, a table of k rows, and a run that
+    lost its driver goes on behind the last one when it is called again.
+
+    ``method`` is ``expression`` or ``arrow``, which compare all points with all
+    centroids, or ``pruned``, which mostly compares cells of a grid; the results are
+    equal to the bit.  ``auto`` takes the first up to 32 centroids and the last beyond.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -269,28 +281,43 @@ def kmeans(
     stable = points.select("lon_udeg", "lat_udeg", "n")
     if not stored:
         stable = cut_lineage(stable, "points")
-    stable = _spread(stable, k).persist(StorageLevel.MEMORY_AND_DISK)
+    if method == "auto":
+        method = "expression" if k <= EXPRESSION_CENTROIDS else "pruned"
+    grid = point_grid(stable) if method == "pruned" else None
+    stable = (grid.points if grid else _spread(stable, k)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centroids = initial_centroids(stable, k, seed, init, given)
-        log: list[tuple[int, int, float, float, float]] = []
-        converged = False
+        first, log = _run_of(spark, folder, k, seed, init, given)
+        if first is None:
+            first = initial_centroids(stable, k, seed, init, given)
+            if folder is not None:
+                _keep(spark, [(c, lon, lat, k, seed, init) for c, (lon, lat) in enumerate(first)], RUN, f"{folder}/start")
+        done = len(log) // k
+        centroids = [(lon, lat) for _, _, lon, lat, _ in log[-k:]] if done else first
+        converged = bool(done) and max(step for *_, step in log[-k:]) <= epsilon
         most = iterations or max_iter
-        for iteration in range(most) if most else itertools.count():
-            rows = cluster_means(stable, centroids, method).collect()
+        distances = 0
+        for iteration in itertools.count(done):
+            if (most and iteration >= most) or (iteration and converged and not iterations):
+                break
+            means = pruned_means(grid, centroids) if grid else cluster_means(stable, centroids, method)
+            rows = means.collect()
+            if grid:
+                distances += grid.n_cells * k + sum(row["looked_at"] for row in rows)
             means = {row["cluster"]: (row["lon"], row["lat"]) for row in rows}
             moved = moved_centroids(centroids, means)
             steps = [_moved_by(old, new) for old, new in zip(centroids, moved)]
-            log += [
+            update = [
                 (iteration, cluster, lon, lat, step)
                 for cluster, ((lon, lat), step) in enumerate(zip(moved, steps))
             ]
+            if folder is not None:
+                _keep(spark, update, ITERATION_LOG, f"{folder}/update-{iteration}")
+            log += update
             centroids = moved
             converged = max(steps) <= epsilon
-            if converged and not iterations:
-                break
     finally:
         stable.unpersist()
-    return Clustering(spark, centroids, log, converged)
+    return Clustering(spark, centroids, log, converged, distances)
 
 
 def assign(points: DataFrame, centroids: Sequence[Centroid], method: str = "auto") -> DataFrame:

@@ -43,6 +43,13 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file, in whatever store the path names."""
+    context = spark.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(context._jsc.hadoopConfiguration()).exists(file)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for table in tables:

@@ -77,6 +77,16 @@ CENTROID = StructType(
     ]
 )
 
+# What a run of updates starts from; k, seed and init are the same in all its rows.
+RUN = StructType(
+    [
+        *CENTROID.fields,
+        StructField("k", IntegerType(), False),
+        StructField("seed", IntegerType(), False),
+        StructField("init", StringType(), False),
+    ]
+)
+
 ITERATION_LOG = StructType(
     [
         StructField("iteration", IntegerType(), False),
