@@ -15,6 +15,7 @@ from topicatlas.operators.lineage import shared_folder
 from topicatlas.operators.ranges import index_ranges, read_range_index, write_range_index
 from topicatlas.plans import (
     Regions,
+    build_coded_index,
     build_index,
     find_regions,
     locate_categories,
@@ -274,8 +275,21 @@ def category_frequency(spark, sf):
     return cat.category_frequency(cat.explode_categories(routable(spark, sf).select("categories")))
 
 
+def coded(spark, sf):
+    """The category index by number, and its dictionary."""
+    return build_coded_index(routable(spark, sf), fx.locations(spark, sf))
+
+
 def _filtered(spark, sf, **words):
-    return cat.filter_categories(category_frequency(spark, sf), **words)
+    """Words are looked for in the dictionary; the counts of the rest never get a name."""
+    counts, dictionary = coded(spark, sf)
+    return dictionary.name(dictionary.filter(cat.category_frequency(counts), **words))
+
+
+@query
+def filter_by_name(spark, sf):
+    """The same on rows that carry their names."""
+    return cat.filter_categories(category_frequency(spark, sf), include=["red", "parts"], exclude=["bolt", "brand2"])
 
 
 @query
@@ -328,6 +342,14 @@ def category_points(spark, sf):
     return cp.category_points(index(spark, sf), fx.locations(spark, sf))
 
 
+@query
+def category_points_by_number(spark, sf):
+    """The same with numbers in the place of names up to the end."""
+    counts, dictionary = coded(spark, sf)
+    points = cp.category_points(counts, fx.locations(spark, sf))
+    return dictionary.name(points).select("category", "lon_udeg", "lat_udeg", "n")
+
+
 @query
 def located_categories(spark, sf):
     """The same without the index in between."""

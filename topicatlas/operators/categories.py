@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.functions.text import category_tokens
@@ -23,19 +23,26 @@ def explode_categories(edits: DataFrame, literal: bool = False, lower: bool = Tr
     return rows if literal else rows.filter(F.col("category") != "")
 
 
+def category_column(df: DataFrame) -> str:
+    return "category_id" if "category_id" in df.columns else "category"
+
+
 def _occurrences(df: DataFrame):
     return F.sum("n") if "n" in df.columns else F.count("*")
 
 
 def category_ips(exploded: DataFrame) -> DataFrame:
-    """``category, class_ip, n``: how often each class address edits a category."""
-    return exploded.groupBy("category", "class_ip").agg(_occurrences(exploded).alias("n"))
+    """``category, class_ip, n``: how often each class address edits a category.
+
+    Categories may be numbered: ``category_id`` then takes the place of ``category``.
+    """
+    return exploded.groupBy(category_column(exploded), "class_ip").agg(_occurrences(exploded).alias("n"))
 
 
 def category_frequency(exploded: DataFrame) -> DataFrame:
     """``category, n``, rarest first."""
-    counted = exploded.groupBy("category").agg(_occurrences(exploded).alias("n"))
-    return counted.orderBy("n", "category")
+    key = category_column(exploded)
+    return exploded.groupBy(key).agg(_occurrences(exploded).alias("n")).orderBy("n", key)
 
 
 def category_lists(counts: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
@@ -79,17 +86,19 @@ def filter_categories(
     exclude: Sequence[str] = (),
     match: str = "any",
     literal: bool = False,
+    tokens: Column | None = None,
 ) -> DataFrame:
     """Rows whose ``category`` has the wanted words and none of the unwanted.
 
     Words are compared with whole category words.  ``match`` asks for any or all
     of ``include``.  ``literal`` keeps a row if *some* excluded word is missing
     (so an empty list drops every row), ignores ``exclude`` when there is no
-    ``include``, and does not lower-case the words.
+    ``include``, and does not lower-case the words.  ``tokens`` are the words of the category
+    where these are at hand.
     """
     if match not in ("any", "all"):
         raise ValueError(f"match must be 'any' or 'all', not {match!r}")
-    tokens = category_tokens(F.col("category"))
+    tokens = category_tokens(F.col("category")) if tokens is None else tokens
     if literal:
         if not include:
             return df

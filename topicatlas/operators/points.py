@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicatlas.operators.categories import category_column
 from topicatlas.operators.locate import attach_location
 from topicatlas.operators.ranges import RangeIndex
 from topicatlas.operators.skew import LIST_LENGTH, content_border_of_text, parted_lists
@@ -11,10 +12,10 @@ from topicatlas.operators.skew import LIST_LENGTH, content_border_of_text, parte
 def count_points(located: DataFrame) -> DataFrame:
     """``category, lon_udeg, lat_udeg, n``: occurrences of a point within a category.
 
-    Ranges with equal coordinates are one point.
+    Ranges with equal coordinates are one point.  Categories may be numbered.
     """
     counted = F.sum("n") if "n" in located.columns else F.count("*")
-    return located.groupBy("category", "lon_udeg", "lat_udeg").agg(counted.alias("n"))
+    return located.groupBy(category_column(located), "lon_udeg", "lat_udeg").agg(counted.alias("n"))
 
 
 def category_points(category_ips: DataFrame, locations: DataFrame | RangeIndex) -> DataFrame:

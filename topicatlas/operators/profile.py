@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicatlas.operators.categories import category_column
 from topicatlas.operators.kmeans import Centroid, assign, centroid_table
 from topicatlas.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, balanced_join
 
@@ -46,7 +47,7 @@ def cluster_categories(
 
 
 def count_categories(clustered: DataFrame) -> DataFrame:
-    return clustered.groupBy("cluster", "category").agg(F.sum("n").alias("n"))
+    return clustered.groupBy("cluster", category_column(clustered)).agg(F.sum("n").alias("n"))
 
 
 def main_category(cluster_categories: DataFrame) -> DataFrame:

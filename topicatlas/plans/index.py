@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from topicatlas.operators.categories import category_ips, explode_categories
 from topicatlas.operators.clean import clean_revisions, with_long_ip
+from topicatlas.operators.dictionary import CategoryDictionary, category_dictionary
 from topicatlas.operators.locate import resolve_locations
 from topicatlas.operators.points import count_points
 from topicatlas.operators.ranges import RangeIndex, index_ranges
@@ -39,6 +40,22 @@ def build_index(
     return category_ips(explode_categories(resolved, literal=literal))
 
 
+def build_coded_index(
+    edits: DataFrame,
+    locations: DataFrame | RangeIndex,
+    check_upper: bool = False,
+    literal: bool = False,
+) -> tuple[DataFrame, CategoryDictionary]:
+    """The category index by number, ``category_id, class_ip, n``, and its dictionary.
+
+    The names are gathered from the edits by themselves; the counts shuffle numbers.
+    """
+    exploded = explode_categories(edits.select("categories"), literal=literal)
+    dictionary = category_dictionary(exploded)
+    resolved = resolve_locations(edits.select("categories", "long_ip"), locations, check_upper=check_upper)
+    return category_ips(dictionary.code(explode_categories(resolved, literal=literal))), dictionary
+
+
 def locate_categories(
     edits: DataFrame,
     locations: DataFrame | RangeIndex,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from topicatlas.functions import text
 from topicatlas.operators import profile, raster
 from topicatlas.operators.categories import filter_categories
+from topicatlas.operators.dictionary import CategoryDictionary
 from topicatlas.operators.kmeans import Centroid, Clustering, assign, kmeans
 from topicatlas.operators.lineage import cut_lineage
 from topicatlas.operators.points import point_total, weighted_points
@@ -27,6 +28,8 @@ class Regions:
     category_points: DataFrame
     points: DataFrame
     clustering: Clustering
+    #: Names of the categories where the points have numbers.
+    dictionary: CategoryDictionary | None = None
 
     @property
     def centroids(self) -> list[Centroid]:
@@ -44,6 +47,8 @@ class Regions:
     def categories(self) -> DataFrame:
         """Written once: every table below reads it."""
         counts = profile.cluster_categories(self.category_points, self.centroids)
+        if self.dictionary:
+            counts = self.dictionary.name(counts).select("cluster", "category", "n")
         return cut_lineage(counts, "cluster-categories")
 
     @cached_property
@@ -118,14 +123,17 @@ def find_regions(
     exclude: Sequence[str] = (),
     literal: bool = False,
     match: str = "any",
+    dictionary: CategoryDictionary | None = None,
     **clustering,
 ) -> Regions:
     """Clusters the points of the wanted categories.
 
-    Further arguments go to :func:`topicatlas.operators.kmeans.kmeans`.  The
+    With a ``dictionary`` the points carry ``category_id``: words are looked for in the
+    dictionary, and names come back on the totals of the clusters.  Further arguments go to :func:`topicatlas.operators.kmeans.kmeans`.  The
     filtered counts are written once: the clustering and every table read them.
     """
-    wanted = filter_categories(category_points, include, exclude, match=match, literal=literal)
+    words = {"include": include, "exclude": exclude, "match": match, "literal": literal}
+    wanted = dictionary.filter(category_points, **words) if dictionary else filter_categories(category_points, **words)
     wanted = cut_lineage(wanted, "category-points")
     points = cut_lineage(weighted_points(wanted), "weighted-points")
-    return Regions(wanted, points, kmeans(points, k, stored=True, **clustering))
+    return Regions(wanted, points, kmeans(points, k, stored=True, **clustering), dictionary)
