@@ -122,7 +122,7 @@ def test_index_and_direct_counts_agree(spark, inputs):
 
     edits, locations = prepare_edits(spark, inputs[0]), read_locations(spark, inputs[1])
     direct = as_tuples(locate_categories(edits, locations))
-    for method in ("bucketed", "window"):
+    for method in ("cells", "bucketed", "window"):
         assert as_tuples(category_points(build_index(edits, locations, method), locations)) == direct
     assert ("art", 153028090, -27467940, 2) in direct and len(direct) == 6
 
@@ -172,3 +172,44 @@ def test_command_line_from_the_log(spark, inputs, tmp_path):
     assert read("legend").first()["label"] == "(0) modern art 1"
     assert read("legend-grouped").first()["label"] == "modern art"
     assert read("markers-grouped").first()["category"] == "modern_art"
+
+
+def test_what_is_left_out_is_counted_by_the_jobs_that_leave_it_out(spark, inputs, tmp_path, monkeypatch):
+    from pyspark.sql import Observation
+
+    from topicatlas.operators import locate
+    from topicatlas.operators.points import category_points
+    from topicatlas.plans import prepare_locations
+    from topicatlas.sources import malformed_locations, read_locations
+
+    bad = '"77","90","X","X","X","X","north","1","0"\n"nowhere","90","X","X","X","X","1","1","0"\n'
+    path = tmp_path / "ranges.csv"
+    path.write_text(bad + open(inputs[1]).read())
+    audit = Observation()
+    index = prepare_locations(spark, str(path), audit)
+    assert audit.get == {"unusable_range": malformed_locations(spark, str(path)).count()} == {"unusable_range": 2}
+    counts = spark.createDataFrame(
+        [("a", 77, 3), ("a", 16777216, 2), ("b", 12345, 4), ("b", None, 1)], "category string, class_ip long, n long"
+    )
+    for places in (index, read_locations(spark, str(path))):
+        for form in ({}, {"broadcast_bytes": 0}):
+            audit = Observation()
+            found = locate.attach_location(counts, places, audit=audit, **form)
+            assert as_tuples(found) == as_tuples(locate.attach_location(counts, places))
+            left = locate.unmatched_classes(counts, places).agg(F.sum("n")).first()[0]
+            assert audit.get == {"without_place": left} and left >= 8
+    audit = Observation()
+    assert category_points(counts, index, audit).count() == 1 and audit.get["without_place"] == 8
+
+
+def test_a_run_is_resumed_from_the_command_line(spark, inputs, tmp_path):
+    from topicatlas.sinks import write_edits
+
+    write_edits(prepare_edits(spark, inputs[0]), str(tmp_path / "edits"))
+    common = ["--locations", inputs[1], "--index", str(tmp_path / "index"), "-k", "2", "--resume", str(tmp_path / "run")]
+    main(["-a", "--edits", str(tmp_path / "edits"), *common, "--output", str(tmp_path / "a"), "-i", "2"])
+    folder = main([*common, "--output", str(tmp_path / "b"), "-i", "3"])
+    log = spark.read.parquet(f"{folder}/iterations")
+    assert log.select("iteration").distinct().count() == 3
+    updates = [p.name for p in (tmp_path / "run").iterdir()]
+    assert sorted(updates) == ["start", "update-0", "update-1", "update-2"]

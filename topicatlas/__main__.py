@@ -1,18 +1,16 @@
 """Command line: ``spark-submit … -m topicatlas`` or ``python -m topicatlas``."""
 
 import argparse
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from topicatlas.operators.clean import clean_revisions, ip_status
 from topicatlas.operators.lineage import cut_lineage
-from topicatlas.operators.locate import unmatched_classes
 from topicatlas.operators.points import category_points
 from topicatlas.plans import build_index, find_regions, prepare_locations
 from topicatlas.sinks import output_name, write_category_index
-from topicatlas.sources import malformed_locations, read_category_ips, read_edits, read_revisions
+from topicatlas.sources import read_category_ips, read_edits, read_revisions
 
 
 def words(text: str) -> list[str]:
@@ -38,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     add("--literal", action="store_true", help="the literal rules for categories and words")
     add("--check-upper", action="store_true", help="no class above the end of a range (with -a)")
     add("--clip", action="store_true", help="points on the far edges stay on the map")
+    add("--resume", help="folder that keeps the updates; a run that was lost goes on from there")
     add("--seed", type=int, default=0, help="seed of the first centroids")
     return options
 
@@ -54,28 +53,24 @@ def edits_and_rejects(spark: SparkSession, options: argparse.Namespace) -> tuple
     return checked.filter("ip_status = 'ok'"), rejects.agg(F.count("*").alias("n"))
 
 
-def _total(rows: DataFrame, reason: str) -> DataFrame:
-    n = F.sum("n") if "n" in rows.columns else F.count("*")
-    return rows.agg(F.coalesce(n, F.lit(0)).alias("n")).select(F.lit(reason).alias("reason"), "n")
-
-
 def main(arguments: list[str] | None = None) -> str:
     options = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("topicatlas").getOrCreate()
-    locations = prepare_locations(spark, options.locations)
-    # What a run leaves out, by reason.
-    audit = [_total(malformed_locations(spark, options.locations), "unusable_range")]
+    # What a run leaves out, by reason, is counted by the jobs that leave it out.
+    audits = {reason: Observation() for reason in ("unusable_range", "without_class", "without_place")}
+    rejects = None
+    locations = prepare_locations(spark, options.locations, audits["unusable_range"])
     if options.associate_location:
         edits, rejects = edits_and_rejects(spark, options)
         index = build_index(edits, locations, check_upper=options.check_upper, literal=options.literal)
-        index = cut_lineage(index, "index")
+        without = F.coalesce(F.sum(F.when(F.col("class_ip").isNull(), F.col("n"))), F.lit(0))
+        index = cut_lineage(index.observe(audits["without_class"], without.alias("without_class")), "index")
         write_category_index(index.filter("class_ip IS NOT NULL"), options.index)
-        audit.append(_total(index.filter("class_ip IS NULL"), "without_class"))
-        audit += [rejects] if rejects else []
+    else:
+        del audits["without_class"]
     counts = read_category_ips(spark, options.index)
-    audit.append(_total(unmatched_classes(counts, locations), "without_place"))
     regions = find_regions(
-        category_points(counts, locations),
+        category_points(counts, locations, audits["without_place"]),
         options.k,
         include=options.words,
         exclude=options.no_words,
@@ -84,7 +79,9 @@ def main(arguments: list[str] | None = None) -> str:
         iterations=options.iterations,
         epsilon=options.epsilon,
         seed=options.seed,
+        folder=options.resume,
     )
+    left_out = spark.createDataFrame([(reason, audits[reason].get[reason]) for reason in audits], "reason string, n long")
     name = output_name(
         options.words, options.no_words, options.k, options.iterations, options.epsilon
     )
@@ -99,7 +96,7 @@ def main(arguments: list[str] | None = None) -> str:
         "legend-grouped": regions.super_legend,
         "captions": regions.captions(options.words, options.iterations, options.epsilon),
         "iterations": regions.clustering.iteration_log(),
-        "audit": reduce(DataFrame.unionByName, audit),
+        "audit": left_out.unionByName(rejects) if rejects else left_out,
     }
     for table, rows in tables.items():
         rows.write.parquet(f"{folder}/{table}")

@@ -7,7 +7,7 @@ belong to the range before the gap.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -226,15 +226,27 @@ def attach_location(
     columns: Sequence[str] = ("lon_udeg", "lat_udeg"),
     broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    audit: Observation | None = None,
 ) -> DataFrame:
     """Adds location columns by ``class_ip``; rows without a location are left out.
 
-    A class whose coordinates are null is without one.
+    A class whose coordinates are null is without one.  ``audit`` is told
+    ``without_place``, what these rows stand for, by the first action on the result.
     """
     lookup, known = _classes(locations, columns)
-    return balanced_join(
-        df, lookup, ["class_ip"], broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task, **known
+    if audit is None:
+        return balanced_join(
+            df, lookup, ["class_ip"], broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task, **known
+        )
+    if "lookup_bytes" in known:
+        known["lookup_bytes"] += locations.n_ranges * 8
+    joined = balanced_join(
+        df, lookup.withColumn("_placed", F.lit(True)), ["class_ip"], "left",
+        broadcast_bytes=broadcast_bytes, rows_per_task=rows_per_task, **known,
     )
+    left_out = F.when(F.col("_placed").isNull(), F.col("n") if "n" in df.columns else F.lit(1))
+    seen = joined.observe(audit, F.coalesce(F.sum(left_out), F.lit(0)).alias("without_place"))
+    return seen.filter("_placed").drop("_placed")
 
 
 def unmatched_classes(df: DataFrame, locations: DataFrame | RangeIndex) -> DataFrame:

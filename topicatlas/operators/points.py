@@ -1,6 +1,6 @@
 """Coordinates with counts: per category, over all categories, and as lists."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from topicatlas.operators.categories import category_column
@@ -18,9 +18,11 @@ def count_points(located: DataFrame) -> DataFrame:
     return located.groupBy(category_column(located), "lon_udeg", "lat_udeg").agg(counted.alias("n"))
 
 
-def category_points(category_ips: DataFrame, locations: DataFrame | RangeIndex) -> DataFrame:
-    """The same from the category index and the location table."""
-    return count_points(attach_location(category_ips, locations))
+def category_points(
+    category_ips: DataFrame, locations: DataFrame | RangeIndex, audit: Observation | None = None
+) -> DataFrame:
+    """The same from the category index and the location table; ``audit`` as there."""
+    return count_points(attach_location(category_ips, locations, audit=audit))
 
 
 def weighted_points(points: DataFrame) -> DataFrame:

@@ -224,7 +224,10 @@ def _statistics(cells: DataFrame) -> DataFrame:
 
 def index_ranges(locations: DataFrame, order: Sequence[str] | None = None) -> RangeIndex:
     """The index of a location table, prepared or not, in the shared folder."""
-    prepared = locations if is_prepared(locations) else prepare_ranges(locations, order)
+    prepared = locations
+    if not is_prepared(locations):
+        # The source is read once, also where it counts what it leaves out.
+        prepared = with_range_end(cut_lineage(dedup_locations(locations, order), "unique-ranges"))
     prepared = cut_lineage(prepared, "ranges")
     directory = cut_lineage(_directory(prepared.select("ip_from")), "directory")
     cells = cut_lineage(cell_pieces(prepared, directory), "cells")

@@ -1,6 +1,6 @@
 """From revisions to counts of categories per address class or coordinate."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from topicatlas.operators.categories import category_ips, explode_categories
@@ -18,9 +18,14 @@ def prepare_edits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return with_long_ip(clean_revisions(read_revisions(spark, path)))
 
 
-def prepare_locations(spark: SparkSession, path: str | list[str]) -> RangeIndex:
-    """The index of unique ranges, written once: the lookups read it several times."""
-    return index_ranges(read_locations(spark, path))
+def prepare_locations(
+    spark: SparkSession, path: str | list[str], audit: Observation | None = None
+) -> RangeIndex:
+    """The index of unique ranges, written once: the lookups read it several times.
+
+    ``audit`` is told what :func:`read_locations` tells it.
+    """
+    return index_ranges(read_locations(spark, path, audit))
 
 
 def build_index(

@@ -1,6 +1,6 @@
 """The quoted CSV of address ranges with their coordinates."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -33,13 +33,20 @@ def _usable():
     return _has_start() & F.col("lat_udeg").isNotNull() & F.col("lon_udeg").isNotNull()
 
 
-def read_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_locations(
+    spark: SparkSession, path: str | list[str], audit: Observation | None = None
+) -> DataFrame:
     """Ranges with a readable IPv4 start.
 
     Unreadable coordinates are null: the range keeps its addresses, which would
-    otherwise fall to the range before, and they are located nowhere.
+    otherwise fall to the range before, and they are located nowhere.  ``audit`` is
+    told ``unusable_range``, the rows of :func:`malformed_locations`, by the first
+    action that reads the ranges.
     """
-    return _typed(spark, path).filter(_has_start())
+    rows = _typed(spark, path)
+    if audit is not None:
+        rows = rows.observe(audit, F.count_if(~_usable()).alias("unusable_range"))
+    return rows.filter(_has_start())
 
 
 def malformed_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
