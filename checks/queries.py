@@ -20,7 +20,14 @@ from topicatlas.plans import (
     find_regions,
     locate_categories,
 )
-from topicatlas.sinks import edit_lines, write_category_index, write_cluster_report, write_edits
+from topicatlas.sinks import (
+    edit_lines,
+    output_name,
+    write_category_index,
+    write_cluster_report,
+    write_edits,
+    write_main_categories,
+)
 from topicatlas.sources import (
     read_category_ips,
     read_class_ips,
@@ -538,6 +545,29 @@ def main_category_report(spark, sf):
     return profile.main_category_report(found.main_categories, found.centroids)
 
 
+@query
+def main_category_file(spark, sf):
+    """The report of main categories, read back from its one file."""
+    found, path = regions(spark, sf), scratch(spark, "main")
+    write_main_categories(found.main_categories, found.centroids, path)
+    read = spark.read.csv(path, schema="cluster int, lat double, lon double, category string, n long")
+    files = len(read.inputFiles())
+    return read.select(F.lit(files).cast("bigint").alias("files"), "cluster", "lat", "lon", "category", "n")
+
+
+@query
+def run_folder_names(spark, sf):
+    """The folder of a run for the words of each region (a fixed table), none of its nations."""
+    regions_of, nations = fx.table(spark, sf, "region"), fx.table(spark, sf, "nation")
+    grouped = regions_of.join(nations, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey")
+    runs = grouped.agg(F.sort_array(F.collect_list(F.lower("n_name"))).alias("names")).collect()
+    rows = [
+        (r["r_name"], output_name([r["r_name"].lower(), "art"], r["names"], len(r["names"]), r["r_regionkey"], 0.01))
+        for r in runs
+    ]
+    return spark.createDataFrame(rows, "region string, folder string")
+
+
 @query
 def super_clusters(spark, sf):
     return regions(spark, sf).super_clusters.select(
