@@ -34,6 +34,7 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"[\w+/.-]+|\n|[^\w\s+/.-]")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
+HEX_DIGITS = "0123456789abcdef"
 
 
 def base_spans(text: str) -> list[spans.Span]:
@@ -70,20 +71,23 @@ def shape(token: str) -> str:
     return "".join(kinds[:8])
 
 
+def is_mixed(form: str) -> bool:
+    return "9" in form and ("a" in form or "A" in form)
+
+
+def form_features(form: str, size: int, mixed: bool) -> list[str]:
+    """What follows from the shape and size of a token."""
+    return ["bias", f"shape={form}", f"size={size}", f"mixed={mixed},{size}", f"turns={min(len(form), 6)},{mixed}"]
+
+
+def kind_features(only_hex: bool, various: int, mixed: bool) -> list[str]:
+    return [f"hex={only_hex}", f"various={various},{mixed}"]
+
+
 def own_features(token: str, form: str) -> list[str]:
-    mixed = "9" in form and ("a" in form or "A" in form)
-    size = min(len(token) // 4, 10)
-    only_hex = len(token) > 7 and not token.strip("0123456789abcdef")
-    return [
-        "bias",
-        f"shape={form}",
-        f"size={size}",
-        f"mixed={mixed},{size}",
-        f"turns={min(len(form), 6)},{mixed}",
-        f"hex={only_hex}",
-        f"various={min(len(set(token)) // 3, 8)},{mixed}",
-        f"start={token[:4]}",
-    ]
+    mixed, only_hex = is_mixed(form), len(token) > 7 and not token.strip(HEX_DIGITS)
+    features = form_features(form, min(len(token) // 4, 10), mixed)
+    return features + kind_features(only_hex, min(len(set(token)) // 3, 8), mixed) + [f"start={token[:4]}"]
 
 
 def near_features(token: str, form: str) -> list[str]:
@@ -101,30 +105,56 @@ SIDES = (("own", 0), ("before", -1), ("before2", -2), ("after", 1))
 
 
 class Model:
-    """Weights by place and feature, each for the three labels, and moves between labels."""
+    """Weights by place and feature, each for begin and inside, and moves between labels.
+
+    Outside scores nothing.  What a token is worth to itself and to the tokens around it
+    is eight numbers, begin and inside of each of ``SIDES``.  They are the sum of a row
+    for its shape and size, which few pairs share, and rows for its other features; row
+    0 of a table is that of features without weights.
+    """
 
     def __init__(self, weights: dict[tuple[str, str], np.ndarray], moves: np.ndarray):
         self.moves = moves
-        self.weights = {side: {} for side in ("file", *(side for side, _ in SIDES))}
+        self.file: dict[str, np.ndarray] = {}
+        self.weights: dict[str, np.ndarray] = {}
+        place = {side: 2 * k for k, (side, _) in enumerate(SIDES)}
         for (side, feature), w in weights.items():
-            self.weights[side][feature] = tuple(w.tolist())
-
-    def token_scores(self, token: str) -> list[tuple[float, float, float]]:
-        form = shape(token)
-        near = near_features(token, form)
-        return [self._sum(side, own_features(token, form) if side == "own" else near) for side, _ in SIDES]
-
-    def file_scores(self, text: str) -> tuple[float, float, float]:
-        return self._sum("file", file_features(text))
-
-    def _sum(self, side: str, features: list[str]) -> tuple[float, float, float]:
-        table = self.weights[side]
-        outside = begin = inside = 0.0
-        for feature in features:
-            if feature in table:
-                o, b, i = table[feature]
-                outside, begin, inside = outside + o, begin + b, inside + i
-        return outside, begin, inside
+            if side == "file":
+                self.file[feature] = w[1:]
+            else:
+                eight = self.weights.setdefault(feature, np.zeros(8))
+                eight[place[side] : place[side] + 2] += w[1:]
+        named = lambda kind: [f for f in self.weights if f.startswith(kind)]
+        starts, words = named("start="), named("word=")
+        self.rows = [np.zeros(8), *[self.weights[f] for f in starts + words]]
+        self.starts = {f.removeprefix("start="): 1 + k for k, f in enumerate(starts)}
+        self.words = {f.removeprefix("word="): 1 + len(starts) + k for k, f in enumerate(words)}
+        self.forms: dict[tuple[str, int, int, bool], int] = {}
+
+    def _form(self, form: str, size: int, various: int, only_hex: bool) -> int:
+        """The row of all features that follow from a few properties of a token."""
+        mixed = is_mixed(form)
+        features = form_features(form, size, mixed) + kind_features(only_hex, various, mixed)
+        self.rows.append(sum((self.weights[f] for f in features if f in self.weights), np.zeros(8)))
+        self.forms[form, size, various, only_hex] = len(self.rows) - 1
+        return len(self.rows) - 1
+
+    def token_scores(self, tokens: list[str]) -> np.ndarray:
+        """The eight numbers of each token."""
+        rows, forms, starts, words = [], self.forms, self.starts, self.words
+        for token in tokens:
+            n = len(token)
+            key = shape(token), min(n // 4, 10), min(len(set(token)) // 3, 8), n > 7 and not token.strip(HEX_DIGITS)
+            form = forms.get(key)
+            rows.append(self._form(*key) if form is None else form)
+        table, take = np.array(self.rows, np.float32), np.array
+        scores = table[take(rows, np.int64)]
+        scores += table[take([starts.get(t[:4], 0) for t in tokens], np.int64)]
+        scores += table[take([words.get(t[:12].lower(), 0) for t in tokens], np.int64)]
+        return scores
+
+    def file_scores(self, text: str) -> np.ndarray:
+        return sum((self.file[f] for f in file_features(text) if f in self.file), np.zeros(2))
 
 
 def fit(texts: list[str], least: int = 3) -> Model:
@@ -133,6 +163,8 @@ def fit(texts: list[str], least: int = 3) -> Model:
     A token's label is outside, or begin or inside of a value of a base span.
     Features seen in fewer than ``least`` places are left out.  All lines with a
     secret are learned from, and of the others three times as many, evenly spread.
+    In every second line with a secret the words before it are hidden, so the field
+    learns what values look like behind words that no pattern names.
     """
     lines: list[tuple[list[str], list[int], list[str]]] = []
     for text in texts:
@@ -159,14 +191,17 @@ def fit(texts: list[str], least: int = 3) -> Model:
     lines = hot + cold[:: max(1, len(cold) // max(3 * len(hot), 500))]
     number: dict[tuple[str, str], int] = {}
     at, which, labels_of = array("q"), array("q"), []
-    for tokens, labels, of_file in lines:
+    for i, (tokens, labels, of_file) in enumerate(lines):
         begin = len(labels_of)
+        hide = i < len(hot) and i % 2 == 1
         forms = [shape(t) for t in tokens]
         for k, token in enumerate(tokens):
             fs = [("own", f) for f in own_features(token, forms[k])] + [("file", f) for f in of_file]
             for side, step in SIDES[1:]:
                 if 0 <= k + step < len(tokens):
-                    fs += [(side, f) for f in near_features(tokens[k + step], forms[k + step])]
+                    near = near_features(tokens[k + step], forms[k + step])
+                    hidden = hide and step < 0 and tokens[k + step][0].isalpha()
+                    fs += [(side, f) for f in (near[1:] if hidden else near)]
             which.extend(number.setdefault(f, len(number)) for f in fs)
             at.extend([begin + k] * len(fs))
         labels_of += labels
@@ -196,35 +231,33 @@ class Tagger:
     """Labels of the tokens of texts by Viterbi, line by line; remembers the scores of tokens."""
 
     def __init__(self, model: Model):
-        self.model, self.kind, self.scores = model, {}, []
-        self.table = np.zeros((0, len(SIDES), 3), np.float32)
+        self.model, self.kind = model, {}
+        self.table = np.zeros((0, 2 * len(SIDES)), np.float32)
 
     def tagged(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if len(self.kind) > REMEMBERED:
-            self.kind, self.scores = {}, []
-            self.table = self.table[:0]
-        kind, scores = self.kind, self.scores
-        if "\n" not in kind:
-            kind["\n"] = len(scores)
-            scores.append([(0.0, 0.0, 0.0)] * len(SIDES))
-        end = kind["\n"]
-        rows, sizes = [], []
+            self.kind = {}
+        kind = self.kind
+        if not kind:
+            kind["\n"] = 0
+            self.table = np.zeros((1, 2 * len(SIDES)), np.float32)
+        end, rows, sizes, new = kind["\n"], [], [], []
         for text in texts:
             found = TOKEN.findall(text)
             for token in set(found).difference(kind):
-                kind[token] = len(scores)
-                scores.append(self.model.token_scores(token))
+                kind[token] = len(kind)
+                new.append(token)
             rows.extend(map(kind.__getitem__, found))
             rows.append(end)
             sizes.append(len(found) + 1)
+        if new:
+            self.table = np.concatenate([self.table, self.model.token_scores(new)])
         token, doc = np.array(rows, np.int64), np.repeat(np.arange(len(texts)), sizes)
-        if len(scores) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(scores[len(self.table) :], np.float32)])
-        table = self.table[:, :, 1:]  # outside scores nothing
-        total = table[token, 0] + np.array([self.model.file_scores(t)[1:] for t in texts], np.float32).reshape(-1, 2)[doc]
-        total[1:] += table[token[:-1], 1]
-        total[:-1] += table[token[1:], 3]
-        total[2:] += np.where((token[1:-1] != end)[:, None], table[token[:-2], 2], 0)
+        own, before, before2, after = np.split(self.table, len(SIDES), axis=1)
+        total = own[token] + np.array([self.model.file_scores(t) for t in texts], np.float32).reshape(-1, 2)[doc]
+        total[1:] += before[token[:-1]]
+        total[:-1] += after[token[1:]]
+        total[2:] += np.where((token[1:-1] != end)[:, None], before2[token[:-2]], 0)
         moves = self.model.moves
         stop = token == end
         use, first = self._pieces(total, stop)
