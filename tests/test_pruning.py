@@ -31,7 +31,12 @@ def test_pruned_updates_are_equal_and_look_at_few_distances(places):
     pruned = km.kmeans(places, 100, iterations=4, method="pruned")
     assert pruned.log == plain.log and pruned.centroids == plain.centroids
     assert 0 < pruned.distances * 5 < places.count() * 100 * 4
-    assert km.kmeans(places, 40, iterations=2).distances > 0
+
+
+def test_the_grid_is_taken_for_many_distances(places, monkeypatch):
+    assert km.kmeans(places, 40, iterations=1).distances == 0
+    monkeypatch.setattr(km, "PRUNED_DISTANCES", 1000)
+    assert km.kmeans(places, 40, iterations=1).distances > 0
 
 
 @pytest.mark.parametrize("cell", [1_000_000, 7_000_000, 400_000_000])

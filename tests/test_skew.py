@@ -45,9 +45,21 @@ def test_hot_keys_are_spread(facts):
     assert skew.hot_keys(facts, ["key"], rows_per_task=5000) is None
 
 
-def test_the_list_of_hot_keys_is_bounded(facts, monkeypatch):
-    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 3)
-    assert skew.hot_keys(facts, ["key"], rows_per_task=1).count() == 3
+def test_no_key_above_the_bound_stays_unsplit(spark):
+    """20,000 hot keys among 100,000; each is found, and split into parts within the bound."""
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
+    rows = rows.union(spark.range(20_000, 100_000).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")))
+    hot = skew.hot_keys(rows, ["key"], rows_per_task=10)
+    assert hot.count() == 20_000 and hot.filter("key >= 20000 OR _splits != 2").count() == 0
+    lookup = spark.range(100_000).select(F.col("id").alias("key"), (F.col("id") * 3).alias("value"))
+    joined = skew.balanced_join(rows, lookup, ["key"], broadcast_bytes=0, rows_per_task=10)
+    assert joined.filter("value = 3 * key").count() == 20_000 * 12 + 80_000 * 3
+
+
+def test_light_keys_are_not_counted_one_by_one(facts, monkeypatch):
+    monkeypatch.setattr(skew, "KEY_BUCKETS", 4)
+    hot = skew.hot_keys(facts, ["key"], rows_per_task=100)
+    assert {r["key"]: r["_splits"] for r in hot.collect()} == {7: 11, None: 2}
 
 
 def test_equal_rows_of_different_partitions_are_spread(spark):

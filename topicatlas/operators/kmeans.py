@@ -28,6 +28,9 @@ Centroid = tuple[float, float]
 # the generated method is too long for the JIT and Arrow batches are faster.
 EXPRESSION_CENTROIDS = 32
 
+# From so many distances of an update on a grid of the points pays for itself.
+PRUNED_DISTANCES = 20_000_000
+
 # Work of one task in an update; a table of few, full files has too few tasks.
 DISTANCES_PER_TASK = 2_000_000
 
@@ -271,7 +274,8 @@ def kmeans(
 
     ``method`` is ``expression`` or ``arrow``, which compare all points with all
     centroids, or ``pruned``, which mostly compares cells of a grid; the results are
-    equal to the bit.  ``auto`` takes the first up to 32 centroids and the last beyond.
+    equal to the bit.  ``auto`` takes the first up to 32 centroids, and beyond them the last
+    for as many points as make a grid worth while.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -282,7 +286,8 @@ def kmeans(
     if not stored:
         stable = cut_lineage(stable, "points")
     if method == "auto":
-        method = "expression" if k <= EXPRESSION_CENTROIDS else "pruned"
+        few = k <= EXPRESSION_CENTROIDS
+        method = "expression" if few else "pruned" if stable.count() * k > PRUNED_DISTANCES else "arrow"
     grid = point_grid(stable) if method == "pruned" else None
     stable = (grid.points if grid else _spread(stable, k)).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -1,9 +1,7 @@
 """Joins and lists that stay balanced when one key holds a large share of the rows.
 
-In joins only keys above ``rows_per_task`` rows are treated, at most ``MOST_HOT_KEYS`` of
-them.  Whatever the data, a key that is not treated therefore holds at most
-``max(rows_per_task, total / MOST_HOT_KEYS)`` rows, and the list of treated keys
-is small enough to be broadcast.
+In joins every key above ``rows_per_task`` rows is split, so whatever the data, no task
+gets more rows of a key; such keys are so few that their list can be broadcast.
 """
 
 from collections.abc import Sequence
@@ -15,7 +13,8 @@ from pyspark.sql import functions as F
 from topicatlas.operators.lineage import cut_lineage
 
 ROWS_PER_TASK = 8_000_000
-MOST_HOT_KEYS = 10_000
+#: Buckets that keys are counted by before any is counted by itself.
+KEY_BUCKETS = 1 << 20
 # Three million ranges, cut at bucket borders, with their coordinates take 360 MB.
 BROADCAST_BYTES = 400_000_000
 ROW_OVERHEAD = 32
@@ -45,23 +44,29 @@ def table_bytes(df: DataFrame, rows: int | None = None) -> int:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
-    """``keys, _splits`` for the heaviest keys; None if no key needs splitting.
+    """``keys, _splits`` of every key of more than ``rows_per_task`` rows; None if there is none.
 
-    Counts are combined before the shuffle, and the result that reaches the
-    driver has at most ``MOST_HOT_KEYS`` rows.
+    There are at most as many as ``rows_per_task`` goes into the rows of the table, which
+    bounds what is broadcast; they stay in a written table and do not pass the driver.
+    Counts are combined before the shuffle, and keys are first counted by ``KEY_BUCKETS``
+    hash buckets: only those of a bucket above the bound are counted one by one, so a
+    table of very many light keys shuffles a row per bucket and task.
     """
-    heaviest = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"))
-        .limit(MOST_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_splits"))
-    )
-    rows = heaviest.collect()
-    if not rows:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
+    slim = df.select(*keys, bucket.alias("_bucket"))
+    heavy = slim.groupBy("_bucket").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    heavy = cut_lineage(heavy.select("_bucket"), "heavy-buckets")
+    # At most KEY_BUCKETS numbers.
+    if heavy.isEmpty():
         return None
-    return df.sparkSession.createDataFrame(rows, heaviest.schema)
+    counted = slim.join(F.broadcast(heavy), "_bucket", "left_semi").groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = cut_lineage(
+        counted.filter(F.col("_rows") > rows_per_task).select(
+            *keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_splits")
+        ),
+        "hot-keys",
+    )
+    return None if hot.isEmpty() else hot
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -71,19 +76,16 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return condition
 
 
-def with_salt(
-    df: DataFrame, hot: DataFrame, keys: Sequence[str], by: Sequence[str] | None = None
-) -> DataFrame:
+def with_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``_splits`` (1 for ordinary keys) and a ``_salt`` below it.
 
-    The salt is a hash of the row and its partition number (or of the columns
-    ``by``), never a random number: a recomputed task sends each row to the same
+    The salt is a hash of the row and its partition number, never a random number: a recomputed task sends each row to the same
     place, and equal rows of different partitions are spread.
     """
     marked = df.join(F.broadcast(hot), _same(df, hot, keys), "left").select(
         *[df[name] for name in df.columns], F.coalesce(hot["_splits"], F.lit(1)).alias("_splits")
     )
-    hashed = F.xxhash64(*by) if by else F.xxhash64(F.spark_partition_id(), *df.columns)
+    hashed = F.xxhash64(F.spark_partition_id(), *df.columns)
     spread = F.pmod(hashed, F.col("_splits")).cast("int")
     return marked.withColumn("_salt", spread)
 
