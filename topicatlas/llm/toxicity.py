@@ -3,20 +3,22 @@
 import heapq
 import re
 from array import array
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicatlas.llm import crf
 from topicatlas.llm.common import documents, excerpts, per_document, slices
+from topicatlas.operators.lineage import cut_lineage
 
-#: Bounds of the sample the field is fitted on: toxic and clean documents, and characters of each;
-#: of a longer text an excerpt is taken.
+#: Bounds of the sample the field is fitted on: toxic and clean documents, characters of each (of a
+#: longer text an excerpt is taken), and characters of all toxic and of all clean ones.
 SAMPLE_DOCUMENTS = {1: 800, 0: 3_200}
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = {1: 4_000_000, 0: 14_000_000}
 #: Documents of this remainder of crc32(doc_id as text) are never learned from.
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
@@ -46,7 +48,7 @@ class Sample:
 
     def __init__(self, texts: list[str]):
         self.kind: dict[str, int] = {}
-        tokens, sizes, lengths = array("q"), [], []
+        tokens, sizes, lengths = array("i"), [], []
         for text in texts:
             run, before = 0, len(tokens)
             for token in TOKEN.findall(text):
@@ -60,8 +62,8 @@ class Sample:
             if run:
                 lengths.append(run)
             sizes.append(len(tokens) - before)
-        self.token = np.frombuffer(tokens, np.int64).copy() if tokens else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), np.array(sizes, np.int64))
+        self.token = np.array(tokens, np.int32)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.array(sizes, np.int64))
         self.length = np.array(lengths, np.int64)
         self.n_docs = len(texts)
 
@@ -82,40 +84,55 @@ def telling_features(sample: Sample, toxic: np.ndarray, weight: float = 1.0, lea
     ``precision`` must be toxic, where a clean one counts ``weight``-fold.  Words in one of a hundred toxic documents, and in
     hardly a clean one, are chosen whatever else explains these documents.
     """
-    docs_of = defaultdict(set)
     words = list(sample.kind)
     n = max(len(words), 1)
-    both = np.unique(sample.doc * n + sample.token)
-    in_toxic = set((both % n)[toxic[both // n] == 1].tolist()) if len(both) else set()
-    marks = {k: [f for f in own_features(words[k]) if f[0] in "wp"] for k in in_toxic}
-    possible = {f for fs in marks.values() for f in fs}
+    both = np.unique(sample.doc.astype(np.int64) * n + sample.token)
+    doc, kind = (both // n).astype(np.int32), (both % n).astype(np.int32)
+    del both
+    in_toxic = np.unique(kind[toxic[doc] == 1])
+    number: dict[str, int] = {}
+    marks: dict[int, list[int]] = {}
+    for k in in_toxic.tolist():
+        marks[k] = [number.setdefault(f, len(number)) for f in own_features(words[k]) if f[0] in "wp"]
     for k, word in enumerate(words):
         if k not in marks:
-            fs = [f for f in own_features(word) if f[0] in "wp" and f in possible]
+            fs = [number[f] for f in own_features(word) if f in number]
             if fs:
                 marks[k] = fs
-    both = both[np.isin(both % n, np.array(list(marks), np.int64))]
-    for d, k in zip((both // n).tolist(), (both % n).tolist(), strict=True):
-        for f in marks[k]:
-            docs_of[f].add(d)
-    bad = set(np.flatnonzero(toxic == 1).tolist())
-    good = {f: ds & bad for f, ds in docs_of.items()}
-    share = {f: len(good[f]) / (len(good[f]) + weight * len(ds - bad)) for f, ds in docs_of.items() if good[f]}
-    heap = [(-len(good[f]), -len(f), f) for f, p in share.items() if len(good[f]) >= least and p >= precision]
+    # Which feature is in which document, each pair once, as sorted numbers.
+    count = np.zeros(n, np.int64)
+    count[list(marks)] = [len(fs) for fs in marks.values()]
+    begin = np.cumsum(count) - count
+    flat = np.array([f for k in sorted(marks) for f in marks[k]], np.int64)
+    del marks
+    times = count[kind]
+    inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    pairs = flat[np.repeat(begin[kind], times) + inner] * max(sample.n_docs, 1) + np.repeat(doc, times)
+    del inner, times, kind, doc
+    pairs = np.unique(pairs)
+    feature, doc = pairs // max(sample.n_docs, 1), pairs % max(sample.n_docs, 1)
+    del pairs
+    is_bad = toxic[doc] == 1
+    good = np.bincount(feature[is_bad], minlength=len(number))
+    share = good / np.maximum(good + weight * np.bincount(feature[~is_bad], minlength=len(number)), 1e-9)
+    feature, doc = feature[is_bad], doc[is_bad]
+    held = np.searchsorted(feature, np.arange(len(number) + 1))
+    docs_of = lambda f: doc[held[number[f]] : held[number[f] + 1]]
+    heap = [(-int(good[k]), -len(f), f) for f, k in number.items() if good[k] >= least and share[k] >= precision]
     heapq.heapify(heap)
-    chosen, explained = set(), set()
+    chosen, explained = set(), np.zeros(sample.n_docs, bool)
     while heap:
         _, _, f = heapq.heappop(heap)
-        new = len(good[f] - explained)
+        new = int((~explained[docs_of(f)]).sum())
         if new < least:
             continue
         if heap and (-new, -len(f), f) > heap[0]:
             heapq.heappush(heap, (-new, -len(f), f))
             continue
         chosen.add(f)
-        explained |= good[f]
-    often = max(5 * least, len(bad) / 100)
-    return chosen | {f for f, p in share.items() if f[0] == "w" and len(good[f]) >= often and p >= 0.98}
+        explained[docs_of(f)] = True
+    often = max(5 * least, (toxic == 1).sum() / 100)
+    return chosen | {f for f, k in number.items() if f[0] == "w" and good[k] >= often and share[k] >= 0.98}
 
 
 class Model:
@@ -163,9 +180,8 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float
     y, later = np.array(toxic, np.int64), np.array(calibrate, bool)
     early = np.flatnonzero(~later)
     sample = Sample([texts[i] for i in early])
-    own_of = [own_features(w) for w in sample.kind]
     told = telling_features(sample, y[early], weight)
-    marked = np.array([any(f in told for f in fs) for fs in own_of], bool)
+    marked = np.fromiter((not told.isdisjoint(own_features(w)) for w in sample.kind), bool, len(sample.kind))
     label = (marked[sample.token] if len(sample.token) else np.zeros(0, bool)) & (y[early][sample.doc] == 1)
     chain = np.repeat(np.arange(len(sample.length)), sample.length)
     with_toxic = np.bincount(chain, label, len(sample.length)) > 0 if len(chain) else np.zeros(0, bool)
@@ -175,22 +191,36 @@ def fit(texts: list[str], toxic: list[int], calibrate: list[bool], weight: float
     use[others[:: max(1, len(others) // n_others)]] = True
     on = use[chain]
     before, after = sample.neighbours()
+    token, label, sides = sample.token[on], label[on], (before[on], after[on])
+    lengths = sample.length[use]
+    words = list(sample.kind)
+    del chain, before, after, sample
+    # Only the words of the chains learned from get features.
+    kinds = np.unique(np.concatenate([token, *sides]))
+    kinds = kinds[kinds >= 0]
+    place = np.zeros(len(words) + 1, np.int32)
+    place[kinds] = np.arange(len(kinds))
     names: dict[tuple[str, str], int] = {}
-    width = [[names.setdefault(("own", f), len(names)) for f in ["bias", *fs]] for fs in own_of]
-    near = [[(names.setdefault((s, f), len(names))) for f in near_features(w) for s in ("before", "after")] for w in sample.kind]
-    kinds = np.repeat(np.arange(len(width)), [len(x) for x in width]) if width else np.zeros(0, np.int64)
-    flat = np.array([f for x in width for f in x], np.int64)
-    begin = np.searchsorted(kinds, np.arange(len(width) + 1))
-    token = sample.token[on]
-    count = begin[token + 1] - begin[token]
-    at = np.repeat(np.arange(len(token)), count)
-    inner = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    features = [[at, flat[begin[token][at] + inner]]]
-    for side, k in ((before[on], 0), (after[on], 1)):
-        there = np.flatnonzero(side >= 0)
-        table = np.array([x[k] for x in near], np.int64)
-        features.append([there, table[side[there]]])
-    weights, moves = crf.fit(features, len(names), label[on].astype(np.int64), sample.length[use], 2)
+    own, near = array("i"), array("i")
+    counts = np.zeros(len(kinds), np.int64)
+    for i, k in enumerate(kinds.tolist()):
+        fs = ["bias", *own_features(words[k])]
+        counts[i] = len(fs)
+        own.extend(names.setdefault(("own", f), len(names)) for f in fs)
+        near.extend(names.setdefault((s, f), len(names)) for f in near_features(words[k]) for s in ("before", "after"))
+    flat, table = np.array(own, np.int32), np.array(near, np.int32).reshape(-1, 2)
+    del own, near, words
+    begin = np.cumsum(counts) - counts
+    at_kind = place[token]
+    count = counts[at_kind]
+    at = np.repeat(np.arange(len(token), dtype=np.int32), count)
+    inner = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    features = [[at, flat[begin[at_kind][at] + inner]]]
+    del inner
+    for k, side in enumerate(sides):
+        there = np.flatnonzero(side >= 0).astype(np.int32)
+        features.append([there, table[place[side[there]], k]])
+    weights, moves = crf.fit(features, len(names), label.astype(np.int64), lengths, 2)
     tables: dict[str, dict] = {"own": {}, "before": {}, "after": {}}
     for (side, f), k in names.items():
         if abs(weights[k, 1]) > 1e-3:
@@ -265,13 +295,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
     marks = marks.where(fold(F.col("doc_id")) != HELD_OUT)
     marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    marks = cut_lineage(marks, "toxic-marks")
     counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
     texts: dict[int, dict[str, float]] = {}
     for label, bound in SAMPLE_DOCUMENTS.items():
         ids = marks.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
         found = documents(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.char_length("text").alias("chars"))
         found = excerpts(found, SAMPLE_CHARS).distinct()
-        rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "chars").limit(bound).collect()
+        found = found.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id", "text", "chars").limit(bound)
+        # Rows within the bounds are few; those beyond the bound of all characters are not collected.
+        before = W.orderBy("_order", "doc_id", "text", "chars").rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = found.withColumn("_size", F.sum(F.char_length("text")).over(before)).where(F.col("_size") <= SAMPLE_TOTAL[label])
+        rows = found.select("text", "chars").collect()
         texts[label] = {r["text"]: max(1.0, r["chars"] / max(1, len(r["text"]))) for r in rows}
     if not texts[0] or not texts[1]:
         if docs.limit(1).count():
