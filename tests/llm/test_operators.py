@@ -67,6 +67,73 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert not found[7]["found"] and not found[8]["base"]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("call me at 555 123 4567", "555 123 4567"),
+        ("ssn: 078 05 1120", "078 05 1120"),
+        ("pay to DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 00"),
+        ('{"email":"a@b.co","ssn":"078-05-1120"}', "078-05-1120"),
+        ("the key " + "k9" * 40 + " is long", "k9" * 40),
+        ("id=u1.2.3.4/78051120,x", "/78051120"),
+    ],
+)
+def test_pii_candidates(text, value):
+    base = pii.base_spans(text)
+    assert value in [text[a:b] for a, b in pii.candidates(text, base)]
+    assert all(b <= x or y <= a for a, b in pii.candidates(text, base) for x, y, _ in base)
+
+
+def test_pii_patterns_look_over_any_white_space():
+    text = "reply" + " " * 300 + "address" + "\n" * 200 + "x9 = '5551234567'" + "\t" * 99 + '"today"'
+    seen = {s["instance"]: s["patterns"] for s in pii.occurrences(text)}
+    assert seen["5551234567"] == ["x0 _", "address x0 _", "_ today", "x0 _ today"]
+    long = "w" * 5000
+    (own,) = [s["patterns"] for s in pii.occurrences(f"{long} 5551234567")]
+    assert own == [f"{hashlib.md5(long.encode()).hexdigest()} _"] and len(own[0]) < 40
+
+
+def _plain_scores(seen):
+    """Pattern scores by rounds over sets, for ``(instance, kind, patterns)`` rows."""
+    edges = {(p, i, k or "") for i, k, ps in seen for p in ps}
+    size, seeds = {}, {}
+    for p, i, k in edges:
+        size.setdefault(p, set()).add(i)
+        if k:
+            seeds.setdefault((p, k), set()).add(i)
+    fit = {pk: len(s) for pk, s in seeds.items() if len(s) >= pii.LEAST_SEEDS}
+    score = {(p, k): n / len(size[p]) for (p, k), n in fit.items()}
+    known = {(i, k) for _, i, k in edges if k}
+    for _ in range(pii.ROUNDS - 1):
+        own = {}
+        for p, i, k in edges:
+            for (q, kind), s in score.items():
+                if not k and q == p and (i, kind) not in known:
+                    own.setdefault((i, kind), []).append(1 - min(s, 0.999))
+        own = {ik: 1 - np.prod(left) for ik, left in own.items()}
+        more = {}
+        for p, i, k in edges:
+            for kind in {kk for _, kk in fit}:
+                if not k and (i, kind) in own:
+                    more[p, kind] = more.get((p, kind), 0.0) + own[i, kind]
+        score = {(p, k): min(1.0, (n + more.get((p, k), 0.0)) / len(size[p])) for (p, k), n in fit.items()}
+    return {pk: s for pk, s in score.items() if s >= pii.LEAST_SCORE}
+
+
+def test_pii_graph_scores_equal_plain_rounds(spark):
+    rng = random.Random(7)
+    seen = []
+    for _ in range(500):
+        kind = rng.choice(["email", "ip", None, None])
+        ps = [f"p{int(rng.random() ** 2 * 25)} _" for _ in range(rng.randrange(0, 4))]
+        seen.append((f"i{rng.randrange(60)}" + (kind or ""), kind, ps))
+    table = spark.createDataFrame(seen, "instance string, kind string, patterns array<string>")
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii._scored_patterns(table).collect()}
+    want = _plain_scores(seen)
+    assert got.keys() == want.keys() and got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # --- packing ------------------------------------------------------------------
 
 

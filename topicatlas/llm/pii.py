@@ -1,6 +1,8 @@
 """Personal data by patterns, and by contexts that such data bootstraps."""
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: What looks like an identifier: a run without white space that holds a digit or an at sign.
-LOOKS = re.compile(r"(?<!\S)(?=\S{0,63}[0-9@])\S+")
-EDGES = ".,;:!?\"'()[]{}<>"
+#: What parts the words of a text and the fields of a record.
+PARTS = r"\s\"'`,;=<>(){}\[\]|"
+WORD = re.compile(rf"[^{PARTS}]+")
+#: What looks like an identifier: groups of digits over single spaces or dashes, after a
+#: few letters or not, or else a word that holds a digit or an at sign.
+LOOKS = re.compile(
+    rf"(?<![^{PARTS}])(?:[A-Za-z]{{0,4}}[0-9]+(?:[\x20-][0-9]+)+(?=[{PARTS}.:!?]|\Z)|(?=[^{PARTS}]*[0-9@])[^{PARTS}]+)"
+)
+EDGES = ".:!?"
+#: An identifier has so many characters at least.
+LEAST_CHARS = 5
+#: Longer words stand in patterns, and longer identifiers in the graph, by their hash.
+LONG = 64
 
 
 def luhn(digits: str) -> bool:
@@ -71,45 +83,70 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _short(value: str) -> str:
+    """The value, or of a long one a hash: what it is compared by, not what it is cut to."""
+    return value if len(value) <= LONG else hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _word(word: str) -> str:
-    return "".join("0" if c.isdigit() else c for c in word.strip(EDGES).lower())[:32]
+    return _short("".join("0" if c.isdigit() else c for c in word.strip(EDGES).lower()))
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns a span occurs in: words before it, after it, and both."""
-    left = [_word(w) for w in text[max(0, start - 80) : start].split()[-2:]]
-    right = [_word(w) for w in text[end : end + 40].split()[:1]]
+def patterns(left: list[str], right: str) -> list[str]:
+    """The lexical patterns of a span between words: the words before it, after it, and both."""
     found = []
     if left:
         found.append(f"{left[-1]} _")
     if len(left) == 2:
         found.append(f"{left[0]} {left[1]} _")
     if right:
-        found.append(f"_ {right[0]}")
+        found.append(f"_ {right}")
     if left and right:
-        found.append(f"{left[-1]} _ {right[0]}")
-    return [p for p in found if p.strip(" _")]
+        found.append(f"{left[-1]} _ {right}")
+    return found
+
+
+def neighbours(text: str, found: list[tuple[int, int]]) -> list[list[str]]:
+    """The patterns of spans in a text: up to two words before each, the nearest last, and one after.
+
+    Words that a span touches are none of its neighbours, and those of punctuation alone
+    are passed over, however far the next one is.
+    """
+    if not found:
+        return []
+    words = [(m.start(), m.end(), w) for m in WORD.finditer(text) if (w := _word(m[0]))]
+    ends, starts = [w[1] for w in words], [w[0] for w in words]
+    out = []
+    for a, b in found:
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        out.append(patterns([w[2] for w in words[max(0, i - 2) : i]], words[j][2] if j < len(words) else ""))
+    return out
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What looks like an identifier between the base spans, which part a run as quotes and commas do."""
+    found, last = [], 0
+    for a, b in [*((a, b) for a, b, _ in base), (len(text), len(text))]:
+        gap = text[last:a] if last or a < len(text) else text
+        for m in LOOKS.finditer(gap):
+            value = m[0].strip(EDGES)
+            if len(value) >= LEAST_CHARS and any(c.isdigit() or c == "@" for c in value):
+                begin = last + m.start() + m[0].index(value)
+                found.append((begin, begin + len(value)))
+        last = max(last, b)
+    return found
 
 
 def occurrences(text: str) -> list[dict]:
-    """Base spans, and beside them what else looks like an identifier of 5 to 64 characters."""
+    """Base spans, and beside them what else looks like an identifier, with their patterns."""
     base = base_spans(text)
-    found, i = [], 0
-    for a, b, kind in base:
-        found.append({"start": a, "end": b, "kind": kind, "instance": text[a:b], "patterns": patterns(text, a, b)})
-    last = 0  # the furthest end of the base spans that begin before a candidate
-    for m in LOOKS.finditer(text):
-        value = m[0].strip(EDGES)
-        if not 5 <= len(value) <= 64 or not any(c.isdigit() or c == "@" for c in value):
-            continue
-        a = m.start() + m[0].index(value)
-        b = a + len(value)
-        while i < len(base) and base[i][0] < b:
-            last = max(last, base[i][1])
-            i += 1
-        if last <= a:
-            found.append({"start": a, "end": b, "kind": None, "instance": value.lower(), "patterns": patterns(text, a, b)})
-    return found
+    others = candidates(text, base)
+    around = neighbours(text, [(a, b) for a, b, _ in base] + others)
+    kinds = [kind for *_, kind in base] + [None] * len(others)
+    return [
+        {"start": a, "end": b, "kind": kind, "instance": _short(text[a:b] if kind else text[a:b].lower()), "patterns": own}
+        for (a, b), kind, own in zip([(a, b) for a, b, _ in base] + others, kinds, around, strict=True)
+    ]
 
 
 def _scored_patterns(seen: DataFrame) -> DataFrame:
@@ -146,8 +183,9 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id, base, found`` of each row of ``docs``: arrays of structs of start, end and kind.
 
     ``base`` are the spans of the fixed patterns; a null or empty text has none.
-    ``found`` are the others: what looks like an identifier, overlaps no base span
-    and stands in a pattern of high confidence, under the kind ``context_`` and that
+    ``found`` are the others: what looks like an identifier (groups of digits, or a word
+    with a digit or an at sign, of any length from five characters on), overlaps no base
+    span and stands in a pattern of high confidence, under the kind ``context_`` and that
     of the seeds (the best pattern decides, at equal scores the first kind by name).
     Texts are read once; the graph is built from the identifiers in them.
     """
