@@ -234,8 +234,10 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
     "op13_suffix_dedup": r"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT r, h, unnest(range(0, strlen(h) // 2 - 99)) AS i FROM d WHERE strlen(h) >= 200),
-m AS (SELECT r, i, row_number() OVER (PARTITION BY sha256(substr(h, 2 * i + 1, 200)) ORDER BY r, i) AS k FROM s),
+b AS (SELECT r, strlen(h) // 2 - 99 AS n, h, unnest(range(0, strlen(h) // 2 - 99, 1000)) AS c FROM d WHERE strlen(h) >= 200),
+p AS (SELECT r, c, substr(h, 2 * c + 1, 2198) AS part, least(1000, n - c) AS n FROM b),
+s AS (SELECT r, c, part, unnest(range(0, n)) AS j FROM p),
+m AS (SELECT r, c + j AS i, row_number() OVER (PARTITION BY sha256(substr(part, 2 * j + 1, 200)) ORDER BY r, c + j) AS k FROM s),
 later AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM m WHERE k > 1),
 runs AS (SELECT r, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM later),
 spans AS (SELECT r, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY r, run),
