@@ -5,19 +5,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from topicatlas.llm.common import documents, per_document
+from topicatlas.llm.common import documents, slices
+from topicatlas.operators.lineage import cut_lineage
 
 MARK = "▁"
 #: A run of white-space marks and what follows it; no piece crosses the end of one.
 CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
-#: Distinct chunks a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Characters of a slice: its documents meet their chunks in one place.  A longer text is a slice of its own.
+SLICE = 8_000_000
 
 
 class Chunks:
-    """The ids and the decoded text of each distinct chunk, segmented once.
+    """The model, and the ids and decoded text it gives a chunk.
 
     A model is refused if a piece holds a mark after another character, or if it
     changes texts before it marks their spaces: then chunks would not be independent.
@@ -33,44 +37,86 @@ class Chunks:
         probe = " a  ﬁ é́\tb \n"
         if self.model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("this model normalizes texts")
-        self.ids: dict[str, list[int]] = {}
-        self.decoded: dict[str, str] = {}
-
-    def learn(self, keys: set[str]) -> None:
-        """Segments the chunks that are new, given without the mark the model puts before a text."""
-        new = sorted(keys.difference(self.ids))
-        for key, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            self.ids[key] = ids if key else [self.model.piece_to_id(MARK)]
-        for key, text in zip(new, self.model.decode([self.ids[k] for k in new], num_threads=1), strict=True):
-            self.decoded[key] = text
-
-    def encode(self, texts: list[str]) -> dict:
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.decoded = {}, {}
-        keys = []
-        for text in texts:
-            chunks = CHUNK.findall(text)
-            keys.append(chunks[:1] + [c[1:] for c in itertools.islice(chunks, 1, None)])
-        self.learn(set(itertools.chain.from_iterable(keys)))
-        flat, ends, decoded = [], [0], []
-        for own in keys:
-            flat.extend(itertools.chain.from_iterable(map(self.ids.__getitem__, own)))
-            ends.append(len(flat))
-            decoded.append(" ".join(map(self.decoded.__getitem__, own)))
-        ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-        return {"ids": ids, "decoded": decoded}
 
+    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids and text of each chunk, given without the mark the model puts before a text."""
+        ids = self.model.encode(chunks, num_threads=1)
+        ids = [own if chunk else [self.model.piece_to_id(MARK)] for chunk, own in zip(chunks, ids, strict=True)]
+        return ids, self.model.decode(ids, num_threads=1)
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of each row of ``docs``: the library's ids of the whole text, and their text.
 
-    Each task keeps a table of the distinct chunks it meets, segments each of them
-    once, and joins their ids back by position.  No begin or end ids.  A null or
-    empty text has no ids.
+def positions(docs: DataFrame) -> DataFrame:
+    """``slice, doc_id, at, chunks``: documents as numbers of chunks, and the distinct chunks of their slice.
+
+    A row of a document has ``at``, the place of each of its chunks in the list
+    ``chunks`` of its slice, which is a row of its own.  Slices are numbered by task.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    whole = pa.schema([("slice", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("chunks", pa.list_(pa.string()))])
 
     def run(batches):
-        yield from per_document(Chunks(model).encode, schema)(batches)
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for begin, texts in slices(batch.column("text"), SLICE):
+                chunks, ends = [], [0]
+                for text in texts:
+                    found = CHUNK.findall(text)
+                    chunks += found[:1]
+                    chunks += [c[1:] for c in itertools.islice(found, 1, None)]
+                    ends.append(len(chunks))
+                coded = pa.array(chunks, pa.string()).dictionary_encode()
+                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices)
+                n, ids = len(texts), batch.column("doc_id").slice(begin, len(texts))
+                same = pa.array(np.full(n, number))
+                yield pa.RecordBatch.from_arrays([same, ids, at, pa.nulls(n, whole.field("chunks").type)], schema=whole)
+                distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+                yield pa.RecordBatch.from_arrays(
+                    [same[:1], pa.nulls(1, pa.int64()), pa.nulls(1, whole.field("at").type), distinct], schema=whole
+                )
+                number += 1
+
+    return documents(docs).mapInArrow(run, "slice long, doc_id long, at array<int>, chunks array<string>")
+
+
+def chunk_table(chunks: DataFrame, model: str) -> DataFrame:
+    """``chunk, ids, decoded``: each distinct ``chunk`` of the rows, segmented once in the whole corpus."""
+
+    def run(batches):
+        known = Chunks(model)
+        for batch in batches:
+            if batch.num_rows:
+                ids, decoded = known.segment(batch.column("chunk").to_pylist())
+                columns = [batch.column("chunk"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "decoded"])
+
+    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids array<int>, decoded string")
+
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+def _placed(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """The documents of a slice, with the ids and texts of its chunks in their places."""
+    order = pa.array(np.argsort(known.column("n").to_numpy()))
+    at = docs.column("at").combine_chunks()
+    ends, places = at.offsets.to_numpy() - at.offsets[0].as_py(), at.flatten()
+    each = known.column("ids").combine_chunks().take(order).take(places)
+    starts = each.offsets.to_numpy() - each.offsets[0].as_py()
+    ids = pa.ListArray.from_arrays(pa.array(starts[ends]), each.flatten())
+    words = known.column("decoded").combine_chunks().take(order).take(places)
+    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
+    return pa.table([docs.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """``doc_id, ids, decoded`` of each row of ``docs``: the library's ids of the whole text, and their text.
+
+    Documents become numbers of chunks, by slices of bounded length.  A table of the
+    distinct chunks of all slices is segmented once, joined to the chunks of each slice,
+    and their ids go to the places of the chunks.  So a chunk is shuffled once for a
+    slice, however often it stands there; the join is one of plain exchanges, which
+    Spark splits for a chunk that all slices hold.  No begin or end ids.  A null or
+    empty text has no ids; rows that repeat are rows of their own, null ids are kept.
+    """
+    marked = cut_lineage(positions(docs), "chunk-positions")
+    held = marked.where("chunks is not null").select("slice", F.posexplode("chunks").alias("n", "chunk"))
+    table = cut_lineage(chunk_table(held, model), "chunk-table")
+    known = held.join(table, "chunk").select(F.col("slice").alias("of"), "n", "ids", "decoded")
+    rows = marked.where("chunks is null").select("slice", "doc_id", "at")
+    return rows.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(_placed, "doc_id long, ids array<int>, decoded string")
