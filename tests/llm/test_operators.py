@@ -161,6 +161,18 @@ def test_packing_holds_each_id_once(docs):
         assert (part.offset == part.length.cumsum() - part.length).all() and part.length.sum() <= 2048
 
 
+def test_rows_that_repeat_are_packed_in_many_groups(docs):
+    rows = packing.pack(docs(*[(None, "")] * 300, *[(5, "a b")] * 300, *range_texts(300)), BYTES, group_pieces=30).toPandas()
+    group = rows.sequence_id.to_numpy() >> 32
+    for own in (rows.doc_id.isna(), rows.doc_id == 5):
+        assert own.sum() == 300 and np.unique(group[own], return_counts=True)[1].max() < 40
+    assert len(rows) == 900 and np.unique(group, return_counts=True)[1].max() < 60
+
+
+def range_texts(n):
+    return [(100 + i, f"text {i}") for i in range(n)]
+
+
 # --- sentence pieces ----------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,15 +61,17 @@ def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` of each piece of each row of ``docs``.
+    """``doc_id, start, length, ids_crc32, doc_tokens, row`` of each piece of each row of ``docs``.
 
     A document's ids, and after them one end id, are cut into whole sequences and a
-    rest.  A null or empty text is the end id alone.
+    rest.  A null or empty text is the end id alone.  ``row`` tells the rows apart,
+    also those that repeat each other; it is a number by task, to be written before use.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row")])
 
     def run(batches):
         encoder = Encoder(tokenizer)
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for begin, texts in slices(batch.column("text")):
@@ -80,7 +83,9 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
                         for column, value in zip(rows, (k, start, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
                             column.append(value)
                 owner = doc_ids.slice(begin, len(texts)).take(pa.array(rows[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([owner, *[pa.array(c, pa.int64()) for c in rows[1:]]], schema=schema)
+                row = pa.array(np.array(rows[0], np.int64) + first)
+                first += len(texts)
+                yield pa.RecordBatch.from_arrays([owner, *[pa.array(c, pa.int64()) for c in rows[1:]], row], schema=schema)
 
     columns = ", ".join(f"{f.name} long" for f in schema)
     return documents(docs).mapInArrow(run, columns)
@@ -119,16 +124,16 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id, offset``: where each lies in which sequence.
 
-    Documents are dealt by a hash into groups of about ``group_pieces`` pieces, a very
+    Rows are dealt at random into groups of about ``group_pieces`` pieces, a very
     long one in runs of ``PIECES_TOGETHER`` pieces, and each group is packed by
-    itself.  ``sequence_id`` is unique among all groups; offsets are gapless from 0.
-    Rows that repeat each other, or a ``doc_id``, are pieces of their own; a null
+    itself.  Rows that repeat each other are dealt like any others.  ``sequence_id`` is unique among all groups; offsets are gapless from 0.
+    Rows that repeat each other, or a ``doc_id``, have pieces of their own; a null
     ``doc_id`` is kept.  An empty table gives an empty one.
     """
     cut = cut_lineage(pieces(docs, tokenizer, sequence), "pieces")
     groups = max(1, cut.count() // group_pieces)
     run_of = F.floor(F.col("start") / (sequence * PIECES_TOGETHER))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens", run_of), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("row", run_of), F.lit(groups)).cast("long")).drop("row")
 
     def one(frame):
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
