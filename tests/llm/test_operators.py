@@ -474,6 +474,20 @@ def test_simhash_groups_equal_all_pairs(docs, paired_cell):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values()))
 
 
+@pytest.mark.parametrize("paired_cell", [1024, 64])
+def test_simhash_cell_of_many_fingerprints(spark, paired_cell):
+    draw = np.random.default_rng(4)
+    low = np.unique(draw.integers(0, 1 << 18, 700))
+    fps = [int(v) for v in low]
+    table = spark.createDataFrame([(v,) for v in fps], "fp long")
+    found = components.components(simhash.links(table, 4, paired_cell))
+    label = {r["node"]: r["component"] for r in found.collect()}
+    bits = np.bitwise_count(low[:, None] ^ low)
+    pairs = [(fps[i], fps[j]) for i, j in zip(*np.nonzero(np.triu(bits <= 4, 1)))]
+    want = _plain_components(fps, pairs)
+    assert {v: label.get(v, v) for v in fps} == want
+
+
 def test_one_row_of_each_group_stays_whatever_the_ids(docs):
     draw = random.Random(9)
     far = [" ".join(draw.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(8)]

@@ -120,8 +120,8 @@ def links(fps: DataFrame, distance: int = 4, paired_cell: int = PAIRED_CELL) ->
             F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
         ).alias("cell"),
     ).select("cell.t", "cell.key", "fp")
-    members = Window.partitionBy("t", "key")
-    shared = cut_lineage(cells.withColumn("n", F.count(F.lit(1)).over(members)).where("n > 1"), "cells")
+    sizes = cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut_lineage(cells.join(sizes, ["t", "key"]), "cells")
     crowded = F.col("n") > (paired_cell if distance % 2 == 0 else 2**62)
     left = shared.where(~crowded).select("t", "key", F.col("fp").alias("a"))
     right = shared.where(~crowded).select("t", "key", F.col("fp").alias("b"))
