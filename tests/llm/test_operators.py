@@ -189,13 +189,15 @@ def test_pieces_equal_the_library(docs):
 
 def test_each_chunk_is_segmented_once_for_all_slices(spark, docs, monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 40)
+    monkeypatch.setattr(pieces, "PART", 20)
     texts = [f"the same words again {i % 7} and ﬁ日 {'x' * (i * 50)}" for i in range(30)] + ["the " * 500, " ", None]
     table = docs(*[(None if i % 3 == 0 else i // 2, t) for i, t in enumerate(texts)]).repartition(3)
     marked = pieces.positions(table).cache()
     assert marked.select("slice").distinct().count() > 10
-    chunks = marked.where("chunks is not null").select(F.explode("chunks").alias("chunk"))
-    known = [r["chunk"] for r in pieces.chunk_table(chunks, PIECES).collect()]
-    assert len(known) == len(set(known)) == chunks.distinct().count() < chunks.count()
+    held = marked.where("chunks is not null").select("slice", F.posexplode("chunks").alias("n", "chunk"))
+    packed = [r for r in pieces.chunk_ids(held, PIECES).collect()]
+    assert sum(len(r["n"]) for r in packed) == held.count() > held.select("chunk").distinct().count()
+    assert all(len(r["n"]) == len(r["sizes"]) and sum(r["sizes"]) == len(r["ids"]) for r in packed)
     model = pieces.Chunks(PIECES).model
     want = sorted((str(None if i % 3 == 0 else i // 2), model.encode(t or ""), model.decode(model.encode(t or ""))) for i, t in enumerate(texts))
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in pieces.encode(table, PIECES).collect()) == want

@@ -1,5 +1,7 @@
 """SentencePiece ids of whole texts from a table of distinct chunks, and back."""
 
+import collections
+import functools
 import itertools
 import re
 
@@ -16,8 +18,10 @@ from topicatlas.operators.lineage import cut_lineage
 MARK = "▁"
 #: A run of white-space marks and what follows it; no piece crosses the end of one.
 CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
-#: Characters of a slice: its documents meet their chunks in one place.  A longer text is a slice of its own.
-SLICE = 8_000_000
+#: A slice of documents ends with this many distinct chunks, or with this many characters.
+SLICE_CHUNKS, SLICE = 400_000, 40_000_000
+#: Characters that are parted at a time.
+PART = 2_000_000
 
 
 class Chunks:
@@ -38,85 +42,126 @@ class Chunks:
         if self.model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("this model normalizes texts")
 
-    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids and text of each chunk, given without the mark the model puts before a text."""
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk, given without the mark the model puts before a text."""
         ids = self.model.encode(chunks, num_threads=1)
-        ids = [own if chunk else [self.model.piece_to_id(MARK)] for chunk, own in zip(chunks, ids, strict=True)]
-        return ids, self.model.decode(ids, num_threads=1)
+        return [own if chunk else [self.model.piece_to_id(MARK)] for chunk, own in zip(chunks, ids, strict=True)]
+
+    def texts(self, ids: list[list[int]]) -> list[str]:
+        return self.model.decode(ids, num_threads=1)
+
+
+@functools.cache
+def _chunks(model: str) -> Chunks:
+    return Chunks(model)
 
 
 def positions(docs: DataFrame) -> DataFrame:
     """``slice, doc_id, at, chunks``: documents as numbers of chunks, and the distinct chunks of their slice.
 
     A row of a document has ``at``, the place of each of its chunks in the list
-    ``chunks`` of its slice, which is a row of its own.  Slices are numbered by task.
+    ``chunks`` of its slice, which is a row of its own.  Slices are numbered by task, so
+    the rows are to be written before they are used twice.
     """
-    whole = pa.schema([("slice", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("chunks", pa.list_(pa.string()))])
+    numbers, words = pa.list_(pa.int32()), pa.list_(pa.string())
+    names = ["slice", "doc_id", "at", "chunks"]
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, size = TaskContext.get().partitionId() << 32, 0
+        known: dict[str, int] = collections.defaultdict(itertools.count().__next__)
+
+        def ended():
+            chunks = pa.array([list(known)], words)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, numbers), chunks], names)
+
         for batch in batches:
-            for begin, texts in slices(batch.column("text"), SLICE):
-                chunks, ends = [], [0]
+            for begin, texts in slices(batch.column("text"), PART):
+                if len(known) > SLICE_CHUNKS or size > SLICE:
+                    yield ended()
+                    number, size, known = number + 1, 0, collections.defaultdict(itertools.count().__next__)
+                flat, ends = [], [0]
                 for text in texts:
                     found = CHUNK.findall(text)
-                    chunks += found[:1]
-                    chunks += [c[1:] for c in itertools.islice(found, 1, None)]
-                    ends.append(len(chunks))
-                coded = pa.array(chunks, pa.string()).dictionary_encode()
-                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices)
-                n, ids = len(texts), batch.column("doc_id").slice(begin, len(texts))
-                same = pa.array(np.full(n, number))
-                yield pa.RecordBatch.from_arrays([same, ids, at, pa.nulls(n, whole.field("chunks").type)], schema=whole)
-                distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-                yield pa.RecordBatch.from_arrays(
-                    [same[:1], pa.nulls(1, pa.int64()), pa.nulls(1, whole.field("at").type), distinct], schema=whole
-                )
-                number += 1
+                    found[1:] = [c[1:] for c in itertools.islice(found, 1, None)]
+                    flat.extend(map(known.__getitem__, found))
+                    ends.append(len(flat))
+                    size += len(text)
+                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                ids = batch.column("doc_id").slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), number)), ids, at, pa.nulls(len(texts), words)], names)
+        if known:
+            yield ended()
 
     return documents(docs).mapInArrow(run, "slice long, doc_id long, at array<int>, chunks array<string>")
 
 
-def chunk_table(chunks: DataFrame, model: str) -> DataFrame:
-    """``chunk, ids, decoded``: each distinct ``chunk`` of the rows, segmented once in the whole corpus."""
+def chunk_ids(held: DataFrame, model: str) -> DataFrame:
+    """``slice, n, sizes, ids`` from ``slice, n, chunk``: numbers of chunks, and ids as many as the sizes say.
+
+    All rows of a chunk come to one task, one after another, which segments it once for
+    the whole corpus.  A chunk has one row for each slice at most.  A row that
+    comes out holds what a slice has in a batch, so the numbers are shuffled packed.
+    """
 
     def run(batches):
-        known = Chunks(model)
+        last, last_ids = None, []
         for batch in batches:
-            if batch.num_rows:
-                ids, decoded = known.segment(batch.column("chunk").to_pylist())
-                columns = [batch.column("chunk"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "decoded"])
-
-    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids array<int>, decoded string")
-
-
-def _placed(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """The documents of a slice, with the ids and texts of its chunks in their places."""
-    order = pa.array(np.argsort(known.column("n").to_numpy()))
-    at = docs.column("at").combine_chunks()
-    ends, places = at.offsets.to_numpy() - at.offsets[0].as_py(), at.flatten()
-    each = known.column("ids").combine_chunks().take(order).take(places)
-    starts = each.offsets.to_numpy() - each.offsets[0].as_py()
-    ids = pa.ListArray.from_arrays(pa.array(starts[ends]), each.flatten())
-    words = known.column("decoded").combine_chunks().take(order).take(places)
-    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
-    return pa.table([docs.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
+            if not batch.num_rows:
+                continue
+            coded = batch.column("chunk").dictionary_encode()
+            chunks = coded.dictionary.to_pylist()
+            again = [last_ids] if chunks[0] == last else []
+            found = again + _chunks(model).segment(chunks[len(again) :])
+            last, last_ids = chunks[-1], found[-1]
+            of = batch.column("slice").to_numpy()
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            each = pa.array(found, pa.list_(pa.int32())).take(coded.indices.take(pa.array(order)))
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            ends = pa.array(np.append(first, len(of)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of[first]),
+                    pa.ListArray.from_arrays(ends, batch.column("n").take(pa.array(order))),
+                    pa.ListArray.from_arrays(ends, each.value_lengths()),
+                    pa.ListArray.from_arrays(each.offsets.take(ends), each.values),
+                ],
+                ["slice", "n", "sizes", "ids"],
+            )
+
+    dealt = held.select("slice", "n", "chunk").repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, "slice long, n array<int>, sizes array<int>, ids array<int>")
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name).combine_chunks().flatten()
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, decoded`` of each row of ``docs``: the library's ids of the whole text, and their text.
 
-    Documents become numbers of chunks, by slices of bounded length.  A table of the
-    distinct chunks of all slices is segmented once, joined to the chunks of each slice,
-    and their ids go to the places of the chunks.  So a chunk is shuffled once for a
-    slice, however often it stands there; the join is one of plain exchanges, which
-    Spark splits for a chunk that all slices hold.  No begin or end ids.  A null or
+    Documents become numbers of chunks, by slices of bounded length.  The distinct
+    chunks of all slices are gathered by chunk and each is segmented once; its ids go
+    back to the slices, and there to the places of the chunk.  So a chunk is shuffled
+    once for a slice, however often it stands there.  No begin or end ids.  A null or
     empty text has no ids; rows that repeat are rows of their own, null ids are kept.
     """
+
+    def place(rows: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(_flat(known, "n").to_numpy())
+        sizes = _flat(known, "sizes").to_numpy()
+        starts = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        chunks = pa.ListArray.from_arrays(starts, _flat(known, "ids")).take(pa.array(order))
+        texts = pa.array(_chunks(model).texts(chunks.to_pylist()) if len(chunks) else [], pa.string())
+        at = rows.column("at").combine_chunks()
+        ends, places = at.offsets.to_numpy() - at.offsets[0].as_py(), at.flatten()
+        each = chunks.take(places)
+        ids = pa.ListArray.from_arrays(each.offsets.take(pa.array(ends)), each.values)
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts.take(places)), " ")
+        return pa.table([rows.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
+
     marked = cut_lineage(positions(docs), "chunk-positions")
     held = marked.where("chunks is not null").select("slice", F.posexplode("chunks").alias("n", "chunk"))
-    table = cut_lineage(chunk_table(held, model), "chunk-table")
-    known = held.join(table, "chunk").select(F.col("slice").alias("of"), "n", "ids", "decoded")
+    known = cut_lineage(chunk_ids(held, model), "chunk-ids").withColumnRenamed("slice", "of")
     rows = marked.where("chunks is null").select("slice", "doc_id", "at")
-    return rows.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(_placed, "doc_id long, ids array<int>, decoded string")
+    return rows.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(place, "doc_id long, ids array<int>, decoded string")
