@@ -4,10 +4,12 @@ import collections
 import functools
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ MARK = "▁"
 #: A run of white-space marks and what follows it; no piece crosses the end of one.
 CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 #: A slice of documents ends with this many distinct chunks, or with this many characters.
-SLICE_CHUNKS, SLICE = 400_000, 40_000_000
+SLICE_CHUNKS, SLICE = 150_000, 10_000_000
 #: Characters that are parted at a time.
 PART = 2_000_000
+#: Chunks are dealt by a hash; all of a bucket are segmented in one task, one bucket after another.
+BUCKETS = 4096
 
 
 class Chunks:
@@ -57,79 +61,80 @@ def _chunks(model: str) -> Chunks:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """``slice, doc_id, at, chunks``: documents as numbers of chunks, and the distinct chunks of their slice.
+    """Documents as numbers of chunks, and the distinct chunks of each slice of documents.
 
-    A row of a document has ``at``, the place of each of its chunks in the list
-    ``chunks`` of its slice, which is a row of its own.  Slices are numbered by task, so
-    the rows are to be written before they are used twice.
+    Rows of documents have ``slice, doc_id, at``: the number of each chunk, packed.
+    Other rows have ``slice, bucket, n, chunks``: the chunks of a bucket and their numbers.
+    Slices are numbered by task, so the rows are to be written before they are used twice.
     """
     numbers, words = pa.list_(pa.int32()), pa.list_(pa.string())
-    names = ["slice", "doc_id", "at", "chunks"]
+    names = ["slice", "doc_id", "at", "bucket", "n", "chunks"]
 
     def run(batches):
         number, size = TaskContext.get().partitionId() << 32, 0
         known: dict[str, int] = collections.defaultdict(itertools.count().__next__)
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def ended():
-            chunks = pa.array([list(known)], words)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, numbers), chunks], names)
+            chunks = pa.array(list(known), pa.string())
+            bucket = np.array([zlib.crc32(c.encode()) % BUCKETS for c in known])
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            bucket = bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends, k = pa.array(np.append(first, len(bucket)).astype(np.int32)), len(first)
+            columns = [pa.array(np.full(k, number)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(bucket[first], pa.int32())]
+            columns += [pa.ListArray.from_arrays(ends, x) for x in (pa.array(order), chunks.take(pa.array(order)))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for begin, texts in slices(batch.column("text"), PART):
                 if len(known) > SLICE_CHUNKS or size > SLICE:
                     yield ended()
                     number, size, known = number + 1, 0, collections.defaultdict(itertools.count().__next__)
-                flat, ends = [], [0]
+                at = []
                 for text in texts:
                     found = CHUNK.findall(text)
                     found[1:] = [c[1:] for c in itertools.islice(found, 1, None)]
-                    flat.extend(map(known.__getitem__, found))
-                    ends.append(len(flat))
+                    at.append(pack(np.fromiter(map(known.__getitem__, found), np.int32, len(found)).tobytes()))
                     size += len(text)
-                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                ids = batch.column("doc_id").slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), number)), ids, at, pa.nulls(len(texts), words)], names)
+                k, ids = len(texts), batch.column("doc_id").slice(begin, len(texts))
+                columns = [pa.array(np.full(k, number)), ids, pa.array(at, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, numbers), pa.nulls(k, words)]
+                yield pa.RecordBatch.from_arrays(columns, names)
         if known:
             yield ended()
 
-    return documents(docs).mapInArrow(run, "slice long, doc_id long, at array<int>, chunks array<string>")
+    return documents(docs).mapInArrow(run, "slice long, doc_id long, at binary, bucket int, n array<int>, chunks array<string>")
 
 
 def chunk_ids(held: DataFrame, model: str) -> DataFrame:
-    """``slice, n, sizes, ids`` from ``slice, n, chunk``: numbers of chunks, and ids as many as the sizes say.
+    """``slice, n, sizes, ids`` from ``slice, bucket, n, chunks``: ids of the chunks, as many as the sizes say.
 
-    All rows of a chunk come to one task, one after another, which segments it once for
-    the whole corpus.  A chunk has one row for each slice at most.  A row that
-    comes out holds what a slice has in a batch, so the numbers are shuffled packed.
+    All rows of a bucket come to one task, one after another, which keeps a table of its
+    chunks: each distinct chunk is segmented once for the whole corpus.  A slice
+    has one row for a bucket, so a chunk that all texts hold is one entry for a slice.
     """
 
     def run(batches):
-        last, last_ids = None, []
+        table, last = {}, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column("chunk").dictionary_encode()
-            chunks = coded.dictionary.to_pylist()
-            again = [last_ids] if chunks[0] == last else []
-            found = again + _chunks(model).segment(chunks[len(again) :])
-            last, last_ids = chunks[-1], found[-1]
-            of = batch.column("slice").to_numpy()
-            order = np.argsort(of, kind="stable")
-            of = of[order]
-            each = pa.array(found, pa.list_(pa.int32())).take(coded.indices.take(pa.array(order)))
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            ends = pa.array(np.append(first, len(of)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(of[first]),
-                    pa.ListArray.from_arrays(ends, batch.column("n").take(pa.array(order))),
-                    pa.ListArray.from_arrays(ends, each.value_lengths()),
-                    pa.ListArray.from_arrays(each.offsets.take(ends), each.values),
-                ],
-                ["slice", "n", "sizes", "ids"],
-            )
-
-    dealt = held.select("slice", "n", "chunk").repartition("chunk").sortWithinPartitions("chunk")
+            bucket = batch.column("bucket").to_numpy()
+            if bucket[0] != last:
+                table.clear()
+            last = bucket[-1]
+            chunks = batch.column("chunks")
+            coded = chunks.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [c for c in distinct if c not in table]
+            table.update(zip(new, _chunks(model).segment(new), strict=True))
+            each = pa.array([table[c] for c in distinct], pa.list_(pa.int32())).take(coded.indices)
+            ends = pa.array(chunks.offsets.to_numpy() - chunks.offsets[0].as_py())
+            sizes = pa.ListArray.from_arrays(ends, each.value_lengths())
+            ids = pa.ListArray.from_arrays(each.offsets.take(ends), each.values)
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("n"), sizes, ids], ["slice", "n", "sizes", "ids"])
+
+    dealt = held.select("slice", "bucket", "n", "chunks").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "slice long, n array<int>, sizes array<int>, ids array<int>")
 
 
@@ -141,7 +146,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, decoded`` of each row of ``docs``: the library's ids of the whole text, and their text.
 
     Documents become numbers of chunks, by slices of bounded length.  The distinct
-    chunks of all slices are gathered by chunk and each is segmented once; its ids go
+    chunks of all slices are gathered in buckets and each is segmented once; its ids go
     back to the slices, and there to the places of the chunk.  So a chunk is shuffled
     once for a slice, however often it stands there.  No begin or end ids.  A null or
     empty text has no ids; rows that repeat are rows of their own, null ids are kept.
@@ -153,15 +158,16 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         starts = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
         chunks = pa.ListArray.from_arrays(starts, _flat(known, "ids")).take(pa.array(order))
         texts = pa.array(_chunks(model).texts(chunks.to_pylist()) if len(chunks) else [], pa.string())
-        at = rows.column("at").combine_chunks()
-        ends, places = at.offsets.to_numpy() - at.offsets[0].as_py(), at.flatten()
+        unpack = zstandard.ZstdDecompressor().decompress
+        at = [np.frombuffer(unpack(x), np.int32) for x in rows.column("at").to_pylist()]
+        ends, places = np.cumsum([0, *map(len, at)]).astype(np.int32), pa.array(np.concatenate(at))
         each = chunks.take(places)
         ids = pa.ListArray.from_arrays(each.offsets.take(pa.array(ends)), each.values)
         decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts.take(places)), " ")
         return pa.table([rows.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
 
     marked = cut_lineage(positions(docs), "chunk-positions")
-    held = marked.where("chunks is not null").select("slice", F.posexplode("chunks").alias("n", "chunk"))
+    held = marked.where("bucket is not null")
     known = cut_lineage(chunk_ids(held, model), "chunk-ids").withColumnRenamed("slice", "of")
-    rows = marked.where("chunks is null").select("slice", "doc_id", "at")
+    rows = marked.where("bucket is null").select("slice", "doc_id", "at")
     return rows.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(place, "doc_id long, ids array<int>, decoded string")
