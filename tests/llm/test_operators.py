@@ -187,21 +187,10 @@ def test_pieces_equal_the_library(docs):
     assert [r["decoded"] for r in found] == [*chunks.model.decode(want), ""]
 
 
-def test_each_chunk_is_segmented_once_for_all_slices(spark, docs, monkeypatch):
-    monkeypatch.setattr(pieces, "SLICE", 40)
-    monkeypatch.setattr(pieces, "PART", 20)
-    texts = [f"the same words again {i % 7} and ﬁ日 {'x' * (i * 50)}" for i in range(30)] + ["the " * 500, " ", None]
+def test_pieces_of_rows_that_repeat_and_a_table_that_starts_anew(docs, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    texts = [f"the same words again {i % 7} and ﬁ日 {'x' * (i * 50)}" for i in range(30)] * 2 + ["the " * 500, " ", None]
     table = docs(*[(None if i % 3 == 0 else i // 2, t) for i, t in enumerate(texts)]).repartition(3)
-    marked = pieces.positions(table).cache()
-    assert marked.select("slice").distinct().count() > 10
-    held = marked.where("bucket is not null")
-    chunks = held.select("slice", F.explode("chunks").alias("chunk"))
-    assert chunks.count() == chunks.distinct().count() > chunks.select("chunk").distinct().count()
-    buckets = held.select("bucket", F.explode("chunks").alias("chunk")).distinct()
-    assert buckets.count() == chunks.select("chunk").distinct().count()
-    packed = pieces.chunk_ids(held, PIECES).collect()
-    assert sum(len(r["n"]) for r in packed) == chunks.count()
-    assert all(len(r["n"]) == len(r["sizes"]) and sum(r["sizes"]) == len(r["ids"]) for r in packed)
     model = pieces.Chunks(PIECES).model
     want = sorted((str(None if i % 3 == 0 else i // 2), model.encode(t or ""), model.decode(model.encode(t or ""))) for i, t in enumerate(texts))
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in pieces.encode(table, PIECES).collect()) == want
