@@ -212,12 +212,63 @@ def test_edits_and_fingerprints_equal_a_plain_loop(spark, docs, monkeypatch):
         after, own = texts[order[(k + 1) % len(order)]], rows[3 * i - 20]
         third = len(texts[i]) // 3
         assert own["edited"] == texts[i][: len(texts[i]) - third] + after[:third]
-        one = imatch.fingerprint(imatch.terms(texts[i]), lexicon)
+        one = imatch.fingerprint(texts[i], lexicon)
         assert own["fingerprint"] == ".".join(one)
-        assert own["near_next"] == imatch.likeness(one, imatch.fingerprint(imatch.terms(after), lexicon))
+        assert own["near_next"] == imatch.likeness(one, imatch.fingerprint(after, lexicon))
+        changed = imatch.fingerprint(own["edited"], lexicon)
+        assert own["edited_fingerprint"] == ".".join(changed) and own["near_edited"] == imatch.likeness(one, changed)
     assert sorted(rows) == sorted(3 * i - 20 for i in range(len(texts)))
 
 
+def _plain_comparison(pairs, lexicon):
+    """What ``compare_with_next`` gives, from a sorted list in the order of ids and of two hashes of texts."""
+    found = []
+    for k, (doc_id, text) in enumerate(pairs):
+        after = pairs[(k + 1) % len(pairs)][1]
+        changed = imatch.edited(text, after)
+        own, other, following = (imatch.fingerprint(t, lexicon) for t in (text, changed, after))
+        found.append((doc_id, len(text), changed, ".".join(own), ".".join(other), imatch.likeness(own, other), imatch.likeness(own, following)))
+    return sorted(found, key=str)
+
+
+def _skewed(docs):
+    """A third of the rows without id and text, a third with one id, and some rows that repeat."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda: " ".join(draw.choices(words, k=draw.randrange(3, 40)))
+    rows = [(None, None)] * 300 + [(7, text()) for _ in range(260)] + [(7, "seven times")] * 40
+    rows += [(i, text()) for i in range(-100, 190)] + [(None, text()) for _ in range(10)]
+    draw.shuffle(rows)
+    return docs(*rows)
+
+
+def _in_order(table):
+    one, two = common.text_hashes(F.col("text"))
+    rows = common.documents(table).select("doc_id", "text", one.alias("one"), two.alias("two")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["one"], r["two"]))
+    return [(r["doc_id"], r["text"]) for r in rows]
+
+
+@pytest.mark.parametrize("most_terms", [2_000_000, 10])
+def test_imatch_hot_ids_and_large_lexicons_equal_a_plain_loop(docs, monkeypatch, most_terms):
+    monkeypatch.setattr(imatch, "REPEATS", 64)
+    table = _skewed(docs)
+    lexicon = imatch.lexicon(table)
+    kept = imatch.lexicon(table, most_terms)
+    assert isinstance(kept, np.ndarray) == (most_terms > 10) and len(lexicon) > 10
+    want = _plain_comparison(_in_order(table), lexicon)
+    found = imatch.compare_with_next(table, kept, range_documents=30).collect()
+    assert sorted(map(tuple, found), key=str) == want
+    prints = sorted((tuple(r) for r in imatch.fingerprints(table, kept).collect()), key=str)
+    assert prints == sorted(((w[0], w[3]) for w in want), key=str)
+
+
+def test_imatch_ranges_stay_bounded(docs):
+    dealt, repeated = imatch.with_next(_skewed(docs), 30)
+    rows = dealt.groupBy("bin").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).collect()
+    assert repeated and max(r["n"] for r in rows) <= 100 and max(r["copies"] for r in rows) >= 300
+
+
 # --- recompression ------------------------------------------------------------
 
 
