@@ -199,14 +199,13 @@ def test_pieces_of_rows_that_repeat_and_a_table_that_starts_anew(docs, monkeypat
 # --- I-Match ------------------------------------------------------------------
 
 
-def test_edits_and_fingerprints_equal_a_plain_loop(spark, docs, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_DOCUMENTS", 5)
+def test_edits_and_fingerprints_equal_a_plain_loop(spark, docs):
     draw = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(draw.choices(words, k=draw.randrange(60))) for _ in range(40)] + [t for t in HARD if t is not None]
     table = docs(*[(3 * i - 20, t) for i, t in enumerate(texts)])
     lexicon = imatch.lexicon(table)
-    rows = {r["doc_id"]: r for r in imatch.compare_with_next(table, lexicon).collect()}
+    rows = {r["doc_id"]: r for r in imatch.compare_with_next(table, lexicon, range_documents=5).collect()}
     order = list(range(len(texts)))[::-1]
     for k, i in enumerate(order):
         after, own = texts[order[(k + 1) % len(order)]], rows[3 * i - 20]
