@@ -1,12 +1,14 @@
 """The fitted models: shortcuts equal plain forms, and what is found beyond what was learned."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from topicatlas.llm import crf, secrets, spans, toxicity
+from topicatlas.llm import common, crf, secrets, spans, toxicity
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -140,3 +142,17 @@ def test_no_texts_and_no_words():
     assert toxicity.telling_features(toxicity.Sample(["", "!"]), np.array([1, 0])) == set()
     model = toxicity.fit(["bad words", "", "fine words"], [1, 1, 0], [False] * 3)
     assert len(toxicity.Scorer(model).score(["", "bad"])["score"]) == 2
+
+
+def test_toxicity_of_many_distinct_words_in_little_memory():
+    """A task that meets 300,000 words once holds a bounded part of their scores."""
+    model = toxicity.fit(["bad words", "", "fine words"], [1, 1, 0], [False] * 3)
+    texts = [" ".join(f"word{i * 3_000 + j}x" for j in range(3_000)) for i in range(100)]
+    scorer = toxicity.Scorer(model)
+    scorer.score(["bad"])
+    tracemalloc.start()
+    scores = [scorer.score(part)["score"] for _, part in common.slices(pa.array(texts), 500_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    assert (np.concatenate(scores) == [toxicity.Scorer(model).score([t])["score"][0] for t in texts]).all()

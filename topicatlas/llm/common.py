@@ -79,7 +79,7 @@ def excerpts(rows: DataFrame, chars: int, wanted: Callable[[str], bool] = lambda
 
 
 def per_document(
-    function: Callable[[list[str]], dict[str, pa.Array | list]], schema: pa.Schema
+    function: Callable[[list[str]], dict[str, pa.Array | list]], schema: pa.Schema, chars: int = SLICE_CHARS
 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task over batches of ``doc_id, text``: each text becomes one row.
 
@@ -90,7 +90,7 @@ def per_document(
     def task(batches):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for start, part in slices(texts):
+            for start, part in slices(texts, chars):
                 columns = function(part)
                 arrays = [ids.slice(start, len(part))]
                 for field in itertools.islice(schema, 1, None):

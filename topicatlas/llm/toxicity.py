@@ -22,8 +22,11 @@ SAMPLE_TOTAL = {1: 4_000_000, 0: 14_000_000}
 #: Documents of this remainder of crc32(doc_id as text) are never learned from.
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
-#: Distinct words whose scores a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose scores a task remembers before it starts anew.  A partition holds hundreds of
+#: thousands, most of them once, and each costs 200 bytes in every task at a time.
+REMEMBERED = 100_000
+#: Characters scored at a time; a longer text is a slice of its own.
+SCORED_CHARS = 500_000
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 BREAKS = frozenset(".!?\n")
@@ -35,8 +38,11 @@ def fold(doc_id):
 
 def own_features(word: str) -> list[str]:
     w = word.lower()
-    shape = "caps" if len(word) > 1 and word.isupper() else "digit" if any(c.isdigit() for c in word) else "plain"
-    return [f"w={w}", f"s={shape}", f"e={w[-3:]}", *[f"p={w[:k]}" for k in range(3, 9) if len(w) > k]]
+    if len(word) > 1 and word.isupper():
+        shape = "s=caps"
+    else:
+        shape = "s=digit" if not word.isalpha() and any(map(str.isdigit, word)) else "s=plain"
+    return ["w=" + w, shape, "e=" + w[-3:], *["p=" + w[:k] for k in range(3, min(9, len(w)))]]
 
 
 def near_features(word: str) -> list[str]:
@@ -142,11 +148,11 @@ class Model:
         self.own, self.before, self.after, self.moves, self.document = own, before, after, moves, document
 
     def word_scores(self, word: str) -> tuple[float, float, float]:
-        near = near_features(word)
+        own, near = self.own, near_features(word)
         return (
-            self.own.get("bias", 0.0) + sum(self.own.get(f, 0.0) for f in own_features(word)),
-            sum(self.before.get(f, 0.0) for f in near),
-            sum(self.after.get(f, 0.0) for f in near),
+            own.get("bias", 0.0) + sum([own.get(f, 0.0) for f in own_features(word)]),
+            sum([self.before.get(f, 0.0) for f in near]),
+            sum([self.after.get(f, 0.0) for f in near]),
         )
 
 
@@ -237,29 +243,29 @@ class Scorer:
     """Marginals of the tokens of texts; remembers the scores of words."""
 
     def __init__(self, model: Model):
-        self.model, self.kind, self.scores = model, {}, []
+        self.model, self.kind, self.scores = model, {}, array("d")
 
     def odds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of being toxic for each token, and the text each belongs to."""
         if len(self.kind) > REMEMBERED:
-            self.kind, self.scores = {}, []
+            self.kind, self.scores = {}, array("d")
         kind, scores = self.kind, self.scores
-        rows, sizes = [], []
+        rows, sizes = array("i"), []
         for text in texts:
             found = TOKEN.findall(text)
             for word in set(found).difference(kind):
-                kind[word] = len(scores)
-                scores.append((0.0, 0.0, 0.0) if word in BREAKS else self.model.word_scores(word))
+                kind[word] = len(kind)
+                scores.extend((0.0, 0.0, 0.0) if word in BREAKS else self.model.word_scores(word))
             rows.extend(map(kind.__getitem__, found))
             sizes.append(len(found))
         ends = {kind[b] for b in BREAKS if b in kind}
-        token, doc = np.array(rows, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        token, doc = np.array(rows, np.int32), np.repeat(np.arange(len(texts)), sizes)
         stop = np.isin(token, list(ends))
         chain = np.cumsum(stop) + doc
         token, doc, chain = token[~stop], doc[~stop], chain[~stop]
         if not len(token):
             return np.zeros(0), doc
-        table = np.array(scores)
+        table = np.array(scores).reshape(-1, 3)
         own, before, after = table[token].T
         new = np.append(True, chain[1:] != chain[:-1])
         score = own.copy()
@@ -336,7 +342,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
             one = lambda texts: {"score": [0.0] * len(texts), "spans": [[] for _ in texts]}
         else:
             one = Scorer(model).score
-        yield from per_document(one, schema)(batches)
+        yield from per_document(one, schema, SCORED_CHARS)(batches)
 
     scored = documents(docs).mapInArrow(run, columns)
     return scored.select(
@@ -358,7 +364,7 @@ def clean_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield batch
                 continue
             keep = np.zeros(batch.num_rows, bool)
-            for start, texts in slices(batch.column("text")):
+            for start, texts in slices(batch.column("text"), SCORED_CHARS):
                 keep[start : start + len(texts)] = scorer.score(texts)["score"] < THRESHOLD
             yield batch.filter(pa.array(keep))
 
