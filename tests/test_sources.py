@@ -212,3 +212,12 @@ def test_repeated_categories_count_twice(rows):
     ]
     literal = categories.explode_categories(edits, literal=True, lower=False)
     assert sorted(r["category"] for r in literal.collect()) == ["", "Music", "art", "art"]
+
+
+def test_values_of_a_revision_are_split_once(spark, lines):
+    """Filters on several values, pushed down, do not look for the line and split it again."""
+    path = lines("REVISION 1 2 t ts u ip:1.2.3.4\nCATEGORY a\nMINOR 0\n\nCATEGORY b\n\n")
+    edits = clean.with_long_ip(clean.clean_revisions(sources.read_revisions(spark, path)))
+    assert [r["long_ip"] for r in edits.collect()] == [16909060]
+    plan = edits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\nREVISION , -1") == 1

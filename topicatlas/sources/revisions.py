@@ -59,8 +59,12 @@ def well_formed(stanza: Column) -> Column:
 
 def parse_revisions(stanzas: DataFrame) -> DataFrame:
     """``stanza`` rows to ``RAW_REVISION`` columns; works on streams as well."""
-    values = _revision_values(F.col("stanza"))
-    return stanzas.filter(well_formed(F.col("stanza"))).select(
+    # An exploded array of one: filters on the values, which would each split the line
+    # anew when they are pushed down, stay above it.
+    split = stanzas.select("stanza", F.explode(F.array(_revision_values(F.col("stanza")))).alias("_values"))
+    values = F.col("_values")
+    complete = F.coalesce(F.size(values) == len(REVISION_COLUMNS), F.lit(False))
+    return split.filter(complete).select(
         *[F.get(values, F.lit(i)).alias(name) for i, name in enumerate(REVISION_COLUMNS)],
         *[_line_value(F.col("stanza"), word).alias(name) for word, name in STANZA_FIELDS.items()],
     )
