@@ -545,3 +545,37 @@ def test_components_of_a_long_path(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = components.components(spark.createDataFrame(pairs, "a long, b long"))
     assert {tuple(r) for r in found.collect()} == {(i, 100) for i in range(100, 161)} | {(200, 200), (201, 200)}
+
+
+def _plans(monkeypatch, module, *modules):
+    """Names and plans of the tables that ``modules`` write, if Spark takes every table for small."""
+    plans, write = [], module.cut_lineage
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    for m in (module, *modules):
+        monkeypatch.setattr(m, "cut_lineage", recorded)
+    return plans
+
+
+@pytest.fixture
+def all_small(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("paired_cell", [1024, 1])
+def test_simhash_broadcasts_no_table_that_grows(docs, monkeypatch, all_small, paired_cell):
+    draw = random.Random(8)
+    base = draw.choices([f"w{i}" for i in range(500)], k=400)
+    texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 400, 20)]
+    plans = _plans(monkeypatch, simhash, components)
+    found = simhash.near_duplicates(docs(*texts), paired_cell=paired_cell)
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    want = {"cells", "links", "large-star", "small-star", "labels", "fingerprint-components", "result"}
+    assert want | ({"neighbours"} if paired_cell == 1 else set()) <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+    assert all(r["component_id"] is not None for r in found.collect())

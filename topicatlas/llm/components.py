@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicatlas.operators.lineage import cut_lineage
+from topicatlas.operators.skew import merge_join
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -20,7 +21,7 @@ def _to_minimum(sides: DataFrame) -> DataFrame:
     """
     least = sides.groupBy("u").agg(F.min("v").alias("m"))
     least = cut_lineage(least.select("u", F.least("u", "m").alias("m")), "least")
-    return sides.join(least, "u")
+    return merge_join(sides, least, "u")
 
 
 def components(links: DataFrame) -> DataFrame:

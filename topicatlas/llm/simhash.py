@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from topicatlas.llm.common import documents, per_document, text_hashes
 from topicatlas.llm.components import components
 from topicatlas.operators.lineage import cut_lineage
+from topicatlas.operators.skew import merge_join
 
 BITS = 64
 #: A fingerprint is cut into so many blocks more than bits may differ, and that many agree.
@@ -121,18 +122,18 @@ def links(fps: DataFrame, distance: int = 4, paired_cell: int = PAIRED_CELL) ->
         ).alias("cell"),
     ).select("cell.t", "cell.key", "fp")
     sizes = cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut_lineage(cells.join(sizes, ["t", "key"]), "cells")
+    shared = cut_lineage(merge_join(cells, sizes, ["t", "key"]), "cells")
     crowded = F.col("n") > (paired_cell if distance % 2 == 0 else 2**62)
     left = shared.where(~crowded).select("t", "key", F.col("fp").alias("a"))
     right = shared.where(~crowded).select("t", "key", F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    paired = left.join(right, ["t", "key"]).where(close).select("a", "b")
+    paired = merge_join(left, right, ["t", "key"]).where(close).select("a", "b")
     if distance % 2 or shared.where(crowded).limit(1).count() == 0:
         return paired
     named = shared.where(crowded).select("t", "fp").mapInArrow(_neighbours(distance, masks), "z long, fp long").distinct()
     named = cut_lineage(named, "neighbours")
     least = cut_lineage(named.groupBy("z").agg(F.min("fp").alias("b")), "least-neighbour")
-    return paired.union(named.join(least, "z").where("fp != b").select(F.col("fp").alias("a"), "b"))
+    return paired.union(merge_join(named, least, "z").where("fp != b").select(F.col("fp").alias("a"), "b"))
 
 
 def _labelled(docs: DataFrame, shingle: int, distance: int, paired_cell: int) -> DataFrame:
@@ -140,11 +141,11 @@ def _labelled(docs: DataFrame, shingle: int, distance: int, paired_cell: int) ->
     found = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     classes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     joined = components(links(classes.select("fp"), distance, paired_cell))
-    labelled = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    labelled = merge_join(classes, joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
     labelled = cut_lineage(labelled.select("fp", "first", F.coalesce("component", "fp").alias("label")), "labels")
     least = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "least-documents")
-    by_fp = cut_lineage(labelled.join(least, "label").select("fp", "component_id", "label"), "fingerprint-components")
-    return found.join(by_fp, "fp")
+    by_fp = cut_lineage(merge_join(labelled, least, "label").select("fp", "component_id", "label"), "fingerprint-components")
+    return merge_join(found, by_fp, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, paired_cell: int = PAIRED_CELL) -> DataFrame:
