@@ -579,3 +579,13 @@ def test_simhash_broadcasts_no_table_that_grows(docs, monkeypatch, all_small, pa
     names = ("cells", "links", "fingerprint-components", "result")
     assert not [name for name in names if "Broadcast" in joined[name] or "SortMergeJoin" not in joined[name]]
     assert all(r["component_id"] is not None for r in found.collect())
+
+
+def test_substring_dedup_broadcasts_no_table_of_symbols_or_windows(docs, monkeypatch, all_small):
+    words = " ".join(f"w{i}" for i in range(60))
+    plans = _plans(monkeypatch, recompression)
+    kept = recompression.remove_repeats(docs(words, "x " + words + " y", "a b c"))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {0: "", 1: "x y", 2: "a b c"}
+    joined = dict(plans)
+    names = ("shared-symbols", "shared-by-document", "repeated-windows", "repeated-by-document")
+    assert not [name for name in names if "Broadcast" in joined[name] or "SortMergeJoin" not in joined[name]]

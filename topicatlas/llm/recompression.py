@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from topicatlas.llm.common import documents, slices, text_hashes
 from topicatlas.operators.lineage import cut_lineage, discard
+from topicatlas.operators.skew import merge_join
 
 #: Words of a window.
 WINDOW = 35
@@ -239,10 +240,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     rows = written.where("start is not null").select("name", "row", "start")
     shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     shared = cut_lineage(shared, "shared-names")
-    found = cut_lineage(rows.join(shared, "name").select("row", "start"), "shared-symbols")
+    found = cut_lineage(merge_join(rows, shared, "name").select("row", "start"), "shared-symbols")
     discard(written, shared)
     by_row = found.groupBy("row").agg(F.collect_list("start").alias("starts"))
-    by_row = cut_lineage(identities.join(by_row, "row", "left"), "shared-by-document")
+    by_row = cut_lineage(merge_join(identities, by_row, "row", "left"), "shared-by-document")
     discard(found)
     candidates = _of_identity(source, by_row, "inner")
     windows = candidates.select("row", "text", "starts").mapInArrow(
@@ -252,10 +253,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     discard(by_row)
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     twice = cut_lineage(twice, "repeated")
-    found = cut_lineage(windows.join(twice, ["one", "two"]).select("row", "at"), "repeated-windows")
+    found = cut_lineage(merge_join(windows, twice, ["one", "two"]).select("row", "at"), "repeated-windows")
     discard(windows, twice)
     by_row = found.groupBy("row").agg(F.collect_set("at").alias("starts"))
-    by_row = cut_lineage(identities.join(by_row, "row").drop("row"), "repeated-by-document")
+    by_row = cut_lineage(merge_join(identities, by_row, "row").drop("row"), "repeated-by-document")
     discard(found, identities)
     return by_row
 
